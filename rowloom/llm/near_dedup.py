@@ -18,6 +18,8 @@ from rowloom.llm.workspace import Workspace
 
 #: An estimate this many standard errors below the threshold is still verified.
 SLACK_SIGMAS = 4.5
+#: Pairs tried first for each member and other component of its bucket, before all of them.
+LIKELIEST = 8
 #: Members of one bucket that a single task compares with as many others.
 BLOCK = 512
 
@@ -49,13 +51,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
 
 
 def _unpack(regs, m: int) -> np.ndarray:
-    return np.frombuffer(b"".join(regs), dtype=">u2").reshape(-1, m).astype(np.int32)
-
-
-def _estimates(a, b, size_a, size_b, base):
-    return likely_jaccard(
-        (a > b).sum(axis=-1), (a < b).sum(axis=-1), (a == b).sum(axis=-1), size_a.astype(float), size_b.astype(float), base
-    )
+    return np.frombuffer(b"".join(regs), dtype=">u2").reshape(-1, m).astype(np.uint16)
 
 
 def _promising(batches: Iterator[pa.RecordBatch], spec: SketchSpec, least: float) -> Iterator[pa.RecordBatch]:
@@ -63,28 +59,39 @@ def _promising(batches: Iterator[pa.RecordBatch], spec: SketchSpec, least: float
         if not batch.num_rows:
             continue
         a, b = (_unpack(batch[c].to_pylist(), spec.m) for c in ("regs_a", "regs_b"))
-        j = _estimates(a, b, batch["size_a"].to_numpy(), batch["size_b"].to_numpy(), spec.base)
+        sizes = (batch[c].to_numpy().astype(float) for c in ("size_a", "size_b"))
+        j = likely_jaccard((a > b).sum(axis=1), (a < b).sum(axis=1), (a == b).sum(axis=1), *sizes, spec.base)
         yield batch.select(["a", "b"]).filter(pa.array(j >= least))
 
 
-def _block_pairs(table: pa.Table, spec: SketchSpec, threshold: float, least: float) -> pa.Table:
-    """Pairs of one bucket block that lie in different components and look similar enough."""
-    side = table["side"].to_numpy()
+def _block_pairs(table: pa.Table, spec: SketchSpec, threshold: float, least: float, best: int | None) -> pa.Table:
+    """Pairs of one bucket block that lie in different components and look similar enough;
+    with ``best``, only so many of the likeliest for each member and other component."""
+    side, band = table["side"].to_numpy(), table["band"][0].as_py()
     ids, comp, size = (table[c].to_numpy() for c in ("cid", "component_id", "n_shingles"))
     regs = _unpack(table["regs"].to_pylist(), spec.m)
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    out_a, out_b = [], []
+    found = [np.empty((0, 5), dtype=np.int64)]
     for i in left:
-        apart = (comp[right] != comp[i]) & (ids[right] != ids[i])
         small, large = np.minimum(size[right], size[i]), np.maximum(size[right], size[i])
-        with_i = right[apart & (small >= threshold * large)]
-        if len(with_i):
-            near = with_i[_estimates(regs[i][None], regs[with_i], np.full(len(with_i), size[i]), size[with_i], spec.base) >= least]
-            out_a.append(np.full(len(near), ids[i]))
-            out_b.append(ids[near])
-    none = np.empty(0, dtype=np.int64)
-    a, b = (np.concatenate([none, *x]) for x in (out_a, out_b))
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        with_i = right[(comp[right] != comp[i]) & (small >= threshold * large)]
+        equal = regs[with_i] == regs[i]
+        same = equal.sum(axis=1)
+        # A pair counts in its first common band; one with so few equal registers never passes.
+        here = (equal.reshape(-1, spec.bands, spec.rows).all(axis=2).argmax(axis=1) == band) & (same >= spec.m * (least - 0.15))
+        with_i, same = with_i[here], same[here]
+        above = (regs[with_i] < regs[i]).sum(axis=1)
+        found.append(np.column_stack([np.full(len(with_i), i), with_i, above, spec.m - above - same, same]))
+    i, j, above, below, same = np.concatenate(found).T
+    score = likely_jaccard(above, below, same, size[i].astype(float), size[j].astype(float), spec.base)
+    i, j, score = i[score >= least], j[score >= least], score[score >= least]
+    if best and len(i):
+        order = np.lexsort((-score, comp[j], i))
+        i, j = i[order], j[order]
+        new = np.r_[True, (i[1:] != i[:-1]) | (comp[j[1:]] != comp[j[:-1]])]
+        rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
+        i, j = i[rank < best], j[rank < best]
+    return pa.table({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
 
 
 def near_dedup(documents: DataFrame, shingle: int = 5, threshold: float = 0.8, spec: SketchSpec | None = None) -> DataFrame:
@@ -97,10 +104,11 @@ def near_dedup(documents: DataFrame, shingle: int = 5, threshold: float = 0.8, s
 
     Steps: texts with equal sets collapse into one class, found by a digest of the set. Each
     class is banded by its registers, and every member of a bucket is tried against the
-    bucket's first member; linked members form components. Buckets whose members still lie
-    in different components are then compared block by block, so no pair of bucket fellows is
-    skipped, yet a large group of copies costs one candidate a member. Candidates pass the
-    likelihood estimate, then the exact test.
+    bucket's pivot (chosen by hash, so a large group has another pivot in each band); linked
+    members form components. Buckets whose members still lie in different components are then
+    compared block by block, the likeliest pairs first, and at last all of them, so no pair
+    of bucket fellows that could join two components is skipped, yet a large group of copies
+    costs a few candidates a member. Candidates pass the likelihood estimate, then the exact test.
 
     Null or empty text: set size 0, its own component. Fewer words than a shingle: the whole
     sequence is one. Repeated rows of one doc_id give one row each with equal values. A null
@@ -133,14 +141,16 @@ def near_dedup(documents: DataFrame, shingle: int = 5, threshold: float = 0.8, s
     width = 2 * spec.rows
     keys = classes.select(
         "cid",
-        F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(spec.bands)])).alias("key"),
+        F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(spec.bands)])).alias("band", "key"),
     )
     buckets = ws.save(
-        keys.groupBy("key").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets"
+        keys.groupBy("band", "key").agg(F.min_by("cid", F.xxhash64("cid", "key")).alias("pivot"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1").drop("n"),
+        "buckets",
     )
-    members = ws.save(keys.join(buckets, "key"), "members")
+    members = ws.save(keys.join(buckets, ["band", "key"]), "members")
     least = threshold - SLACK_SIGMAS * (threshold * (1 - threshold) / spec.m) ** 0.5
-    first = members.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
+    first = members.where("cid <> pivot").select(F.least("pivot", "cid").alias("a"), F.greatest("pivot", "cid").alias("b")).distinct()
     size_ok = F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b")
 
     def side(x: str) -> DataFrame:
@@ -153,47 +163,18 @@ def near_dedup(documents: DataFrame, shingle: int = 5, threshold: float = 0.8, s
     )
     links = ws.save(_verified(ws, source, tried, shingle, threshold, "1"), "links-1")
     comps = ws.save(connected_components(ws, links, "cc1"), "components-1")
-
-    placed = members.join(comps.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
-        "component_id", F.coalesce("component_id", "cid")
-    )
-    mixed = ws.save(
-        placed.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count(F.lit(1)).alias("n"))
-        .where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")),
-        "mixed",
-    )
-    if mixed.limit(1).count():
-        rest = (
-            placed.select("key", "cid", "component_id").join(mixed, "key").join(classes, "cid")
-            .withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-        )
-        # Each block meets every block from its own on: as the left side once, as the right side of earlier ones.
-        placed_blocks = rest.select(
-            "*",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(0), F.col("parts") - 1),
-                    lambda other: F.struct(
-                        F.least("part", other).alias("i"), F.greatest("part", other).alias("j"),
-                        F.when(other == F.col("part"), 2).when(F.col("part") < other, 0).otherwise(1).alias("side"),
-                    ),
-                )
-            ).alias("at"),
-        ).select("key", "at.i", "at.j", "at.side", "cid", "component_id", "n_shingles", "regs")
-
-        def compare(table: pa.Table) -> pa.Table:
-            return _block_pairs(table, spec, threshold, least)
-
-        more = (
-            placed_blocks.groupBy("key", "i", "j")
-            .applyInArrow(compare, "a long, b long")
-            .where("a <> b").distinct().join(tried, ["a", "b"], "left_anti")
-        )
-        more = ws.save(more, "pairs-2")
-        extra = _verified(ws, source, more, shingle, threshold, "2")
-        links = ws.save(links.unionByName(extra), "links-2")
-        comps = ws.save(connected_components(ws, links, "cc2"), "components-2")
-    ws.drop("sets-1", "sets-2", "members", "buckets", "pairs-1", "pairs-2")
+    for turn, best in ((2, LIKELIEST), (3, None)):
+        more = _undecided(ws, members, comps, classes, spec, threshold, least, best, turn)
+        if more is None:
+            break
+        more = ws.save(more.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
+        tried = tried.unionByName(more)
+        extra = ws.save(_verified(ws, source, more, shingle, threshold, str(turn)), f"links-{turn}")
+        if extra.limit(1).count():
+            links = links.unionByName(extra)
+            comps = ws.save(connected_components(ws, links, f"cc{turn}"), f"components-{turn}")
+        ws.drop(f"sets-{turn}")
+    ws.drop("sets-1", "members", "buckets", "classes", "pairs-1", "pairs-2", "pairs-3")
     out = known.join(comps.withColumnRenamed("id", "cid"), "cid", "left")
     component = F.coalesce("component_id", "cid")
     return out.select(
@@ -201,6 +182,42 @@ def near_dedup(documents: DataFrame, shingle: int = 5, threshold: float = 0.8, s
     )
 
 
+def _undecided(ws, members, comps, classes, spec, threshold, least, best, turn) -> DataFrame | None:
+    """Likely pairs (a, b) of bucket fellows in different components; None if there are no such fellows."""
+    placed = members.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select(
+        "band", "key", "cid", F.coalesce("component_id", "cid").alias("component_id")
+    )
+    mixed = ws.save(
+        placed.groupBy("band", "key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count(F.lit(1)).alias("n"))
+        .where("lo <> hi").select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")),
+        f"mixed-{turn}",
+    )
+    if not mixed.limit(1).count():
+        return None
+    rest = (
+        placed.join(mixed, ["band", "key"]).join(classes, "cid")
+        .withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    )
+    # Every two blocks of a bucket meet in one task; side: 0 first block, 1 second, 2 both are the same.
+    spread = rest.select(
+        "*",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(0), F.col("parts") - 1),
+                lambda other: F.struct(
+                    F.least("part", other).alias("i"), F.greatest("part", other).alias("j"),
+                    F.when(other == F.col("part"), 2).when(F.col("part") < other, 0).otherwise(1).alias("side"),
+                ),
+            )
+        ).alias("at"),
+    ).select("band", "key", "at.i", "at.j", "at.side", "cid", "component_id", "n_shingles", "regs")
+
+    def compare(table: pa.Table) -> pa.Table:
+        return _block_pairs(table, spec, threshold, least, best)
+
+    return spread.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _verified(ws: Workspace, source: DataFrame, pairs: DataFrame, shingle: int, threshold: float, tag: str) -> DataFrame:
     """The pairs whose full sets are similar enough; sets are rebuilt only for texts in a pair."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()

@@ -9,6 +9,7 @@ with a probability that rises with their Jaccard similarity, so groups of regist
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -30,11 +31,16 @@ class SketchSpec:
         return self.bands * self.rows
 
 
+@lru_cache
+def _hashes(m: int) -> tuple[np.ndarray, np.ndarray]:
+    return stream(m, 71) | _U(1), stream(m, 72)
+
+
 def sketch(elements: np.ndarray, spec: SketchSpec) -> np.ndarray:
     """The m registers (uint16) of one set of 64-bit element hashes; an empty set gives zeros."""
     if not len(elements):
         return np.zeros(spec.m, dtype=np.uint16)
-    scale, shift = stream(spec.m, 71) | _U(1), stream(spec.m, 72)
+    scale, shift = _hashes(spec.m)
     low = np.full(spec.m, np.iinfo(np.uint64).max, dtype=_U)
     for at in range(0, len(elements), 512):
         np.minimum(low, (elements[at : at + 512, None] * scale + shift).min(axis=0), out=low)
