@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rowloom.llm.classifiers import quality, toxicity
+from rowloom.llm.decontaminate import contaminated
+from rowloom.llm.html_extract import extract
+from rowloom.llm.licenses import license_scan
+from rowloom.llm.mixing import mix
+from rowloom.llm.mixing import sql as mixing_sql
 from rowloom.llm.near_dedup import near_dedup
 from rowloom.llm.warc import warc_round_trip
 
@@ -13,10 +18,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), shingle=2, threshold=0.8)
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -29,6 +50,30 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
+OP4_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL
+), iw AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark
+), i AS (
+  SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS g
+  FROM iw WHERE len(w) > 0
+), n AS (
+  SELECT item_id, count(*) AS n FROM i GROUP BY item_id
+), l AS (
+  SELECT DISTINCT len(string_split(g, ' ')) AS len FROM i
+), d AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - l.len + 2), lambda k: array_to_string(w[k:k + l.len - 1], ' '))) AS g
+  FROM dw CROSS JOIN l
+), p AS (
+  SELECT d.doc_id, i.item_id, count(*) AS c FROM d JOIN i USING (g) GROUP BY ALL
+)
+SELECT doc_id, item_id, c AS n_shared, n AS n_item, round(c / n, 9) AS containment
+FROM p JOIN n USING (item_id) WHERE 100 * c >= 80 * n
+"""
+
 OP9_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages
@@ -45,9 +90,9 @@ FROM f
 
 
 def queries() -> dict:
-    found = (op5_minhash_dedup, op7_toxicity, op8_quality, op9_warc)
+    found = (op1_mixing, op3_license_scan, op4_decontaminate, op5_minhash_dedup, op6_html_extract, op7_toxicity, op8_quality, op9_warc)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9_SQL}
+    return {"op1_mixing": mixing_sql(), "op4_decontaminate": OP4_SQL, "op9_warc": OP9_SQL}
