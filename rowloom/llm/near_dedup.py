@@ -18,10 +18,11 @@ from rowloom.llm.workspace import Workspace
 
 #: An estimate this many standard errors below the threshold is still verified.
 SLACK_SIGMAS = 4.5
-#: Pairs tried first for each member and other component of its bucket, before all of them.
-LIKELIEST = 8
-#: Members of one bucket that a single task compares with as many others.
-BLOCK = 512
+#: Pivot orders: the bands take turns, so a member of a large group meets several pivots.
+PIVOT_ORDERS = 4
+#: Members, and set elements together, that one side of a comparison task holds at most.
+BLOCK = 1024
+BLOCK_ITEMS = 4_000_000
 
 
 def _sets_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -44,10 +45,13 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int, spec: SketchSpec) -> It
         )
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _full_sets(batches: Iterator[pa.RecordBatch], k: int, wanted) -> Iterator[pa.RecordBatch]:
+    bits = wanted.value
     for batch in batches:
+        at = batch["slot"].to_numpy()
+        batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
         sets = [s.view(np.int64) for s in _sets_of(batch["text"], k)]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "items"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.list_(pa.int64()))], names=["cid", "items"])
 
 
 def _unpack(regs, m: int) -> np.ndarray:
@@ -64,34 +68,51 @@ def _promising(batches: Iterator[pa.RecordBatch], spec: SketchSpec, least: float
         yield batch.select(["a", "b"]).filter(pa.array(j >= least))
 
 
-def _block_pairs(table: pa.Table, spec: SketchSpec, threshold: float, least: float, best: int | None) -> pa.Table:
-    """Pairs of one bucket block that lie in different components and look similar enough;
-    with ``best``, only so many of the likeliest for each member and other component."""
+def _block_links(table: pa.Table, spec: SketchSpec, percent: int, least: float) -> pa.Table:
+    """Links between components inside one bucket block: every two members of different
+    components whose first common band this is are tested, unless links found here already
+    join them. At most one link a member comes out."""
     side, band = table["side"].to_numpy(), table["band"][0].as_py()
     ids, comp, size = (table[c].to_numpy() for c in ("cid", "component_id", "n_shingles"))
     regs = _unpack(table["regs"].to_pylist(), spec.m)
+    items = table["items"].combine_chunks()
+    offs, flat = items.offsets.to_numpy(), items.values.to_numpy()
+    _, comp = np.unique(comp, return_inverse=True)
+    parent = list(range(int(comp.max()) + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    found = [np.empty((0, 5), dtype=np.int64)]
+    found = [np.empty((0, 4), dtype=np.int64)]
     for i in left:
         small, large = np.minimum(size[right], size[i]), np.maximum(size[right], size[i])
-        with_i = right[(comp[right] != comp[i]) & (small >= threshold * large)]
+        with_i = right[(comp[right] != comp[i]) & (100 * small >= percent * large)]
         equal = regs[with_i] == regs[i]
         same = equal.sum(axis=1)
-        # A pair counts in its first common band; one with so few equal registers never passes.
+        # One with so few equal registers never passes the estimate.
         here = (equal.reshape(-1, spec.bands, spec.rows).all(axis=2).argmax(axis=1) == band) & (same >= spec.m * (least - 0.15))
         with_i, same = with_i[here], same[here]
-        above = (regs[with_i] < regs[i]).sum(axis=1)
-        found.append(np.column_stack([np.full(len(with_i), i), with_i, above, spec.m - above - same, same]))
-    i, j, above, below, same = np.concatenate(found).T
-    score = likely_jaccard(above, below, same, size[i].astype(float), size[j].astype(float), spec.base)
-    i, j, score = i[score >= least], j[score >= least], score[score >= least]
-    if best and len(i):
-        order = np.lexsort((-score, comp[j], i))
-        i, j = i[order], j[order]
-        new = np.r_[True, (i[1:] != i[:-1]) | (comp[j[1:]] != comp[j[:-1]])]
-        rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
-        i, j = i[rank < best], j[rank < best]
-    return pa.table({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+        found.append(np.column_stack([np.full(len(with_i), i), with_i, (regs[with_i] < regs[i]).sum(axis=1), same]))
+    i, j, above, same = np.concatenate(found).T
+    score = likely_jaccard(above, spec.m - above - same, same, size[i].astype(float), size[j].astype(float), spec.base)
+    order = np.argsort(-score, kind="stable")
+    order = order[score[order] >= least]
+    out = []
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        a, b = root(int(comp[x])), root(int(comp[y]))
+        if a == b:
+            continue
+        both = np.concatenate([flat[offs[x] : offs[x + 1]], flat[offs[y] : offs[y + 1]]])
+        both.sort()
+        common = int((both[1:] == both[:-1]).sum())
+        if 100 * common >= percent * (len(both) - common):
+            parent[max(a, b)] = min(a, b)
+            out.append((int(ids[x]), int(ids[y])))
+    return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
 
 
 def near_dedup(documents: DataFrame, shingle: int = 5, threshold: float = 0.8, spec: SketchSpec | None = None) -> DataFrame:
@@ -104,11 +125,11 @@ def near_dedup(documents: DataFrame, shingle: int = 5, threshold: float = 0.8, s
 
     Steps: texts with equal sets collapse into one class, found by a digest of the set. Each
     class is banded by its registers, and every member of a bucket is tried against the
-    bucket's pivot (chosen by hash, so a large group has another pivot in each band); linked
+    bucket's pivot (the least of a hash that differs between bands); linked
     members form components. Buckets whose members still lie in different components are then
-    compared block by block, the likeliest pairs first, and at last all of them, so no pair
-    of bucket fellows that could join two components is skipped, yet a large group of copies
-    costs a few candidates a member. Candidates pass the likelihood estimate, then the exact test.
+    compared block by block, so no pair of bucket fellows that could join two components is
+    skipped, yet a large group of copies costs a few candidates a member and no task emits
+    all its pairs. Candidates pass the likelihood estimate, then the exact test.
 
     Null or empty text: set size 0, its own component. Fewer words than a shingle: the whole
     sequence is one. Repeated rows of one doc_id give one row each with equal values. A null
@@ -144,14 +165,16 @@ def near_dedup(documents: DataFrame, shingle: int = 5, threshold: float = 0.8, s
         F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(spec.bands)])).alias("band", "key"),
     )
     buckets = ws.save(
-        keys.groupBy("band", "key").agg(F.min_by("cid", F.xxhash64("cid", "key")).alias("pivot"), F.count(F.lit(1)).alias("n"))
+        keys.groupBy("band", "key").agg(F.min_by("cid", F.xxhash64("cid", F.col("band") % PIVOT_ORDERS)).alias("pivot"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").drop("n"),
         "buckets",
     )
     members = ws.save(keys.join(buckets, ["band", "key"]), "members")
+    sets = ws.save(_sets(ws, source, members, shingle), "sets")
     least = threshold - SLACK_SIGMAS * (threshold * (1 - threshold) / spec.m) ** 0.5
+    percent = round(threshold * 100)
     first = members.where("cid <> pivot").select(F.least("pivot", "cid").alias("a"), F.greatest("pivot", "cid").alias("b")).distinct()
-    size_ok = F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b")
+    size_ok = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
 
     def side(x: str) -> DataFrame:
         return classes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"size_{x}"), F.col("regs").alias(f"regs_{x}"))
@@ -159,22 +182,14 @@ def near_dedup(documents: DataFrame, shingle: int = 5, threshold: float = 0.8, s
     tried = ws.save(
         first.join(side("a"), "a").join(side("b"), "b").where(size_ok)
         .mapInArrow(partial(_promising, spec=spec, least=least), "a long, b long"),
-        "pairs-1",
+        "pairs",
     )
-    links = ws.save(_verified(ws, source, tried, shingle, threshold, "1"), "links-1")
+    links = ws.save(_verified(sets, tried, percent), "links")
     comps = ws.save(connected_components(ws, links, "cc1"), "components-1")
-    for turn, best in ((2, LIKELIEST), (3, None)):
-        more = _undecided(ws, members, comps, classes, spec, threshold, least, best, turn)
-        if more is None:
-            break
-        more = ws.save(more.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
-        tried = tried.unionByName(more)
-        extra = ws.save(_verified(ws, source, more, shingle, threshold, str(turn)), f"links-{turn}")
-        if extra.limit(1).count():
-            links = links.unionByName(extra)
-            comps = ws.save(connected_components(ws, links, f"cc{turn}"), f"components-{turn}")
-        ws.drop(f"sets-{turn}")
-    ws.drop("sets-1", "members", "buckets", "classes", "pairs-1", "pairs-2", "pairs-3")
+    more = _undecided_links(ws, members, comps, classes, sets, spec, percent, least)
+    if more is not None:
+        comps = ws.save(connected_components(ws, links.unionByName(more), "cc2"), "components-2")
+    ws.drop("sets", "members", "buckets", "classes", "pairs")
     out = known.join(comps.withColumnRenamed("id", "cid"), "cid", "left")
     component = F.coalesce("component_id", "cid")
     return out.select(
@@ -182,21 +197,54 @@ def near_dedup(documents: DataFrame, shingle: int = 5, threshold: float = 0.8, s
     )
 
 
-def _undecided(ws, members, comps, classes, spec, threshold, least, best, turn) -> DataFrame | None:
-    """Likely pairs (a, b) of bucket fellows in different components; None if there are no such fellows."""
+def _sets(ws: Workspace, source: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """(cid, items): the full sets of the texts that share a bucket with another.
+
+    Which texts those are goes to the scan as a bitmap of hashed ids (about 16 bits an id,
+    128 MB at most), so no text is shuffled; the few others that a bit lets through do no harm.
+    """
+    n = members.select("cid").distinct().count()
+    bits = min(30, max(20, (16 * n).bit_length()))
+
+    def slot(column: str) -> F.Column:
+        return F.pmod(F.xxhash64(column), F.lit(1 << bits))
+
+    marks = members.select(slot("cid").alias("slot")).groupBy(F.expr("slot div 32768").alias("page")).agg(
+        F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits")
+    )
+    bitmap = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for row in marks.toLocalIterator():
+        bitmap[row["page"] * 4096 : row["page"] * 4096 + 4096] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+    wanted = ws.spark.sparkContext.broadcast(bitmap)
+    rows = source.where("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("slot"))
+    return rows.mapInArrow(partial(_full_sets, k=shingle, wanted=wanted), "cid long, items array<long>").dropDuplicates(["cid"])
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    a, b = (sets.select(F.col("cid").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("items_a", "items_b")).cast("long"))
+    union = F.size("items_a") + F.size("items_b") - F.col("common")
+    return both.where(100 * F.col("common") >= percent * union).select("a", "b")
+
+
+def _undecided_links(ws, members, comps, classes, sets, spec, percent, least) -> DataFrame | None:
+    """Links (a, b) between bucket fellows of different components; None if there are no such fellows."""
     placed = members.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select(
         "band", "key", "cid", F.coalesce("component_id", "cid").alias("component_id")
     )
     mixed = ws.save(
-        placed.groupBy("band", "key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count(F.lit(1)).alias("n"))
-        .where("lo <> hi").select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")),
-        f"mixed-{turn}",
+        placed.join(classes.select("cid", "n_shingles"), "cid").groupBy("band", "key").agg(
+            F.min("component_id").alias("lo"), F.max("component_id").alias("hi"),
+            F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_ITEMS).alias("parts"),
+        ).where("lo <> hi").select("band", "key", F.ceil("parts").cast("int").alias("parts")),
+        "mixed",
     )
     if not mixed.limit(1).count():
         return None
     rest = (
-        placed.join(mixed, ["band", "key"]).join(classes, "cid")
-        .withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+        placed.join(mixed, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+        .join(classes, "cid").join(sets, "cid")
     )
     # Every two blocks of a bucket meet in one task; side: 0 first block, 1 second, 2 both are the same.
     spread = rest.select(
@@ -210,25 +258,9 @@ def _undecided(ws, members, comps, classes, spec, threshold, least, best, turn)
                 ),
             )
         ).alias("at"),
-    ).select("band", "key", "at.i", "at.j", "at.side", "cid", "component_id", "n_shingles", "regs")
+    ).select("band", "key", "at.i", "at.j", "at.side", "cid", "component_id", "n_shingles", "regs", "items")
 
     def compare(table: pa.Table) -> pa.Table:
-        return _block_pairs(table, spec, threshold, least, best)
-
-    return spread.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        return _block_links(table, spec, percent, least)
 
-
-def _verified(ws: Workspace, source: DataFrame, pairs: DataFrame, shingle: int, threshold: float, tag: str) -> DataFrame:
-    """The pairs whose full sets are similar enough; sets are rebuilt only for texts in a pair."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = ws.save(
-        source.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        .mapInArrow(partial(_full_sets, k=shingle), "doc_id long, items array<long>"),
-        f"sets-{tag}",
-    )
-    a, b = (sets.select(F.col("doc_id").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
-    common = F.size(F.array_intersect("items_a", "items_b"))
-    percent = round(threshold * 100)
-    both = pairs.join(a, "a").join(b, "b").withColumn("common", common.cast("long"))
-    union = F.size("items_a") + F.size("items_b") - F.col("common")
-    return both.where(100 * F.col("common") >= percent * union).select("a", "b")
+    return ws.save(spread.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long"), "more-links")
