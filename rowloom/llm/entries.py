@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rowloom.llm.classifiers import quality, toxicity
+from rowloom.llm.ctw import lm_scores
 from rowloom.llm.decontaminate import contaminated
 from rowloom.llm.html_extract import extract
 from rowloom.llm.licenses import license_scan
@@ -50,6 +51,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = r"""
 WITH dw AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
@@ -90,7 +95,7 @@ FROM f
 
 
 def queries() -> dict:
-    found = (op1_mixing, op3_license_scan, op4_decontaminate, op5_minhash_dedup, op6_html_extract, op7_toxicity, op8_quality, op9_warc)
+    found = (op1_mixing, op3_license_scan, op4_decontaminate, op5_minhash_dedup, op6_html_extract, op7_toxicity, op8_quality, op9_warc, op10_lm_scores)
     return {f.__name__: f for f in found}
 
 
