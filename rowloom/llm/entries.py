@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rowloom.llm.classifiers import quality, toxicity
 from rowloom.llm.ctw import lm_scores
 from rowloom.llm.decontaminate import contaminated
+from rowloom.llm.embedding_dedup import embedding_dedup
 from rowloom.llm.html_extract import extract
 from rowloom.llm.licenses import license_scan
 from rowloom.llm.mixing import mix
@@ -23,6 +24,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
@@ -95,7 +100,7 @@ FROM f
 
 
 def queries() -> dict:
-    found = (op1_mixing, op3_license_scan, op4_decontaminate, op5_minhash_dedup, op6_html_extract, op7_toxicity, op8_quality, op9_warc, op10_lm_scores)
+    found = (op1_mixing, op2_embedding_dedup, op3_license_scan, op4_decontaminate, op5_minhash_dedup, op6_html_extract, op7_toxicity, op8_quality, op9_warc, op10_lm_scores)
     return {f.__name__: f for f in found}
 
 
