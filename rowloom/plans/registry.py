@@ -1,4 +1,291 @@
 """All queries of the table verbs by name, each with SQL that gives the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowloom.frame import TableFrame, field
+from rowloom.operators import columns as C
+from rowloom.operators import groups as G
+from rowloom.operators import joins as J
+from rowloom.operators import order as O
+from rowloom.operators import reshape as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Register a function under its name, with the SQL of the same rows."""
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str, *order: str) -> TableFrame:
+    return TableFrame.of(spark.read.parquet(f"{sf_dir}/{name}.parquet"), order or None)
+
+
+def _renamed(t: TableFrame, **names: str) -> TableFrame:
+    return C.rename(C.cut(t, list(names)), list(names.items()))
+
+
+def _money(c) -> F.Column:
+    return F.col(c).cast("decimal(18,2)") if isinstance(c, str) else c.cast("decimal(18,2)")
+
+
+# --- columns and rows -------------------------------------------------------------------------
+
+
+@query("SELECT n_name, n_nationkey, CAST(NULL AS VARCHAR) AS nothing FROM nation")
+def cut_fields(spark, d):
+    return C.cut(_table(spark, d, "nation", "n_nationkey"), ["n_name", "n_nationkey", "nothing"]).result()
+
+
+@query("SELECT n_nationkey, n_regionkey FROM nation")
+def cut_invert(spark, d):
+    return C.cut(_table(spark, d, "nation", "n_nationkey"), ["n_name"], invert=True).result()
+
+
+@query("SELECT n_nationkey AS n_name, n_name AS n_nationkey, n_regionkey AS region FROM nation")
+def rename_swap(spark, d):
+    return C.rename(_table(spark, d, "nation", "n_nationkey"), [("n_nationkey", "n_name"), ("n_name", "n_nationkey"), ("n_regionkey", "region")]).result()
+
+
+@query("SELECT 'x' AS tag, * FROM region")
+def newfield_constant(spark, d):
+    return C.newfield(_table(spark, d, "region", "r_regionkey"), "tag", "x").result()
+
+
+@query("SELECT p_size * 2 AS twice, p_partkey, p_size FROM part")
+def newfield_expr(spark, d):
+    t = C.cut(_table(spark, d, "part", "p_partkey"), ["p_partkey", "p_size"])
+    return C.newfield(t, "twice", expr="p_size * 2").result()
+
+
+@query("SELECT * FROM nation WHERE regexp_matches(CAST(n_nationkey AS VARCHAR), '1') OR regexp_matches(n_name, '1') OR regexp_matches(CAST(n_regionkey AS VARCHAR), '1')")
+def search_any(spark, d):
+    return C.search(_table(spark, d, "nation", "n_nationkey"), "1").result()
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[a-m].*e')")
+def search_field(spark, d):
+    return C.search(C.cut(_table(spark, d, "part", "p_partkey"), ["p_partkey", "p_name"]), "^[a-m].*e", "p_name").result()
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE NOT regexp_matches(o_orderpriority, 'URGENT|HIGH')")
+def search_invert(spark, d):
+    return C.search(C.cut(_table(spark, d, "orders", "o_orderkey"), ["o_orderkey", "o_orderpriority"]), "URGENT|HIGH", "o_orderpriority", invert=True).result()
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000 AND o_orderstatus <> 'F'")
+def search_expr(spark, d):
+    return C.cut(C.search(_table(spark, d, "orders", "o_orderkey"), expr="o_totalprice > 200000 and o_orderstatus <> 'F'"), ["o_orderkey", "o_totalprice"]).result()
+
+
+@query("SELECT regexp_replace(CAST(p_partkey AS VARCHAR), '([aeiou1])', '<\\1>', 'g') AS p_partkey, regexp_replace(p_name, '([aeiou1])', '<\\1>', 'g') AS p_name FROM part")
+def gsub_all(spark, d):
+    return C.gsub(C.cut(_table(spark, d, "part", "p_partkey"), ["p_partkey", "p_name"]), "([aeiou1])", r"<\1>").result()
+
+
+@query("SELECT p_partkey, regexp_replace(p_brand, '[0-9]+', '$', 'g') AS p_brand FROM part")
+def gsub_field(spark, d):
+    return C.gsub(C.cut(_table(spark, d, "part", "p_partkey"), ["p_partkey", "p_brand"]), "[0-9]+", "$", "p_brand").result()
+
+
+@query("SELECT * FROM region UNION ALL BY NAME SELECT * FROM nation")
+def cat_union(spark, d):
+    return C.cat([_table(spark, d, "region", "r_regionkey"), _table(spark, d, "nation", "n_nationkey")]).result()
+
+
+@query("SELECT 'c' AS filename, c_name AS name FROM customer UNION ALL SELECT 's', s_name FROM supplier")
+def cat_filename(spark, d):
+    a, b = _renamed(_table(spark, d, "customer", "c_custkey"), c_name="name"), _renamed(_table(spark, d, "supplier", "s_suppkey"), s_name="name")
+    return C.cat([a, b], ["c", "s"]).result()
+
+
+# --- order ------------------------------------------------------------------------------------
+
+_KEY = (
+    "CASE WHEN {0} IS NULL THEN [] WHEN regexp_full_match({0}, '\\s*-?[0-9]+(\\.[0-9]+)?([eE][-+]?[0-9]+)?\\s*') "
+    "THEN [{{'t': 0, 'd': try_cast(trim({0}) AS DOUBLE), 's': ''}}] ELSE list_transform(regexp_extract_all({0}, '[0-9]+|[^0-9]+'), "
+    "lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN {{'t': 0, 'd': try_cast(x AS DOUBLE), 's': ''}} ELSE {{'t': 1, 'd': 0.0::DOUBLE, 's': x}} END) END"
+)
+
+
+@query(f"SELECT n_name, n_nationkey, row_number() OVER (ORDER BY {_KEY.format('n_name')}, n_nationkey) AS rank FROM nation")
+def sort_natural(spark, d):
+    t = C.cut(_table(spark, d, "nation", "n_nationkey"), ["n_name", "n_nationkey"])
+    return O.ranked(t, ["n_name"])
+
+
+@query(f"SELECT p_name, p_brand, p_partkey, row_number() OVER (ORDER BY {_KEY.format('p_brand')}, {_KEY.format('p_name')}, p_partkey) AS rank FROM part")
+def sort_natural_two(spark, d):
+    return O.ranked(C.cut(_table(spark, d, "part", "p_partkey"), ["p_name", "p_brand", "p_partkey"]), ["p_brand", "p_name"])
+
+
+@query("SELECT n_name, n_regionkey FROM nation WHERE n_nationkey BETWEEN 2 AND 6")
+def crop_range(spark, d):
+    t = _table(spark, d, "nation", "n_nationkey")
+    grid = t.df.select(F.col("n_nationkey").cast("long").alias("row"), F.array(*[field(f).cast("string") for f in t.fields]).alias("cells"))
+    out = O.crop(grid, "B3:C7")
+    return out.select(F.col("cells")[0].alias("n_name"), F.col("cells")[1].cast("int").alias("n_regionkey"))
+
+
+@query("""SELECT * FROM (SELECT n_nationkey AS n_nationkey_1, lead(n_nationkey) OVER w AS n_nationkey_2, lead(n_nationkey, 2) OVER w AS n_nationkey_3,
+  n_name AS n_name_1, lead(n_name) OVER w AS n_name_2, lead(n_name, 2) OVER w AS n_name_3 FROM nation WINDOW w AS (ORDER BY n_nationkey)) WHERE n_name_3 IS NOT NULL""")
+def consecutive_3(spark, d):
+    return O.consecutive(C.cut(_table(spark, d, "nation", "n_nationkey"), ["n_nationkey", "n_name"]), 3).result()
+
+
+@query("""SELECT event_id - first AS row, event_id, event_type, CAST(sum(new) OVER (ORDER BY event_id) AS BIGINT) AS run1 FROM (
+  SELECT event_id, event_type, min(event_id) OVER () AS first, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (ORDER BY event_id) THEN 1 ELSE 0 END AS new FROM events)""")
+def control_break(spark, d):
+    return O.control_break(C.cut(_table(spark, d, "events", "event_id"), ["event_id", "event_type"]), "event_type")
+
+
+# --- groups -----------------------------------------------------------------------------------
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS price,
+  min(l_quantity) AS low, max(l_quantity) AS high, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem GROUP BY 1, 2""")
+def group_multi(spark, d):
+    t = _table(spark, d, "lineitem")
+    t = t.having(t.df.withColumn("l_extendedprice", _money("l_extendedprice")))
+    out = G.group(t, ["l_returnflag", "l_linestatus"], [("count", "n"), ("sum(l_extendedprice)", "price"), ("min(l_quantity)", "low"), ("max(l_quantity)", "high"), ("sum(l_linenumber)", "lines")])
+    return out.result().withColumn("price", F.col("price").cast("decimal(38,2)"))
+
+
+@query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def group_distinct(spark, d):
+    return G.group(_table(spark, d, "orders", "o_orderkey"), ["o_orderstatus", "o_orderpriority"]).result()
+
+
+@query("SELECT c_mktsegment, CAST(sum(c_nationkey) AS DOUBLE) / count(*) AS mean FROM customer GROUP BY 1")
+def group_avg(spark, d):
+    return G.group(_table(spark, d, "customer", "c_custkey"), ["c_mktsegment"], [("avg(c_nationkey)", "mean")]).result()
+
+
+@query(f"""SELECT n_regionkey, arg_min(n_name, (k, n_nationkey)) AS low, arg_max(n_name, (k, -n_nationkey)) AS high FROM (SELECT *, {_KEY.format('n_name')} AS k FROM nation) GROUP BY 1""")
+def group_minmax_text(spark, d):
+    return G.group(_table(spark, d, "nation", "n_nationkey"), ["n_regionkey"], [("min(n_name)", "low"), ("max(n_name)", "high")]).result()
+
+
+@query("""SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1""")
+def group_values(spark, d):
+    return G.group(_table(spark, d, "nation", "n_nationkey"), ["n_regionkey"], [("values(n_name)", "names")]).result()
+
+
+@query("""SELECT o_custkey, string_agg(o_orderstatus, ',' ORDER BY k) AS statuses FROM (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS k FROM orders GROUP BY 1, 2) GROUP BY 1""")
+def group_uniquevalues(spark, d):
+    return G.group(_table(spark, d, "orders", "o_orderkey"), ["o_custkey"], [("uniquevalues(o_orderstatus)", "statuses")]).result()
+
+
+@query("""SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) AS head, arg_max(o_orderstatus, o_orderkey) AS tail,
+  array_to_string(list(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderkey)[1:2], '|') AS head2, array_to_string(list(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderkey)[-2:], '|') AS tail2 FROM orders GROUP BY 1""")
+def group_first_last(spark, d):
+    out = G.group(_table(spark, d, "orders", "o_orderkey"), ["o_custkey"], [("first(o_orderstatus)", "head"), ("last(o_orderstatus)", "tail"), ("firstn(2,o_orderkey)", "h"), ("lastn(2,o_orderkey)", "t")])
+    joined = [F.array_join(F.transform(c, lambda x: x.cast("string")), "|").alias(n) for c, n in (("h", "head2"), ("t", "tail2"))]
+    return out.result().select("o_custkey", "head", "tail", *joined)
+
+
+_CROSS = ", ".join(f"nullif(count(*) FILTER (o_orderpriority = '{p}'), 0) AS \"{p}\"" for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))
+
+
+@query(f"SELECT o_orderstatus, {_CROSS} FROM orders GROUP BY 1")
+def cross_count(spark, d):
+    out = G.cross(_table(spark, d, "orders", "o_orderkey"), ["o_orderstatus"], "o_orderpriority")
+    return out.result()
+
+
+@query("SELECT n_regionkey AS region, count(*) AS count FROM nation GROUP BY 1")
+def category_count(spark, d):
+    return G.category_count(_renamed(_table(spark, d, "nation", "n_nationkey"), n_regionkey="region"), "region")
+
+
+# --- joins ------------------------------------------------------------------------------------
+
+
+def _people(spark, d):
+    a = _renamed(_table(spark, d, "customer", "c_custkey"), c_nationkey="key", c_name="customer")
+    b = _renamed(_table(spark, d, "nation", "n_nationkey"), n_nationkey="key", n_name="nation")
+    s = _renamed(C.search(_table(spark, d, "supplier", "s_suppkey"), expr="s_nationkey < 12"), s_nationkey="key", s_name="supplier")
+    return a, b, s
+
+
+@query("SELECT c_nationkey AS key, c_name AS customer, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def natjoin_inner(spark, d):
+    a, b, _ = _people(spark, d)
+    return J.natjoin(a, b).result()
+
+
+@query("SELECT n_nationkey AS key, n_name AS nation, s_name AS supplier FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_nationkey < 12) ON s_nationkey = n_nationkey")
+def natjoin_left(spark, d):
+    _, b, s = _people(spark, d)
+    return J.natjoin(b, s, left=True).result()
+
+
+@query("SELECT n_nationkey AS key, s_name AS supplier, n_name AS nation FROM (SELECT * FROM supplier WHERE s_nationkey < 12) RIGHT JOIN nation ON s_nationkey = n_nationkey")
+def natjoin_right(spark, d):
+    _, b, s = _people(spark, d)
+    return J.natjoin(s, b, right=True).result()
+
+
+@query("SELECT coalesce(n_nationkey, s_nationkey) AS key, CASE WHEN n_nationkey IS NULL THEN '-' ELSE n_name END AS nation, CASE WHEN s_nationkey IS NULL THEN '-' ELSE s_name END AS supplier FROM (SELECT * FROM nation WHERE n_nationkey > 5) FULL JOIN (SELECT * FROM supplier WHERE s_nationkey < 12) ON s_nationkey = n_nationkey")
+def natjoin_missing(spark, d):
+    _, b, s = _people(spark, d)
+    return J.join([C.search(b, expr="key > 5"), s], missing="-").result()
+
+
+@query("SELECT r_regionkey, n_nationkey FROM region CROSS JOIN nation")
+def natjoin_product(spark, d):
+    return J.natjoin(C.cut(_table(spark, d, "region", "r_regionkey"), ["r_regionkey"]), C.cut(_table(spark, d, "nation", "n_nationkey"), ["n_nationkey"])).result()
+
+
+@query("SELECT c_nationkey AS key, c_name AS customer, n_name AS nation, s_name AS supplier FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN (SELECT * FROM supplier WHERE s_nationkey < 12) ON s_nationkey = n_nationkey")
+def join_three(spark, d):
+    a, b, s = _people(spark, d)
+    return J.join([a, b, s]).result()
+
+
+# --- reshaping --------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(n_nationkey + 1 AS BIGINT) AS recnum, n_nationkey, unnest(['n_name', 'n_regionkey']) AS variable, unnest([n_name, CAST(n_regionkey AS VARCHAR)]) AS value FROM nation")
+def melt_recnum(spark, d):
+    out = R.melt(_table(spark, d, "nation", "n_nationkey"), ["n_nationkey"], recnum="recnum").result()
+    return out
+
+
+@query("SELECT c_custkey, unnest(['c_name', 'c_mktsegment']) AS field, unnest([c_name, c_mktsegment]) AS cell FROM customer")
+def melt_regexp(spark, d):
+    return R.melt(_table(spark, d, "customer", "c_custkey"), ["c_custkey"], fields=["c_name"], regexps=["c_mkt.*"], variable="field", value="cell").result()
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def unmelt_melted(spark, d):
+    t = R.melt(C.cut(_table(spark, d, "customer", "c_custkey"), ["c_custkey", "c_name", "c_mktsegment"]), ["c_custkey"])
+    return R.unmelt(t, ["c_custkey"], names=["c_name", "c_mktsegment"]).result()
+
+
+@query("SELECT n_regionkey, 'n_nationkey,n_name' || chr(10) || string_agg(n_nationkey || ',' || n_name || chr(10), '' ORDER BY n_nationkey) AS nations FROM nation GROUP BY 1")
+def nest_csv(spark, d):
+    return R.nest(_table(spark, d, "nation", "n_regionkey", "n_nationkey"), "nations", ["n_nationkey", "n_name"]).result()
+
+
+@query("SELECT n_regionkey, n_nationkey, n_name FROM nation")
+def nest_unnest(spark, d):
+    t = R.nest(_table(spark, d, "nation", "n_regionkey", "n_nationkey"), "nations", ["n_nationkey", "n_name"], as_csv=False)
+    return R.unnest(t, "nations").result()
+
+
+@query("SELECT 'nation' AS filename, count(*) AS records, CAST(3 AS BIGINT) AS header_fields FROM nation UNION ALL SELECT 'region', count(*), 2 FROM region")
+def shape(spark, d):
+    return R.shape([("nation", _table(spark, d, "nation", "n_nationkey")), ("region", _table(spark, d, "region", "r_regionkey"))])
