@@ -90,9 +90,9 @@ def nest(table: TableFrame, new: str, olds: Sequence[str], as_csv: bool = True)
     return TableFrame(out.select(POS, *[field(f) for f in [*rest, new]]), (*rest, new))
 
 
-def _csv_rows(text: str | None) -> list[dict[str, str]]:
+def _csv_rows(text: str | None) -> list[list[tuple[str, str]]]:
     rows = [r for r in csv.reader(io.StringIO(text or ""))]
-    return [dict(zip(rows[0], r, strict=False)) for r in rows[1:] if r] if rows else []
+    return [list(dict(zip(rows[0], r, strict=False)).items()) for r in rows[1:] if r] if rows else []
 
 
 def unnest(table: TableFrame, name: str, prefix: str = "", outer: bool = False, names: Sequence[str] | None = None) -> TableFrame:
@@ -105,8 +105,8 @@ def unnest(table: TableFrame, name: str, prefix: str = "", outer: bool = False,
         items = field(name)
         pick = lambda n: F.col("__x")[n]
     else:
-        parse = F.udf(_csv_rows, "array<map<string,string>>")
-        items = parse(field(name))
+        parse = F.udf(_csv_rows, "array<array<struct<k:string,v:string>>>")
+        items = F.transform(parse(field(name)), F.map_from_entries)
         if names is None:
             heads = table.df.select(POS, F.explode(items).alias("m")).select(POS, F.posexplode(F.map_keys("m")).alias("i", "n"))
             found = heads.groupBy("n").agg(F.min(F.struct(POS, "i")).alias("p")).orderBy("p")
