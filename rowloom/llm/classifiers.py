@@ -82,23 +82,22 @@ def ngram_scores(texts: pa.Array, weights: np.ndarray, spec: NgramSpec) -> np.nd
     return out
 
 
-def ngram_rows(texts: pa.Array, spec: NgramSpec) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature), distinct, for fitting."""
-    rows, cols = [], []
+def ngram_rows(texts: pa.Array, spec: NgramSpec, keep: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, feature), distinct, a chunk of texts at a time; only features marked in ``keep``."""
     for at, _, data, starts, ends, row, word in _distinct_words(texts):
         if not len(starts):
             continue
         owner, feature = word_ngrams(data, starts, ends, spec)
+        if keep is not None:
+            told = keep[feature]
+            owner, feature = owner[told], feature[told]
         order = np.argsort(owner, kind="stable")
         count = np.bincount(owner, minlength=len(starts))
         first = np.concatenate([[0], np.cumsum(count)])
         reps = count[word]
         slot = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(first[word], reps)
         r, c, _ = _sorted_counts(np.repeat(row, reps), feature[order][slot], 1 << spec.bits)
-        rows.append(r + at)
-        cols.append(c)
-    none = np.empty(0, dtype=np.int64)
-    return np.concatenate([none, *rows]), np.concatenate([none, *cols])
+        yield (r + at).astype(np.int32), c.astype(np.int32)
 
 
 # --- a bounded sample of labelled texts -------------------------------------------------------
@@ -161,13 +160,16 @@ def fit_toxicity(texts: pa.Array, toxic: np.ndarray, spec: NgramSpec = NgramSpec
     if not len(toxic) or toxic.min() == toxic.max():
         share = (toxic.sum() + 0.5) / (len(toxic) + 1.0)
         return ToxicityModel(spec, np.zeros(width, dtype=np.float32), float(np.log(share / (1 - share))))
-    rows, cols = ngram_rows(texts, spec)
-    p = np.bincount(cols, weights=toxic[rows], minlength=width) + 1.0
-    q = np.bincount(cols, weights=1.0 - toxic[rows], minlength=width) + 1.0
+    p, q = np.ones(width), np.ones(width)
+    for rows, cols in ngram_rows(texts, spec):
+        p += np.bincount(cols, weights=toxic[rows], minlength=width)
+        q += np.bincount(cols, weights=1.0 - toxic[rows], minlength=width)
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio[(p + q - 2.0 < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0.0
-    told = ratio[cols] != 0.0
-    rows, cols = rows[told], cols[told]
+    # A second pass keeps the telling features only, so the driver never holds them all.
+    none = np.empty(0, dtype=np.int32)
+    kept = [(none, none), *ngram_rows(texts, spec, ratio != 0.0)]
+    rows, cols = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
     value = ratio[cols]
     weigh = np.where(toxic > 0, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean())) / len(toxic)
 
