@@ -21,8 +21,8 @@ SLACK_SIGMAS = 4.5
 #: Pivot orders: the bands take turns, so a member of a large group meets several pivots.
 PIVOT_ORDERS = 4
 #: Members, and set elements together, that one side of a comparison task holds at most.
-BLOCK = 1024
-BLOCK_ITEMS = 4_000_000
+BLOCK = 512
+BLOCK_ITEMS = 1_000_000
 
 
 def _sets_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -98,7 +98,12 @@ def _block_links(table: pa.Table, spec: SketchSpec, percent: int, least: float)
         with_i, same = with_i[here], same[here]
         found.append(np.column_stack([np.full(len(with_i), i), with_i, (regs[with_i] < regs[i]).sum(axis=1), same]))
     i, j, above, same = np.concatenate(found).T
-    score = likely_jaccard(above, spec.m - above - same, same, size[i].astype(float), size[j].astype(float), spec.base)
+    score = np.empty(len(i))
+    for at in range(0, len(i), 20_000):  # bounded temporaries
+        part = slice(at, at + 20_000)
+        score[part] = likely_jaccard(
+            above[part], (spec.m - above - same)[part], same[part], size[i[part]].astype(float), size[j[part]].astype(float), spec.base
+        )
     order = np.argsort(-score, kind="stable")
     order = order[score[order] >= least]
     out = []
