@@ -9,6 +9,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +18,13 @@ from rowloom.llm.workspace import Workspace
 
 _U = np.uint64
 
-#: Bytes of context at most. The depth used is the largest whose distinct byte grams fit GRAMS.
+#: Bytes of context.
 DEPTH = 4
-#: Byte grams of the model at most (16 bytes each, and their nodes): the bound of what is
-#: broadcast. Depth 1 has at most 65,536 grams, so some depth always fits.
-GRAMS = 3_000_000
+#: Byte grams that are broadcast at most (12 bytes each): those that make up one position in
+#: HEAVY_GRAMS or more. The probabilities of all others reach their texts by a join.
+HEAVY_GRAMS = 1 << 22
+#: Distinct grams, about, whose part of the tree one task fits.
+BUCKET_GRAMS = 250_000
 #: Words that are broadcast at most: those that make up one token in HEAVY_WORDS or more. The
 #: counts of all other words reach their texts by a join.
 HEAVY_WORDS = 1 << 22
@@ -81,26 +84,30 @@ class _Counter:
 
 
 def _counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    words, grams = _Counter(), _Counter()
+    """(kind, key, n, m): kind 0 training words, kind 1 grams; n counts training texts, m all."""
+    words, grams, others = _Counter(), _Counter(), _Counter()
 
-    def handed(counter: _Counter, kind: int) -> Iterator[pa.RecordBatch]:
+    def handed(counter: _Counter) -> Iterator[pa.RecordBatch]:
         keys, count = counter.merge()
         for at in range(0, len(keys), 200_000):
-            k, c = keys[at : at + 200_000], count[at : at + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind), pa.int32()), pa.array(k.view(np.int64)), pa.array(c)], names=["kind", "key", "n"])
+            k, m = keys[at : at + 200_000], count[at : at + 200_000]
+            n = np.zeros_like(m) if counter is others else m
+            kind = np.full(len(k), int(counter is not words))
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(k.view(np.int64)), pa.array(n), pa.array(m)], names=["kind", "key", "n", "m"])
         counter.parts, counter.size = [], 0
 
     for batch in batches:
-        for at, end, data, offs in chunks(batch["text"]):
-            data = lowered(data)
-            token, _ = _tokens(data, offs)
-            words.add(np.concatenate([token, np.repeat(_END_WORD, end - at)]))
-            grams.add(byte_grams(data, offs, depth)[0])
-        for kind, counter in ((0, words), (1, grams)):
+        for held in (False, True):
+            for at, end, data, offs in chunks(batch.filter(pc.equal(batch["held_out"], held))["text"]):
+                data = lowered(data)
+                (others if held else grams).add(byte_grams(data, offs, depth)[0])
+                if not held:
+                    words.add(np.concatenate([_tokens(data, offs)[0], np.repeat(_END_WORD, end - at)]))
+        for counter in (words, grams, others):
             if counter.size > HELD:
-                yield from handed(counter, kind)
-    yield from handed(words, 0)
-    yield from handed(grams, 1)
+                yield from handed(counter)
+    for counter in (words, grams, others):
+        yield from handed(counter)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -112,118 +119,196 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+def _levels(keys: np.ndarray, counts: np.ndarray, top: int, low: int, below: list | None = None) -> tuple[dict, list]:
+    """The nodes of depths ``top`` to ``low``, from the counts of (top + 1)-byte grams.
+
+    Each of the 8 bits of a byte has its own context tree. A node's estimate is
+    Krichevsky-Trofimov's on its zeros and ones; its weighted probability is the mean of that
+    and the product over its children (one further byte of context). Nodes at ``top`` are
+    leaves unless ``below`` has, per bit, the ids of such nodes and the logs of those products.
+    Result: by depth, per bit (ids, probability of a one by own counts, weight of that
+    estimate); and per bit (ids, log weighted probability) of depth ``low``.
+    """
+    levels = {}
+    for d in range(top, low - 1, -1):
+        short, at = np.unique(keys & _U((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        n = np.bincount(at, weights=counts, minlength=len(short))
+        levels[d], here = [], []
+        for b in range(8):
+            node = short >> _U(8 - b)
+            first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.empty(0, dtype=int)
+            ids = node[first]
+            ones = np.add.reduceat(n * ((short >> _U(7 - b)) & _U(1)), first) if len(first) else np.empty(0)
+            zeros = (np.add.reduceat(n, first) if len(first) else np.empty(0)) - ones
+            own = _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - np.log(np.pi)
+            if below is None:
+                weighted, weight = own, np.ones_like(own)
+            else:
+                child, child_w = below[b]
+                parent = np.searchsorted(ids, child & _U((1 << (8 * d + b)) - 1))
+                product = np.bincount(parent, weights=child_w, minlength=len(ids))
+                weighted = np.logaddexp(own, product) - np.log(2.0)
+                weight = np.exp(own - np.log(2.0) - weighted)
+            here.append((ids, weighted))
+            levels[d].append((ids, ((ones + 0.5) / (zeros + ones + 1.0)).astype(np.float32), weight.astype(np.float32)))
+        below = here
+    return levels, below
+
+
+def _mixed(levels: dict, grams: np.ndarray, deeper: np.ndarray) -> np.ndarray:
+    """(8, n) probabilities of a one at each bit, mixing these depths into what deeper ones say."""
+    out = np.array(deeper, dtype=np.float64)
+    for d in sorted(levels, reverse=True):
+        for b, (ids, one, weight) in enumerate(levels[d]):
+            if len(ids):
+                node = (grams & _U((1 << 8 * (d + 1)) - 1)) >> _U(8 - b)
+                at = np.minimum(np.searchsorted(ids, node), len(ids) - 1)
+                out[b] = np.where(ids[at] == node, weight[at] * one[at] + (1.0 - weight[at]) * out[b], out[b])
+    return out
+
+
+def _code_log2(ones: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """log2 probability of each gram's last byte from those of its bits being one."""
+    total = np.zeros(len(grams))
+    for b in range(8):
+        bit = ((grams >> _U(7 - b)) & _U(1)).astype(bool)
+        total += np.log2(np.where(bit, ones[b], 1.0 - ones[b]))
+    return total
+
+
 @dataclass
 class ContextTree:
-    """Nodes by depth and bit: keys (context bytes, then the bits of the byte seen so far),
-    the probability of a one by the node's own counts, and the weight of that estimate."""
+    """A whole tree in memory: nodes by depth and bit. Small corpora, and tests of the
+    distributed form below, which gives the same probabilities."""
 
     depth: int
-    nodes: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
-    grams: np.ndarray
-    known: np.ndarray  # log2 probability of each gram
+    nodes: dict
 
     @staticmethod
     def fit(keys: np.ndarray, counts: np.ndarray, depth: int) -> ContextTree:
-        """From the counts of all (depth + 1)-byte grams.
-
-        Each of the 8 bits of a byte has its own context tree. A node's estimate is
-        Krichevsky-Trofimov's on its zeros and ones; its weighted probability is the mean of
-        that and the product over its children (one further byte of context), leaves at full
-        depth having no children. Prediction mixes all depths by the posterior of these halves.
-        """
-        order = np.argsort(keys)
-        keys, counts = keys[order].astype(_U), counts[order].astype(np.float64)
-        levels: list = [None] * (depth + 1)
-        below: list = [None] * 8
-        for d in range(depth, -1, -1):
-            short, at = np.unique(keys & _U((1 << 8 * (d + 1)) - 1), return_inverse=True)
-            n = np.bincount(at, weights=counts, minlength=len(short))
-            levels[d] = []
-            for b in range(8):
-                node = short >> _U(8 - b)
-                first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.empty(0, dtype=int)
-                ids = node[first]
-                ones = np.add.reduceat(n * ((short >> _U(7 - b)) & _U(1)), first) if len(first) else np.empty(0)
-                zeros = (np.add.reduceat(n, first) if len(first) else np.empty(0)) - ones
-                own = _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - np.log(np.pi)
-                if d == depth:
-                    weighted, weight = own, np.ones_like(own)
-                else:
-                    child, child_w = below[b]
-                    parent = np.searchsorted(ids, child & _U((1 << (8 * d + b)) - 1))
-                    product = np.bincount(parent, weights=child_w, minlength=len(ids))
-                    weighted = np.logaddexp(own, product) - np.log(2.0)
-                    weight = np.exp(own - np.log(2.0) - weighted)
-                below[b] = ids, weighted
-                levels[d].append((ids, ((ones + 0.5) / (zeros + ones + 1.0)).astype(np.float32), weight.astype(np.float32)))
-        tree = ContextTree(depth, levels, keys, np.empty(0))
-        tree.known = tree.evaluate(keys)
-        return tree
+        """From the counts of all (depth + 1)-byte grams."""
+        return ContextTree(depth, _levels(keys.astype(_U), counts.astype(np.float64), depth, 0)[0])
 
     def evaluate(self, grams: np.ndarray) -> np.ndarray:
         """log2 probability of the last byte of each gram after those before it."""
-        total = np.zeros(len(grams))
-        for b in range(8):
-            p = np.full(len(grams), 0.5)
-            for d in range(self.depth, -1, -1):
-                ids, one, weight = self.nodes[d][b]
-                node = (grams & _U((1 << 8 * (d + 1)) - 1)) >> _U(8 - b)
-                at = np.minimum(np.searchsorted(ids, node), max(0, len(ids) - 1))
-                seen = ids[at] == node if len(ids) else np.zeros(len(grams), dtype=bool)
-                if len(ids):
-                    p = np.where(seen, weight[at] * one[at] + (1.0 - weight[at]) * p, p)
-            bit = ((grams >> _U(7 - b)) & _U(1)).astype(bool)
-            total += np.log2(np.where(bit, p, 1.0 - p))
-        return total
-
-    def log2(self, grams: np.ndarray) -> np.ndarray:
-        """As :meth:`evaluate`, with the grams met in training looked up."""
-        codes, found = pd.factorize(grams)
-        value = np.empty(len(found))
-        at = np.minimum(np.searchsorted(self.grams, found), max(0, len(self.grams) - 1))
-        hit = self.grams[at] == found if len(self.grams) else np.zeros(len(found), dtype=bool)
-        value[hit] = self.known[at[hit]]
-        value[~hit] = self.evaluate(found[~hit])
-        return value[codes]
+        return _code_log2(_mixed(self.nodes, grams, np.full((8, len(grams)), 0.5)), grams)
+
+
+def _fit_bucket(table: pa.Table, depth: int, cut: int) -> pa.Table:
+    """The subtrees below depth ``cut`` of one bucket's contexts.
+
+    kind 0: key (bit and node one depth higher), value: the sum of its children's log weighted
+    probabilities here. kind 1: a gram, m, and in ``low`` what depths from cut on say of its 8 bits.
+    """
+    keys, n = table["key"].to_numpy().view(_U), table["n"].to_numpy()
+    levels, top = _levels(keys[n > 0], n[n > 0].astype(np.float64), depth, cut)
+    low = _mixed(levels, keys, np.full((8, len(keys)), 0.5)).T.astype("<f4")
+    ids, sums = [], []
+    for b, (node, weighted) in enumerate(top):
+        parent, at = np.unique(node & _U((1 << (8 * (cut - 1) + b)) - 1), return_inverse=True)
+        ids.append(parent | _U(b << 32))
+        sums.append(np.bincount(at, weights=weighted, minlength=len(parent)))
+    ids, sums = np.concatenate(ids), np.concatenate(sums)
+    low = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(keys), [None, pa.py_buffer(low.tobytes())]).cast(pa.binary())
+    kind = np.repeat([0, 1], [len(ids), len(keys)])
+    return pa.table({
+        "kind": pa.array(kind, pa.int32()), "key": pa.array(np.concatenate([ids, keys]).view(np.int64)),
+        "m": pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(table["m"].to_numpy())]),
+        "value": pa.concat_arrays([pa.array(sums), pa.nulls(len(keys), pa.float64())]),
+        "low": pa.concat_arrays([pa.nulls(len(ids), pa.binary()), low]),
+    })
+
+
+def _known(batches: Iterator[pa.RecordBatch], upper: dict) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = batch["key"].to_numpy().view(_U)
+        low = np.frombuffer(b"".join(batch["low"].to_pylist()), dtype="<f4").reshape(-1, 8).T
+        value = _code_log2(_mixed(upper, keys, low), keys) * np.log10(2.0)
+        yield pa.RecordBatch.from_arrays([batch["key"], batch["m"], pa.array(value)], names=["key", "m", "value"])
+
+
+def gram_values(ws: Workspace, grams: DataFrame, depth: int) -> DataFrame:
+    """(key, m, value): the log10 probability that the tree gives each gram in grams(key, n, m).
+
+    Contexts are dealt to buckets by their nearest ``cut`` (two) bytes, and a task fits all
+    that lies below those: at most 2^24 grams a context at depth 4, whatever the corpus.
+    Of the two depths above only sums are gathered: at most 65,280 nodes and 65,536 grams.
+    """
+    cut = min(2, depth)
+    buckets = max(64, -(-grams.count() // BUCKET_GRAMS))
+    context = F.shiftright("key", 8).bitwiseAND((1 << 8 * cut) - 1)
+    fitted = ws.save(
+        grams.select("key", "n", "m", F.pmod(F.xxhash64(context), F.lit(buckets)).alias("bucket")).groupBy("bucket")
+        .applyInArrow(lambda table: _fit_bucket(table, depth, cut), "kind int, key long, m long, value double, low binary"),
+        "tree",
+    )
+    sums = fitted.where("kind = 0").groupBy("key").agg(F.sum("value").alias("value")).orderBy("key").toArrow()
+    short = grams.where("n > 0").groupBy(F.col("key").bitwiseAND((1 << 8 * cut) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    key, value = sums["key"].to_numpy().view(_U), sums["value"].to_numpy()
+    of = [key >> _U(32) == b for b in range(8)]
+    below = [(key[x] & _U(0xFFFFFFFF), value[x]) for x in of]
+    upper, _ = _levels(short["key"].to_numpy().view(_U), short["n"].to_numpy().astype(np.float64), cut - 1, 0, below)
+    known = ws.save(fitted.where("kind = 1").select("key", "m", "low").mapInArrow(partial(_known, upper=upper), "key long, m long, value double"), "known")
+    ws.drop("tree")
+    return known
+
+
+_SCORED = "row long, kind int, key long, n long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long"
+
+
+def _looked_up(keys: np.ndarray, owner: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray]):
+    """Sums of the values and numbers of the keys found, by owner; and the others as
+    (owner, key, count)."""
+    codes, found = pd.factorize(keys)
+    heavy, values = table
+    hit, value = np.zeros(len(found), dtype=bool), np.zeros(len(found))
+    if len(heavy):
+        at = np.minimum(np.searchsorted(heavy, found), len(heavy) - 1)
+        hit = heavy[at] == found
+        value = np.where(hit, values[at], 0.0)
+    told = hit[codes]
+    rest, count = np.unique(owner[~told] * len(found) + codes[~told], return_counts=True)
+    sums = np.bincount(owner, weights=value[codes], minlength=n), np.bincount(owner, weights=told, minlength=n).astype(np.int64)
+    return *sums, (rest // max(1, len(found)), found[rest % max(1, len(found))], count)
 
 
 def _scores(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    tree, heavy, heavy_log = shared.value
-    names = ["row", "word", "n", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes"]
+    """A row a text with what the broadcast tables say of it, and a row for each word (kind 0)
+    and gram (kind 1) of it that they do not hold."""
+    depth, heavy_words, heavy_grams = shared.value
+    schema = pa.schema([pa.field(name, {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}[kind]) for name, kind in (x.split() for x in _SCORED.split(", "))])
     for batch in batches:
         for at, end, data, offs in chunks(batch["text"]):
-            n = end - at
-            grams, starts = byte_grams(lowered(data), offs, tree.depth)
-            bits = np.add.reduceat(tree.log2(grams), starts[:-1])
-            token, firsts = _tokens(lowered(data), offs)
-            owner = np.concatenate([np.repeat(np.arange(n), np.diff(firsts)), np.arange(n)])
-            token = np.concatenate([token, np.repeat(_END_WORD, n)])
-            codes, found = pd.factorize(token)
-            place = np.minimum(np.searchsorted(heavy, found), max(0, len(heavy) - 1))
-            is_heavy = heavy[place] == found if len(heavy) else np.zeros(len(found), dtype=bool)
-            part = np.where(is_heavy, heavy_log[place] if len(heavy) else 0.0, 0.0)
+            n, data = end - at, lowered(data)
             doc = batch.slice(at, n)
-            none = pa.nulls
-            yield pa.RecordBatch.from_arrays([
-                doc["row"], none(n, pa.int64()), none(n, pa.int64()), doc["doc_id"], doc["held_out"],
-                pa.array(np.bincount(owner, minlength=n)), pa.array(np.bincount(owner, weights=is_heavy[codes], minlength=n).astype(np.int64)),
-                pa.array(np.bincount(owner, weights=part[codes], minlength=n)), pa.array(bits * np.log10(2.0)), pa.array(np.diff(offs)),
-            ], names=names)
-            light = ~is_heavy[codes]
-            key, count = np.unique(owner[light].astype(np.int64) * len(found) + codes[light], return_counts=True)
-            m = len(key)
-            yield pa.RecordBatch.from_arrays([
-                doc["row"].take(pa.array(key // max(1, len(found)))), pa.array(found[key % max(1, len(found))].view(np.int64)), pa.array(count),
-                none(m, pa.int64()), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64()), none(m, pa.int64()),
-            ], names=names)
+            grams, starts = byte_grams(data, offs, depth)
+            score, _, light_grams = _looked_up(grams, np.repeat(np.arange(n), np.diff(starts)), n, heavy_grams)
+            token, firsts = _tokens(data, offs)
+            owner = np.concatenate([np.repeat(np.arange(n), np.diff(firsts)), np.arange(n)])
+            base, known, light_words = _looked_up(np.concatenate([token, np.repeat(_END_WORD, n)]), owner, n, heavy_words)
+            each = {
+                "row": doc["row"], "doc_id": doc["doc_id"], "held_out": doc["held_out"], "n_tokens": np.bincount(owner, minlength=n),
+                "n_known": known, "base": base, "score": score, "n_bytes": np.diff(offs),
+            }
+            yield pa.RecordBatch.from_arrays([pa.array(each[f.name], f.type) if f.name in each else pa.nulls(n, f.type) for f in schema], schema=schema)
+            for kind, (whose, key, count) in enumerate((light_words, light_grams)):
+                m = len(key)
+                each = {"row": doc["row"].take(pa.array(whose)), "kind": np.full(m, kind), "key": key.view(np.int64), "n": count}
+                yield pa.RecordBatch.from_arrays([pa.array(each[f.name], f.type) if f.name in each else pa.nulls(m, f.type) for f in schema], schema=schema)
+
+
+def _heavy(table: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    keys = table["key"].to_numpy().view(_U)
+    order = np.argsort(keys)
+    return keys[order], table["value"].to_numpy()[order].astype(kind)
 
 
 def lm_scores(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Score every whole text, learning from those whose id's crc32 modulo 7 is not 2.
 
     Model: context-tree weighting over the bytes of the text (A-Z lower-cased) and one closing
-    zero byte, each byte split into 8 binary decisions, contexts of up to ``depth`` bytes;
-    counts come from all training texts, then the tree is fixed. Result: doc_id, held_out,
+    zero byte, each byte split into 8 binary decisions, contexts of up to ``depth`` bytes (1 to 7),
+    the same at every size; counts come from all training texts, then the tree is fixed. Result: doc_id, held_out,
     n_tokens (words ``[^\\x20\\x09-\\x0D]+`` and one end), n_known (tokens met in training),
     train_tokens, base_score (sum of log10((c + 1) / (N + V + 1))), score (log10 probability of
     the text by the model), bits_per_byte (code length per byte, the closing one included).
@@ -239,39 +324,36 @@ def lm_scores(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")
     )
     counts = ws.save(
-        rows.where(~F.col("held_out")).select("text").mapInArrow(partial(_counts, depth=depth), "kind int, key long, n long")
-        .groupBy("kind", "key").agg(F.sum("n").alias("n")),
+        rows.select("text", "held_out").mapInArrow(partial(_counts, depth=depth), "kind int, key long, n long, m long")
+        .groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")),
         "counts",
     )
-    words = counts.where("kind = 0")
+    words, grams = counts.where("kind = 0"), counts.where("kind = 1").select("key", "n", "m")
     facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()
-    grams = counts.where("kind = 1")
-    while depth > 1 and grams.limit(GRAMS + 1).count() > GRAMS:
-        depth -= 1
-        grams = ws.save(grams.groupBy(F.col("key").bitwiseAND((1 << 8 * (depth + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")), f"grams-{depth}")
-    table = grams.select("key", "n").toArrow()
-    tree = ContextTree.fit(table["key"].to_numpy().view(_U), table["n"].to_numpy(), depth)
-    least = max(2, -(-facts["tokens"] // HEAVY_WORDS))
-    table = words.where(F.col("n") >= least).select("key", "n").toArrow()
-    order = np.argsort(table["key"].to_numpy().view(_U))
-    heavy = table["key"].to_numpy().view(_U)[order], np.log10(table["n"].to_numpy()[order] + 1.0)
-    shared = spark.sparkContext.broadcast((tree, *heavy))
-    scored = ws.save(
-        rows.mapInArrow(
-            partial(_scores, shared=shared),
-            "row long, word long, n long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long",
-        ),
-        "scored",
+    places = grams.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    known = gram_values(ws, grams, depth)
+    logs = words.select("key", "n", F.log10(F.col("n") + 1.0).alias("value"))
+    least_word, least_gram = max(2, -(-facts["tokens"] // HEAVY_WORDS)), max(1, -(-places // HEAVY_GRAMS))
+    heavy_words = _heavy(logs.where(F.col("n") >= least_word).select("key", "value").toArrow(), np.float64)
+    heavy_grams = _heavy(known.where(F.col("m") >= least_gram).select("key", "value").toArrow(), np.float32)
+    shared = spark.sparkContext.broadcast((depth, heavy_words, heavy_grams))
+    scored = ws.save(rows.mapInArrow(partial(_scores, shared=shared), _SCORED), "scored")
+    rare = logs.where(F.col("n") < least_word).select(F.lit(0).alias("kind"), "key", "value").unionByName(
+        known.where(F.col("m") < least_gram).select(F.lit(1).alias("kind"), "key", "value")
     )
-    rare = words.where(F.col("n") < least).select(F.col("key").alias("word"), F.log10(F.col("n") + 1.0).alias("value"))
+    part = F.col("n") * F.col("value")
     light = (
-        scored.where("word is not null").select("row", "word", F.col("n")).join(rare, "word")
-        .groupBy("row").agg(F.sum("n").alias("n_light"), F.sum(F.col("n") * F.col("value")).alias("base_light"))
+        scored.where("kind is not null").select("row", "kind", "key", "n").join(rare, ["kind", "key"])
+        .groupBy("row").agg(
+            F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("n_light"),
+            F.sum(F.when(F.col("kind") == 0, part)).alias("base_light"), F.sum(F.when(F.col("kind") == 1, part)).alias("score_light"),
+        )
     )
-    each = float(np.log10(facts["tokens"] + facts["distinct"] + 1))
-    return scored.where("word is null").drop("word", "n").join(light, "row", "left").select(
+    unit = float(np.log10(facts["tokens"] + facts["distinct"] + 1))
+    score = F.col("score") + F.coalesce("score_light", F.lit(0.0))
+    return scored.where("kind is null").drop("kind", "key", "n").join(light, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("n_light", F.lit(0))).alias("n_known"),
         F.lit(facts["tokens"]).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_light", F.lit(0.0)) - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score",
-        (-F.col("score") / F.lit(float(np.log10(2.0))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("base_light", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)).alias("base_score"), score.alias("score"),
+        (-score / F.lit(float(np.log10(2.0))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )

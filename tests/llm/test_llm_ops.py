@@ -227,7 +227,6 @@ def test_context_tree_is_a_distribution_and_matches_brute_force():
     for context in (0x6162, 0x6120, 0xFFFF):
         every = np.array([context << 8 | b for b in range(256)], dtype=np.uint64)
         assert abs(np.exp2(tree.evaluate(every)).sum() - 1) < 1e-6
-    assert np.allclose(tree.log2(grams[:50]), tree.evaluate(grams[:50]))
     # Sequential mixing of one bit's tree, from the definition, for context depth 1.
     one = ctw.ContextTree.fit(*np.unique(grams & np.uint64(0xFFFF), return_counts=True), 1)
     lg = math.lgamma
@@ -255,6 +254,23 @@ def test_lm_scores_base(spark, monkeypatch):
         assert got[i]["score"] < 0
 
 
+@pytest.mark.parametrize(("depth", "heavy"), [(4, 300), (4, 1 << 22), (1, 300), (2, 1)])
+def test_lm_scores_equal_a_whole_tree(spark, monkeypatch, depth, heavy):
+    monkeypatch.setattr(ctw, "HEAVY_GRAMS", heavy)  # the rest of the grams take the join
+    monkeypatch.setattr(ctw, "BUCKET_GRAMS", 5)
+    rng = random.Random(11)
+    texts = [" ".join(words(rng, rng.randrange(0, 40), 60)) for _ in range(60)] + [None, "", "ÄÖ Novel held-out ~ TEXT"]
+    got = by_id(ctw.lm_scores(docs(spark, *texts), depth=depth))
+    each = []
+    for t in texts:
+        data = np.frombuffer((t or "").encode(), dtype=np.uint8)
+        each.append(ctw.byte_grams(np.where((data > 64) & (data < 91), data + 32, data).astype(np.uint8), np.array([0, len(data)]), depth)[0])
+    training = np.concatenate([g for i, g in enumerate(each) if zlib.crc32(str(i).encode()) % 7 != 2])
+    tree = ctw.ContextTree.fit(*np.unique(training, return_counts=True), depth)
+    for i, g in enumerate(each):
+        assert abs(got[i]["score"] - tree.evaluate(g).sum() * math.log10(2)) < 1e-4 * (1 + len(g) / 100)
+
+
 def test_extra_columns_and_repeated_rows(spark):
     frame = docs(spark, "a b c d e f", "a b c d e f").withColumn("row", F.lit(1)).withColumn("word", F.lit("x")).withColumn("cid", F.lit(2)).withColumn("h", F.lit(3))
     frame = frame.unionByName(frame).unionByName(frame.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
