@@ -16,7 +16,7 @@ from rowloom.operators import order as O
 from rowloom.operators import reshape as R
 from rowloom.sources.formats import field_list, resolve_format
 from rowloom.sources.readers import git_log, grid, list_dir, list_tar, read, read_one, svn_log
-from rowloom.sources.writers import lines, to_yaml, write
+from rowloom.sources.writers import lines, to_pnm, to_pp, to_yaml, write
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("files", nargs="+" if name != "git" else "*")
 
     flag, one = {"action": "store_true"}, {}
-    for kind in ("csv", "tsv", "ltsv", "json", "ndjson", "yaml"):
+    for kind in ("csv", "tsv", "ltsv", "json", "ndjson", "yaml", "pp", "pnm"):
         verb(f"to-{kind}", f"write as {kind}")
     verb("search", "rows that match", (["-f", "--field"], one), (["-v", "--invert"], flag), (["--expr"], one), (["-e", "--regexp"], one))
     verb("gsub", "replace matches", (["-f", "--field"], one), (["regexp"], one), (["replacement"], one))
@@ -133,7 +133,15 @@ def main(argv: list[str] | None = None) -> int:
     if a.output and kind is None and not headless:
         write(result, a.output)
         return 0
-    text = to_yaml(result) if kind == "yaml" else lines(result, kind or ("ncsv" if headless else "csv"))
+    if kind == "pnm":
+        image = to_pnm(result)
+        if a.output:
+            with open(a.output, "wb") as out:
+                out.write(image)
+        else:
+            sys.stdout.buffer.write(image)
+        return 0
+    text = to_yaml(result) if kind == "yaml" else to_pp(result) if kind == "pp" else lines(result, kind or ("ncsv" if headless else "csv"))
     if a.output:
         with open(a.output, "w", encoding="utf-8", newline="") as out:
             out.writelines(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,10 @@ from rowloom.operators.reshape import _csv_cell
 from rowloom.sources.formats import csv_line, ltsv_line, resolve_format, tsv_line
 
 
+# Escapes of a quoted text in pretty-printed rows.
+_PP_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\t": "\\t", "\r": "\\r", "\f": "\\f", "\v": "\\v", "\a": "\\a", "\b": "\\b", "\x1b": "\\e"}
+
+
 def _line(table: TableFrame, kind: str) -> Column:
     cells = [field(f).cast("string").alias(f) for f in table.fields]
     if kind in ("csv", "ncsv"):
@@ -44,11 +49,76 @@ def lines(table: TableFrame, kind: str) -> Iterator[str]:
         yield r["value"] + "\n"
 
 
+def to_pp(table: TableFrame, width: int = 79) -> Iterator[str]:
+    """Each row as a literal hash of its filled cells, one pair a line where it is wider than ``width``."""
+
+    def literal(v) -> str:
+        if not isinstance(v, str):
+            return str(v).lower() if isinstance(v, bool) else str(v)
+        text = "".join(_PP_ESCAPES.get(c) or (c if c.isprintable() else f"\\u{{{ord(c):x}}}") for c in v)
+        return '"' + re.sub("#(?=[{$@])", r"\\#", text) + '"'
+
+    for row in table.ordered().toLocalIterator():
+        pairs = [f"{literal(k)}=>{literal(v)}" for k, v in zip(table.fields, row, strict=True) if v is not None]
+        flat = "{" + ", ".join(pairs) + "}"
+        yield (flat if len(flat) <= width else "{" + ",\n ".join(pairs) + "}") + "\n"
+
+
+def to_pnm(table: TableFrame) -> bytes:
+    """An image from rows (type, x, y, component, value): meta rows may give pnm_type, width,
+    height, max and comments; what they leave out follows from the pixels.
+
+    Values are shares of the maximum, held to 0..1; pixels without a row are 0. Without a
+    pnm_type, components R, G, B mean a pixmap, V a graymap, or a bitmap if all values are 0 or 1; without a
+    max, 255, or 65,535 where a value is no multiple of 1/255. Spark aggregates to one value a
+    sample (the last row's); only an image's samples, or ValueError, reach the driver.
+    """
+    value = F.expr("try_cast(value AS double)")
+    meta = table.df.where("type = 'meta'").orderBy("__pos").select("component", F.col("value").cast("string")).collect()
+    told = {r[0]: r[1] for r in meta if r[0] != "comment"}
+    pixels = (
+        table.df.where("type = 'pixel'").groupBy(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "component")
+        .agg(F.max_by(F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))), "__pos").alias("v"))
+    )
+    facts = pixels.agg(
+        F.max("x"), F.max("y"), F.collect_set("component"), F.min("x"), F.min("y"), F.coalesce(F.bool_and(F.col("v").isin(0.0, 1.0)), F.lit(True)),
+        F.coalesce(F.bool_and(F.abs(F.col("v") * 255 - F.round(F.col("v") * 255)) < 1e-6), F.lit(True)), F.count_if(F.col("v").isNull() | F.col("x").isNull() | F.col("y").isNull()),
+    ).first()
+    width, height = (int(told.get(name) or (-1 if facts[i] is None else facts[i]) + 1) for i, name in enumerate(("width", "height")))
+    parts = set(facts[2])
+    kind = told.get("pnm_type") or ("P6" if parts & {"R", "G", "B"} else "P4" if facts[5] else "P5")
+    names = {"P1": "V", "P2": "V", "P3": "RGB", "P4": "V", "P5": "V", "P6": "RGB"}.get(kind)
+    if names is None or parts - set(names) or facts[7] or min(facts[3] or 0, facts[4] or 0) < 0 or (facts[0] or 0) >= max(width, 1) or (facts[1] or 0) >= max(height, 1):
+        raise ValueError(f"no {kind} image of {width} x {height} from components {sorted(parts)}")
+    bitmap = kind in ("P1", "P4")
+    top = 1 if bitmap else int(told.get("max") or (255 if facts[6] else 65535))
+    if not 1 <= top <= 65535:
+        raise ValueError(f"maximum {top} is not in 1..65535")
+    samples = [0] * (width * height * len(names))
+    for r in pixels.toLocalIterator():
+        raw = int(r["v"] * top + 0.5)
+        samples[(r["y"] * width + r["x"]) * len(names) + names.index(r["component"])] = raw
+    if bitmap:
+        samples = [1 - v for v in samples]
+    comments = "".join(f"# {line}\n" for r in meta if r[0] == "comment" for line in (r[1] or "").splitlines())
+    head = f"{kind}\n{comments}{width} {height}\n{'' if bitmap else f'{top}\n'}".encode()
+    rows = [samples[i : i + width * len(names)] for i in range(0, len(samples), max(1, width * len(names)))]
+    if kind in ("P1", "P2", "P3"):
+        return head + "".join(" ".join(map(str, row[i : i + 10])) + "\n" for row in rows for i in range(0, len(row), 10)).encode()
+    if kind == "P4":
+        return head + b"".join(int("".join(map(str, row)).ljust(-(-width // 8) * 8, "0"), 2).to_bytes(-(-width // 8), "big") for row in rows)
+    return head + b"".join(v.to_bytes(1 if top < 256 else 2, "big") for row in rows for v in row)
+
+
 def write(table: TableFrame, spec: str) -> None:
     """Write one local file; a file with the same content is left alone."""
     import os
 
     kind, path = resolve_format(spec)
+    if kind == "pnm":
+        with open(path, "wb") as image:
+            image.write(to_pnm(table))
+        return
     part = f"{path}.part"
     with open(part, "w", encoding="utf-8", newline="") as out:
         out.writelines(lines(table, kind))

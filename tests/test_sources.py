@@ -6,7 +6,7 @@ import pytest
 from rowloom.frame import TableFrame
 from rowloom.sources import formats as f
 from rowloom.sources.readers import list_tar, read
-from rowloom.sources.writers import lines, write
+from rowloom.sources.writers import lines, to_pnm, to_pp, write
 
 
 def put(path, text):
@@ -49,6 +49,34 @@ def test_pnm(spark, tmp_path):
     assert read(spark, put(tmp_path / "x.pgm", b"P5 1 1 255\n\xff")).df.count() == 5
 
 
+@pytest.mark.parametrize("image", [
+    b"P1\n3 2\n1 0 1\n0 1 0\n", b"P2\n# note\n2 1\n4\n1 4\n", b"P3\n1 1\n255\n1 2 3\n",
+    b"P4\n3 1\n\xa0", b"P5\n2 1\n255\n\x00\x80", b"P6\n1 2\n65535\n" + bytes(range(12)),
+])
+def test_pnm_round_trip(spark, tmp_path, image):
+    path = put(tmp_path / "x.pnm", image)
+    assert to_pnm(read(spark, path)) == image
+    write(read(spark, path), f"pnm:{tmp_path}/y.pnm")
+    assert (tmp_path / "y.pnm").read_bytes() == image
+
+
+def test_pnm_from_pixels(spark):
+    def image(*pixels):
+        return to_pnm(TableFrame.from_rows(spark, ["type", "x", "y", "component", "value"], [["pixel", *p] for p in pixels]))
+
+    assert image(["0", "0", "V", "7"], ["1", "0", "V", "-1"]) == b"P4\n2 1\n\x40"
+    assert image(["0", "0", "V", "0.2"]) == b"P5\n1 1\n255\n\x33"
+    assert image(["0", "0", "G", "0.1"]) == b"P6\n1 1\n65535\n\0\0\x19\x9a\0\0"
+    for bad in (["0", "0", "K", "1"], ["-1", "0", "V", "1"], ["0", "0", "V", "x"]):
+        with pytest.raises(ValueError):
+            image(bad)
+
+
+def test_pp(spark):
+    t = TableFrame.from_rows(spark, ["a", "b"], [["1", 'q"\n#{'], [None, "x"], ["y" * 50, "z" * 30]])
+    assert "".join(to_pp(t)) == '{"a"=>"1", "b"=>"q\\"\\n\\#{"}\n{"b"=>"x"}\n{"a"=>"%s",\n "b"=>"%s"}\n' % ("y" * 50, "z" * 30)
+
+
 def test_write_leaves_equal_file(spark, tmp_path):
     t = TableFrame.from_rows(spark, ["a"], [["1"]])
     path = tmp_path / "o.csv"
