@@ -17,8 +17,9 @@ from rowloom.llm.workspace import Workspace
 
 _U = np.uint64
 
+#: Tables where a bucket joins two hashes; :func:`effort` has those for more hashes.
 TABLES = 6
-#: Buckets of a table in which a vector stands: its own and the likeliest others.
+#: Buckets of a table in which a vector stands, its own and the likeliest others, for two hashes.
 PROBES = 3
 #: Vectors that one side of a comparison task holds at most.
 BLOCK = 1024
@@ -26,6 +27,12 @@ BLOCK = 1024
 FELLOWS = 64
 
 
+def effort(hashes: int, tables: int = TABLES, probes: int = PROBES) -> tuple[int, int]:
+    """(tables, probes) for so many hashes a bucket: each further hash makes it less likely that a
+    near pair shares a bucket of a table, which so many more tables and probes make good."""
+    return tables * (hashes - 1), probes + hashes - 2
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Walsh-Hadamard transform of each row, in log2(width) passes; width a power of two."""
     n, width = x.shape
@@ -164,7 +171,8 @@ def embedding_dedup(embeddings: DataFrame, threshold: float = 0.95, tables: int
     (smallest vec_id reachable by links, itself included), kept (vec_id = component_id).
 
     Equal vectors collapse into one class with a number of copies. Classes stand in the
-    buckets of ``tables`` hash tables; all fellows of a bucket are compared in blocks, and what
+    buckets of ``tables`` hash tables, of more (see :func:`effort`) where larger inputs make a
+    bucket join more than two hashes, so that recall does not fall with size; all fellows of a bucket are compared in blocks, and what
     leaves a task is a count for each vector and a forest of links, never the pairs. Pairs that
     share no bucket are missed; see the README for the recall.
 
@@ -185,6 +193,7 @@ def embedding_dedup(embeddings: DataFrame, threshold: float = 0.95, tables: int
     hashes = 2
     while facts["n"] > FELLOWS * axes**hashes:
         hashes += 1
+    tables, probes = effort(hashes, tables, probes)
     hashed = ws.save(
         classes.select("cid", "copies", "vector").mapInArrow(
             partial(_hashed, tables=tables, hashes=hashes, probes=probes), "cid long, copies long, vector array<double>, buckets array<long>"

@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +107,28 @@ def test_embedding_dedup_against_brute_force(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 906))
 
 
+@pytest.mark.parametrize("hashes", [2, 3, 4])
+def test_embedding_dedup_recall_at_every_number_of_hashes(spark, monkeypatch, hashes):
+    rng, n, d = np.random.default_rng(17), 1500, 64
+    a, z = rng.normal(size=(2, n, d))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    z -= (z * a).sum(axis=1)[:, None] * a
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    cosine = rng.uniform(0.9501, 0.9510, size=(n, 1))
+    x = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * z])
+    near = (x @ x.T >= 0.95) & ~np.eye(2 * n, dtype=bool)
+    assert near.sum() == 2 * n
+    monkeypatch.setattr(embedding_dedup, "FELLOWS", 2 * n / 128 ** (hashes - 0.5))  # 64 dimensions have 128 signed axes
+    seen = []
+    monkeypatch.setattr(embedding_dedup, "partial", lambda f, **b: (seen.append(b["hashes"]), partial(f, **b))[1])
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = by_id(embedding_dedup.embedding_dedup(frame), "vec_id")
+    assert seen == [hashes]
+    wrong = {i % n for i in range(2 * n) if (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) != (int(near[i].sum()), i % n, i < n)}
+    assert len(wrong) <= 1  # recall of 0.999, whatever the number of hashes
+    assert all(got[i]["n_links"] == got[i + n]["n_links"] == 0 for i in wrong)
+
+
 def test_license_scan(spark):
     texts = ["The MIT-License, mit license! apache licence", None, "", "GNU General Public License general public license " * 2, "Licensed under CC BY-NC 4.0.", "MİT license",
              "permission is hereby granted, free of all charge, to any person obtaining a copy of this software and associated documentation files"]
