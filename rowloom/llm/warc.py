@@ -56,16 +56,24 @@ def _line(value) -> str:
     return re.sub(r"[\r\n]+", " ", value or "")
 
 
+def _record_id(page, row: int) -> str:
+    """Unique to a row, however often its page_id occurs and whether it has one."""
+    return f"{'' if page is None else page}:{row}"
+
+
 def _records(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for page, url, html, size, digest, origin in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to")), strict=True):
-            rid = str(page)
-            about = [("WARC-Target-URI", _line(url)), ("WARC-Payload-Digest", f"sha256:{digest}")]
-            if url is None:
-                about = about[1:]
+        names = ("row", "page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to", "refers_row")
+        for row, page, url, html, size, digest, origin, origin_row in zip(*(batch[c].to_pylist() for c in names), strict=True):
+            rid = _record_id(page, row)
+            about = [("WARC-Payload-Digest", f"sha256:{digest}")]
+            if url is not None:
+                about.append(("WARC-Target-URI", _line(url)))
+            if page is not None:
+                about.append(("X-Page-ID", page))
             if origin is not None:
-                about += [("WARC-Refers-To", f"<urn:page:{origin}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Payload-Length", size)]
+                about += [("WARC-Refers-To", f"<urn:page:{_record_id(origin, origin_row)}>"), ("X-Refers-To-Page-ID", origin), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Payload-Length", size)]
                 out.append(_record("revisit", rid, about, b""))
                 continue
             body = (html or "").encode()
@@ -85,8 +93,10 @@ def _records(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.Rec
 
 
 def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) -> None:
-    """Write ``pages(page_id, url, html, payload_bytes, payload_digest, refers_to)`` as gzipped
-    WARC files below path: one response or revisit record a page, large blocks in segments.
+    """Write ``pages(row, page_id, url, html, payload_bytes, payload_digest, refers_to, refers_row)``
+    as gzipped WARC files below path: one response or revisit record a row, large blocks in
+    segments. A record's id is made of page_id and ``row``, a number of its own for every row;
+    the page_id itself stands in a field of its own.
 
     Spark's own writer makes the files, so any store it knows will do, and a task that is lost
     is written again.
@@ -120,7 +130,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = begin + size + 4
 
 
-_FIELDS = "record_id string, record_type string, origin string, segment int, total long, url string, digest string, refers_to string, size long, block binary"
+_FIELDS = "record_id string, record_type string, page_id string, refers_to_page string, origin string, segment int, total long, url string, digest string, refers_to string, size long, block binary"
 
 
 def _urn(value: str | None) -> str | None:
@@ -129,7 +139,7 @@ def _urn(value: str | None) -> str | None:
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _FIELDS.split(", ")]
-    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -141,7 +151,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rid = _urn(f["warc-record-id"])
                 number = f.get("warc-segment-number")
                 rows.append((
-                    rid, f["warc-type"], _urn(f.get("warc-segment-origin-id")) or rid, int(number) if number else None,
+                    rid, f["warc-type"], f.get("x-page-id"), f.get("x-refers-to-page-id"), _urn(f.get("warc-segment-origin-id")) or rid, int(number) if number else None,
                     int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, f.get("warc-target-uri"),
                     f.get("warc-payload-digest", "").removeprefix("sha256:") or None, _urn(f.get("warc-refers-to")),
                     int(f["x-payload-length"]) if "x-payload-length" in f else None, block,
@@ -167,47 +177,54 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, record_type, url, digest, refers_to, size, payload) of the responses and
-    revisits in the archives below path.
+    """(record_id, record_type, page_id, refers_to_page, url, digest, refers_to, size, payload)
+    of the responses and revisits in the archives below path.
 
     Continuation records are grouped by their origin, put in order of segment number, and
     joined; a gap in the numbers or a total length that differs raises an error. One group
     holds one record's segments. Only segmented records are shuffled.
     """
     raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parsed, _FIELDS)
-    whole = raw.where("segment is null").select("record_id", "record_type", "url", "digest", "refers_to", "size", "block")
+    whole = raw.where("segment is null").select("record_id", "record_type", "page_id", "refers_to_page", "url", "digest", "refers_to", "size", "block")
     parts = raw.where("segment is not null").groupBy("origin").agg(
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"),
-        F.max("segment").alias("last"), F.first("url", ignorenulls=True).alias("url"), F.first("digest", ignorenulls=True).alias("digest"),
+        F.max("segment").alias("last"), F.first("page_id", ignorenulls=True).alias("page_id"), F.first("url", ignorenulls=True).alias("url"), F.first("digest", ignorenulls=True).alias("digest"),
     )
     block = F.aggregate("parts.block", F.lit(b"").cast("binary"), lambda acc, b: F.concat(acc, b))
     joined = parts.withColumn("block", block).select(
-        F.col("origin").alias("record_id"), F.lit("response").alias("record_type"), "url", "digest",
+        F.col("origin").alias("record_id"), F.lit("response").alias("record_type"), "page_id", F.lit(None).cast("string").alias("refers_to_page"), "url", "digest",
         F.lit(None).cast("string").alias("refers_to"), F.lit(None).cast("long").alias("size"),
         F.when((F.size("parts") == F.col("last")) & (F.octet_length("block") == F.col("total")), F.col("block"))
         .otherwise(F.raise_error(F.concat(F.lit("segments of "), "origin", F.lit(" are missing or of another length"))).cast("binary")).alias("block"),
     )
     return whole.unionByName(joined).mapInArrow(
-        _payloads, "record_id string, record_type string, url string, digest string, refers_to string, size long, payload binary"
+        _payloads, "record_id string, record_type string, page_id string, refers_to_page string, url string, digest string, refers_to string, size long, payload binary"
     )
 
 
 def with_revisits(pages: DataFrame, ws: Workspace) -> DataFrame:
-    """Pages with payload_bytes, payload_digest and refers_to: of equal payloads of at least
-    LEAST_REVISIT bytes that with the smallest page_id is stored, the others refer to it."""
+    """Pages with row (a number of its own), payload_bytes, payload_digest, refers_to and refers_row:
+    of equal payloads of at least LEAST_REVISIT bytes that with the smallest page_id is stored,
+    the others refer to it (where its page_id is repeated, to the first of its rows)."""
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    all_pages = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"),
-        F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(body, 256).alias("payload_digest"),
+    # Written before use: the numbers must be the same for a record and for those that refer to it.
+    all_pages = ws.save(
+        pages.select(
+            F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+            F.col("html").cast("string").alias("html"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(body, 256).alias("payload_digest"),
+        ),
+        "pages",
     )
     firsts = ws.save(
         all_pages.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest")
-        .agg(F.min("page_id").alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
+        .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        .select("payload_digest", F.col("first.page_id").alias("origin"), F.col("first.row").alias("origin_row")),
         "firsts",
     )
+    other = F.col("page_id") != F.col("origin")
     return all_pages.join(firsts, "payload_digest", "left").select(
-        "page_id", "url", "html", "payload_bytes", "payload_digest",
-        F.when(F.col("page_id") != F.col("origin"), F.col("origin")).alias("refers_to"),
+        "row", "page_id", "url", "html", "payload_bytes", "payload_digest",
+        F.when(other, F.col("origin")).alias("refers_to"), F.when(other, F.col("origin_row")).alias("refers_row"),
     )
 
 
@@ -218,22 +235,22 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
     record_type, refers_to. The digest of a response is taken of the decoded payload and must
     equal the one in its header. Null or empty html: an empty payload. Payloads under
     LEAST_REVISIT bytes are always responses. Repeated rows of one page_id with equal html stay
-    responses both; equal page_ids must not differ in html when large enough to be split.
-    A null page_id keeps its row with a null id. Extra columns are ignored; an empty table
+    responses both, at any size; so do rows of one page_id that differ in html. A null page_id keeps its row with a null id. Extra columns are ignored; an empty table
     gives an empty result.
     """
     spark = pages.sparkSession
     ws = Workspace(spark, "warc")
     path = f"{ws.base}/archives"
     write_warc(with_revisits(pages, ws), path)
+    ws.drop("pages", "firsts")
     read = read_warc(spark, path)
     digest = F.sha2("payload", 256)
     return read.select(
-        F.expr("try_cast(record_id as bigint)").alias("page_id"),
+        F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.octet_length("payload").cast("long"), F.col("size")).alias("payload_bytes"),
         F.when(F.col("payload").isNull(), F.col("digest"))
         .when(digest == F.col("digest"), digest)
         .otherwise(F.raise_error(F.concat(F.lit("payload of record "), "record_id", F.lit(" differs from its digest")))).alias("payload_digest"),
         "record_type",
-        F.col("refers_to").cast("long").alias("refers_to"),
+        F.col("refers_to_page").cast("long").alias("refers_to"),
     )

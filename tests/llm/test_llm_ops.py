@@ -215,6 +215,22 @@ def test_warc_round_trip(spark):
     assert {i: r["refers_to"] for i, r in got.items() if r["record_type"] == "revisit"} == {2: 1, 8: 7}
 
 
+def test_warc_repeated_and_null_ids_above_a_segment(spark):
+    from hashlib import sha256
+
+    big, other, third = ("x" * 2 * warc.SEGMENT_BYTES, "y" * 3 * warc.SEGMENT_BYTES, "z" * 2 * warc.SEGMENT_BYTES)
+    rows = [(1, "a", big), (1, "a", big), (1, "b", other), (None, "c", big), (None, "c", other), (None, None, third), (None, None, third), (2, "d", big), (3, "e", "s")]
+    got = warc.warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = [(i, len(h), sha256(h.encode()).hexdigest(), "revisit" if i == 2 else "response", 1 if i == 2 else None) for i, _, h in rows]
+    assert Counter(tuple(r) for r in got) == Counter(want)
+    ws = Workspace(spark, "warc")
+    warc.write_warc(warc.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string"), ws), f"{ws.base}/archives")
+    read = warc.read_warc(spark, f"{ws.base}/archives").collect()
+    ids = {r["record_id"]: r for r in read}
+    assert len(ids) == len(rows)
+    assert [ids[r["refers_to"]]["page_id"] for r in read if r["refers_to"]] == ["1"]
+
+
 def test_warc_framing():
     body = bytes(range(256)) * 40
     assert warc.unchunked(warc.chunked(body)) == body and warc.unchunked(warc.chunked(b"")) == b""
