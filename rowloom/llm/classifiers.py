@@ -203,17 +203,22 @@ def _scored(batches: Iterator[pa.RecordBatch], score: Callable, names: list[str]
                                          names=[*(c for c in batch.schema.names if c != "text"), *names])
 
 
+def _keyed(key: str | None) -> str:
+    return f"`{key}` long, " if key else ""
+
+
 def _shared(spark: SparkSession, model):
     let_workers_import(spark)
     return spark.sparkContext.broadcast(model)
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE_ROWS) -> DataFrame:
+def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE_ROWS, key: str | None = None) -> DataFrame:
     """Score every whole text for toxicity.
 
     The classifier is fitted on a bounded sample (``sample`` labelled rows, whose id's crc32
     modulo 4 is not 2); labels, lang, source and doc_id are no inputs of a score. Result:
-    doc_id, held_out (that remainder is 2), score (0 to 1), predicted (1 if score >= threshold).
+    doc_id, held_out (that remainder is 2), score (0 to 1), predicted (1 if score >= threshold);
+    first of all ``key``, if named: a long column that tells the rows of ``documents`` apart.
 
     Null or empty texts get the score of a text without features. Repeated rows give equal
     rows; a null doc_id counts as not held out. Extra columns are ignored, an empty table
@@ -227,10 +232,10 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sa
         return s, (s >= threshold).astype(np.int32)
 
     rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        *([key] if key else []), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
         F.col("text").cast("string").alias("text"),
     )
-    return rows.mapInArrow(lambda b: _scored(b, score, ["score", "predicted"]), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lambda b: _scored(b, score, ["score", "predicted"]), f"{_keyed(key)}doc_id long, held_out boolean, score double, predicted int")
 
 
 # --- quality ----------------------------------------------------------------------------------
@@ -349,14 +354,15 @@ def fit_quality(texts: pa.Array, grades: np.ndarray, n_grades: int, spec: Qualit
 
 
 def quality(documents: DataFrame, labels: DataFrame, grade: F.Column | None = None, n_grades: int = 3,
-            threshold: float = 0.5, sample: int = SAMPLE_ROWS) -> DataFrame:
+            threshold: float = 0.5, sample: int = SAMPLE_ROWS, key: str | None = None) -> DataFrame:
     """Grade every whole text by ordinal regression on hashed text features.
 
     ``grade`` is an expression over ``labels`` giving 0 .. n_grades - 1; by default 0 for low
     quality, 1 for good but toxic and 2 for good text. The model is fitted on a bounded sample of
     ``sample`` labelled rows whose id's crc32 modulo 4 is not 2. Result: doc_id, held_out,
     expected_grade, p_good (probability of grade 1 or more), predicted_grade (the likeliest),
-    selected (p_good >= threshold).
+    selected (p_good >= threshold); first of all ``key``, if named: a long column that tells
+    the rows of ``documents`` apart.
 
     Null or empty texts are graded by their size feature alone. Repeated rows give equal
     rows; a null doc_id counts as not held out. Extra columns are ignored, an empty table
@@ -374,10 +380,10 @@ def quality(documents: DataFrame, labels: DataFrame, grade: F.Column | None = No
         return tails.sum(axis=1), tails[:, 0].copy(), mass.argmax(axis=1).astype(np.int32), tails[:, 0] >= threshold
 
     rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        *([key] if key else []), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
         F.col("text").cast("string").alias("text"),
     )
     return rows.mapInArrow(
         lambda b: _scored(b, score, ["expected_grade", "p_good", "predicted_grade", "selected"]),
-        "doc_id long, held_out boolean, expected_grade double, p_good double, predicted_grade int, selected boolean",
+        f"{_keyed(key)}doc_id long, held_out boolean, expected_grade double, p_good double, predicted_grade int, selected boolean",
     )

@@ -7,10 +7,14 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no checkpoint folder (tests, local runs).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/rowloom"
 
+#: The column of :meth:`Workspace.numbered`.
+ROW = "__row"
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -45,6 +49,10 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def numbered(self, df: DataFrame, tag: str) -> DataFrame:
+        """df with a number of its own for each row in ``ROW``, written before use so that it holds."""
+        return self.save(df.withColumn(ROW, F.monotonically_increasing_id()), tag)
+
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)

@@ -350,3 +350,29 @@ def test_pipeline_stages(spark, tmp_path):
     assert 181 not in kept["decontaminate"] and kept["mixing"] <= kept["decontaminate"]
     assert set(frame.columns) == {"doc_id", "text", "lang", "source", "n_chars", "copies"}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["mixing"])
+
+
+def test_pipeline_decides_rows_without_or_with_a_repeated_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    good = [" ".join(words(rng, 60)) for _ in range(120)]
+    item = " ".join(words(rng, 30))
+    named = [*good, *[g.upper() for g in good[:30]], *[f"{g} viletox" for g in good[:30]]]
+    alone = " ".join(words(rng, 60))
+    extra = [(None, f"{good[1]} viletox"), (None, good[1].upper()), (None, good[5]), (None, f"{alone} {item}"), (None, alone), (None, alone), (7, good[7]), (7, good[7])]
+    rows = [(i, t, "en", "s", 0) for i, t in [*enumerate(named), *extra]]
+    labels = [(i, 0 if 120 <= i < 150 else 1, int(150 <= i < 180)) for i in range(180)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame, kept = spark.createDataFrame(rows, DOCS), {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        frame = stage(spark, frame, str(tmp_path)).localCheckpoint()
+        assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        kept[name] = Counter((r["doc_id"], r["text"]) for r in frame.collect())
+    assert (None, extra[0][1]) not in kept["toxicity"] and kept["toxicity"][(None, good[5])] == 1
+    assert (None, extra[1][1]) in kept["toxicity"] and (None, extra[1][1]) not in kept["quality"] and kept["quality"][(7, good[7])] == 3
+    assert kept["near_dedup"][(7, good[7])] == 1 and kept["near_dedup"][(5, good[5])] == 1 and (None, good[5]) not in kept["near_dedup"]
+    assert kept["near_dedup"][(None, alone)] == 1 and (None, extra[3][1]) in kept["near_dedup"] and (None, extra[3][1]) not in kept["decontaminate"]
+    blank = spark.createDataFrame([(1, None, "en", "s", 0), (1, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "", "en", "s", 0)], DOCS)
+    assert Counter(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, blank, str(tmp_path)).collect()) == Counter([1, 2, None])
