@@ -24,6 +24,7 @@ _SPACE = re.compile(r"\s+")
 _NAME_PART = re.compile(r"[a-z]+|[0-9]+")
 
 _RAW = frozenset("script style noscript template textarea iframe svg math object select".split())
+_IN_HEAD = frozenset("html head title meta link base script style noscript template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -89,7 +90,7 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(text.strip())
 
-    at = 0
+    at, in_head = 0, False
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
@@ -108,6 +109,14 @@ def blocks(page: str) -> list[Block]:
             else:
                 close({tag}, {"td", "th", "table"} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th") and tag not in ("body", "html", "article", "main") else set())
             continue
+        if in_head and tag not in _IN_HEAD:
+            opened = {t for t, _ in stack}
+            if "title" not in opened:  # the first tag that may not stand in a head ends it, as </head> would
+                if "head" in opened:
+                    flush()
+                    close({"head"})
+                in_head = False
+        in_head |= tag == "head"
         if tag in _VOID:
             if tag == "hr":
                 flush()

@@ -194,6 +194,14 @@ def test_html_extraction(spark):
     assert got[1]["n_chars"] == len(got[1]["text"]) and got[2]["text"] == got[4]["text"] == "" and got[3]["n_chars"] == len(got[3]["text"])
 
 
+def test_html_head_without_end_tag(spark):
+    body = "<article><h1>Head line</h1><p>First paragraph of some length that goes on.<p>Second paragraph, with more words in it.</article>"
+    open_head = f"<html><head><title>T</title><meta charset=utf-8><style>p {{}}</style>{body}"
+    closed = f"<html><head><title>T</title><meta charset=utf-8><style>p {{}}</style></head><body>{body}"
+    got = by_id(html_extract.extract(spark.createDataFrame([(1, "u", open_head), (2, "u", closed)], "page_id long, url string, html string")), "page_id")
+    assert "Second paragraph" in got[2]["text"] and got[1]["text"] == got[2]["text"]
+
+
 def test_html_held_out_accuracy():
     rng, model, right, total = random.Random(77), html_extract.trained(), 0, 0
     for _ in range(150):
