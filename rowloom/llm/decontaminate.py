@@ -5,40 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.native_text import grams, words
+from rowloom.llm.native_text import grams, within, words
 from rowloom.llm.workspace import ROW, Workspace
 
 #: Size partitions of test items: (most shingles, rows a band, bands). At containment 0.8 an
 #: item is missed with probability (1 - 0.8 ** rows) ** bands, under 1e-5 in each partition.
 PARTITIONS = ((8, 1, 8), (64, 2, 14), (None, 3, 20))
-#: Item shingles that are broadcast at most; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
-def item_index(benchmark: DataFrame, k: int) -> DataFrame:
-    """(gram, h, item_id, n, rows, bands, mask, span) of every distinct shingle of each item.
+def item_shingles(ws: Workspace, benchmark: DataFrame, k: int) -> DataFrame:
+    """(item, item_id, gram, h, n, span) of every distinct shingle of each test item.
 
-    span is the number of words in a shingle (k, or all words of a shorter item); bit i of mask
-    is set where the shingle has the item's least i-th hash.
+    item is a number of its own for each different (item_id, words), so that null and repeated
+    item_ids keep their texts apart; span is the number of words in a shingle (k, or all words
+    of a shorter item), n the item's number of shingles.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("w")).where(F.size("w") > 0)
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("w"))
+    # Written before use, so that an item keeps its number.
+    items = ws.save(named.where(F.size("w") > 0).distinct().withColumn("item", F.monotonically_increasing_id()), "numbered-items")
     span = F.least(F.size("w"), F.lit(k))
-    shingles = items.select("item_id", span.alias("span"), F.explode(F.array_distinct(
-        F.when(F.size("w") >= k, grams(F.col("w"), k)).otherwise(F.array(F.array_join("w", " "))))).alias("gram")
-    ).distinct().withColumn("h", F.xxhash64("gram"))
-    sized = shingles.join(shingles.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "item_id")
+    found = F.array_distinct(F.when(F.size("w") >= k, grams(F.col("w"), k)).otherwise(F.array(F.array_join("w", " "))))
+    rows = items.select("item", "item_id", span.alias("span"), F.size(found).alias("n"), F.explode(found).alias("gram"))
+    return ws.save(rows.withColumn("h", F.xxhash64("gram")), "items")
 
+
+def item_minima(shingles: DataFrame) -> DataFrame:
+    """(h, item, rows, bands, mask): the MinHash minima of every item; bit i of mask is set where
+    the shingle has the item's least i-th hash. The size partition sets rows and bands."""
     def by_size(i: int) -> F.Column:
         out = F.lit(PARTITIONS[-1][i])
         for part in reversed(PARTITIONS[:-1]):
             out = F.when(F.col("n") <= part[0], F.lit(part[i])).otherwise(out)
         return out
 
-    sized = sized.withColumn("rows", by_size(1)).withColumn("bands", by_size(2))
-    registers = sized.select("item_id", "h", F.explode(F.sequence(F.lit(0), F.col("rows") * F.col("bands") - 1)).alias("i"))
-    least = registers.groupBy("item_id", "i").agg(F.min_by("h", F.xxhash64("h", "i")).alias("h"))
-    masks = least.groupBy("item_id", "h").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
-    return sized.join(masks, ["item_id", "h"], "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+    sized = shingles.select("item", "h", by_size(1).alias("rows"), by_size(2).alias("bands"))
+    registers = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("rows") * F.col("bands") - 1)).alias("i"))
+    least = registers.groupBy("item", "rows", "bands", "i").agg(F.min_by("h", F.xxhash64("h", "i")).alias("h"))
+    return least.groupBy("h", "item", "rows", "bands").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
+
+
+def candidates(docs: DataFrame, minima: DataFrame, spans: list[int]) -> DataFrame:
+    """(doc_id, item) of every document that holds all minima of one band of an item.
+
+    docs(doc_id, w) keeps its whole shingle stream, in which the minima are looked up: those of a
+    ten-shingle item would vanish among the minima of a long document.
+    """
+    stream = docs.select("doc_id", F.explode(F.transform(_all_grams(spans), lambda g: F.xxhash64(g))).alias("h"))
+    held = stream.join(minima, "h").groupBy("doc_id", "item", "rows", "bands").agg(F.bit_or("mask").alias("mask"))
+    full = F.expr("exists(sequence(0, bands - 1), j -> (shiftrightunsigned(mask, j * rows) & (shiftleft(1L, rows) - 1)) = shiftleft(1L, rows) - 1)")
+    return held.where(full).select("doc_id", "item")
+
+
+def _all_grams(spans: list[int]) -> F.Column:
+    """Runs of words of these lengths, k different ones at most."""
+    return F.concat(*[grams(F.col("w"), n) for n in spans]) if spans else F.array().cast("array<string>")
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -47,33 +67,34 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, k: int = 5, thresho
     An item is found in a document when at least ``threshold`` of the item's distinct k-word
     shingles stand in the document. Words are runs of letters and digits, lower-cased. Items
     are partitioned by their number of shingles, each partition with its own MinHash bands; a
-    document is a candidate when it holds all minima of one band of the item. The long side
-    keeps its whole shingle stream: the minima of a ten-shingle item vanish among those of a
-    long document, whereas looking the item's minima up in the document finds them at any
-    length. Candidates are then verified by exact containment.
+    document is a candidate when it holds all minima of one band of the item. Only candidates
+    are read again, and verified by exact containment of all shingles.
 
     Items with fewer than k words count as one shingle of all their words; items and documents
-    without words match nothing. Repeated rows of one doc_id count once; null doc_ids are
-    left out, as nothing could name them. Extra columns are ignored; empty tables give an empty result.
+    without words match nothing. Equal item rows count once; rows that repeat an item_id with
+    another text are items of their own, and a null item_id is found like any other (in rows with a
+    null item_id). Rows of one doc_id count as one document; null doc_ids are left out, as nothing
+    could name them (:func:`decontaminate` decides rows, whatever their id). Containment equal to
+    the threshold counts as found. Extra columns are ignored; empty tables give an empty result.
     """
     ws = Workspace(documents.sparkSession, "decontaminate")
-    index = ws.save(item_index(benchmark, k), "items")
-    facts = index.agg(F.count(F.lit(1)).alias("rows"), F.collect_set("span").alias("spans")).first()
-    array = F.col("w")
-    shingles = [grams(array, n) for n in sorted(facts["spans"])]  # at most k different lengths
-    docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("w"))
-    stream = docs.select("doc_id", F.explode(F.concat(*shingles) if shingles else F.array().cast("array<string>")).alias("found"))
-    index = index.where(F.col("gram").isNotNull())
-    if facts["rows"] <= BROADCAST_ROWS:
-        index = F.broadcast(index)
-    hits = stream.withColumn("h", F.xxhash64("found")).join(index, "h").where("found = gram")
-    held = hits.groupBy("doc_id", "item_id", "n", "rows", "bands", "h", "mask").agg(F.lit(1).alias("one"))
-    pairs = held.groupBy("doc_id", "item_id", "n", "rows", "bands").agg(F.count(F.lit(1)).alias("n_shared"), F.bit_or("mask").alias("mask"))
-    full = F.expr("exists(sequence(0, bands - 1), j -> (shiftrightunsigned(mask, j * rows) & (shiftleft(1L, rows) - 1)) = shiftleft(1L, rows) - 1)")
+    shingles = item_shingles(ws, benchmark, k)
+    minima = ws.save(item_minima(shingles), "minima")
+    facts = shingles.agg(F.count(F.lit(1)).alias("rows"), F.collect_set("span").alias("spans")).first()
+    spans = sorted(facts["spans"])
+
+    def docs(of: DataFrame) -> DataFrame:
+        return of.select("doc_id", words(F.col("text")).alias("w"))
+
+    named = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tried = ws.save(candidates(docs(named), within(minima.count(), minima), spans), "candidates")
+    again = docs(named.join(tried.select("doc_id").distinct(), "doc_id", "left_semi"))
+    stream = again.select("doc_id", F.explode(_all_grams(spans)).alias("found")).withColumn("h", F.xxhash64("found"))
+    hits = stream.join(within(facts["rows"], shingles), "h").where("found = gram").select("doc_id", "item", "item_id", "n", "h").distinct()
+    pairs = hits.join(tried, ["doc_id", "item"], "left_semi").groupBy("doc_id", "item", "item_id", "n").agg(F.count(F.lit(1)).alias("n_shared"))
     return (
-        pairs.where(full).withColumn("containment", F.col("n_shared") / F.col("n"))
-        .where(100 * F.col("n_shared") >= round(100 * threshold) * F.col("n"))
-        .select("doc_id", "item_id", "n_shared", F.col("n").alias("n_item"), F.round("containment", 9).alias("containment"))
+        pairs.where(100 * F.col("n_shared") >= round(100 * threshold) * F.col("n"))
+        .select("doc_id", "item_id", "n_shared", F.col("n").cast("long").alias("n_item"), F.round(F.col("n_shared") / F.col("n"), 9).alias("containment"))
     )
 
 

@@ -10,6 +10,7 @@ from rowloom.llm.decontaminate import contaminated
 from rowloom.llm.embedding_dedup import embedding_dedup
 from rowloom.llm.html_extract import extract
 from rowloom.llm.licenses import license_scan
+from rowloom.llm.licenses import sql as licenses_sql
 from rowloom.llm.mixing import mix
 from rowloom.llm.mixing import sql as mixing_sql
 from rowloom.llm.near_dedup import near_dedup
@@ -65,23 +66,23 @@ WITH dw AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM documents WHERE doc_id IS NOT NULL
 ), iw AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
-  FROM benchmark
+  SELECT row_number() OVER () AS item, item_id, w FROM (
+    SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark)
 ), i AS (
-  SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS g
+  SELECT DISTINCT item, item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS g
   FROM iw WHERE len(w) > 0
 ), n AS (
-  SELECT item_id, count(*) AS n FROM i GROUP BY item_id
+  SELECT item, item_id, count(*) AS n FROM i GROUP BY item, item_id
 ), l AS (
   SELECT DISTINCT len(string_split(g, ' ')) AS len FROM i
 ), d AS (
   SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - l.len + 2), lambda k: array_to_string(w[k:k + l.len - 1], ' '))) AS g
   FROM dw CROSS JOIN l
 ), p AS (
-  SELECT d.doc_id, i.item_id, count(*) AS c FROM d JOIN i USING (g) GROUP BY ALL
+  SELECT d.doc_id, i.item, count(*) AS c FROM d JOIN i USING (g) GROUP BY ALL
 )
 SELECT doc_id, item_id, c AS n_shared, n AS n_item, round(c / n, 9) AS containment
-FROM p JOIN n USING (item_id) WHERE 100 * c >= 80 * n
+FROM p JOIN n USING (item) WHERE 100 * c >= 80 * n
 """
 
 OP9_SQL = """
@@ -105,4 +106,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing_sql(), "op4_decontaminate": OP4_SQL, "op9_warc": OP9_SQL}
+    return {"op1_mixing": mixing_sql(), "op3_license_scan": licenses_sql(), "op4_decontaminate": OP4_SQL, "op9_warc": OP9_SQL}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import string
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.native_text import grams, words
+from rowloom.llm.native_text import ascii_words, grams, within
 
 # Exact phrases and their labels.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -40,15 +42,14 @@ REACH = 8
 LEAST_SHARE = 0.85
 
 
-def template_grams(spark: SparkSession, phrases=BASE_PHRASES, notices=NOTICES) -> DataFrame:
-    """(h, gram, template, label, base, at, votes) of every voting gram; a few hundred rows whatever the corpus."""
+def template_rows(phrases=BASE_PHRASES, notices=NOTICES) -> list[tuple[str, int, str, bool, int, int]]:
+    """(gram, template, label, base, at, votes) of every voting gram."""
     rows = []
     for n, (text, label) in enumerate([*phrases, *notices]):
         w, base = text.split(), n < len(phrases)
         found = [(" ".join(w[i : i + K]), i) for i in range(len(w) - K + 1) if base or not COMMON.issuperset(w[i : i + K])]
         rows += [(g, n, label, base, i, len(found)) for g, i in found]
-    table = spark.createDataFrame(rows, "gram string, template int, label string, base boolean, at int, votes int")
-    return table.withColumn("h", F.xxhash64("gram"))
+    return rows
 
 
 def license_scan(documents: DataFrame, phrases=BASE_PHRASES, notices=NOTICES) -> DataFrame:
@@ -67,16 +68,16 @@ def license_scan(documents: DataFrame, phrases=BASE_PHRASES, notices=NOTICES) ->
     equal rows, null ids stay null, extra columns are ignored, an empty table gives none.
     """
     spark = documents.sparkSession
-    array = words(F.col("text").cast("string"))
+    array = ascii_words(F.col("text").cast("string"))
     docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), array.alias("w"))
     # A last element that no gram equals carries the number of words, so that one pass serves all.
     rolled = docs.select("row", "doc_id", F.posexplode(F.concat(grams(F.col("w"), K), F.array(F.concat(F.lit("#"), F.size("w"))))).alias("pos", "gram"))
     total = F.col("gram").startswith("#")
     rolled = rolled.withColumn("h", F.when(total, F.lit(0)).otherwise(F.xxhash64("gram")))
-    known = template_grams(spark, phrases, notices).withColumnRenamed("gram", "same").unionByName(
-        spark.createDataFrame([("#", None, None, None, None, None, 0)], "same string, template int, label string, base boolean, at int, votes int, h long")
-    )
-    hits = rolled.join(F.broadcast(known), "h").where((F.col("gram") == F.col("same")) | total & F.col("template").isNull())
+    templates = [*template_rows(phrases, notices), ("#", None, None, None, None, None)]
+    known = spark.createDataFrame(templates, "same string, template int, label string, base boolean, at int, votes int")
+    known = known.withColumn("h", F.when(F.col("template").isNull(), F.lit(0)).otherwise(F.xxhash64("same")))
+    hits = rolled.join(within(len(templates), known), "h").where((F.col("gram") == F.col("same")) | total & F.col("template").isNull())
     diagonals = hits.groupBy("row", "doc_id", "template", "label", "base", "votes", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.count(F.lit(1)).alias("got"), F.min("pos").alias("low"), F.max("pos").alias("high"),
         F.max(F.when(F.col("template").isNull(), F.substring("gram", 2, 20).cast("long"))).alias("n_words"),
@@ -107,3 +108,36 @@ def license_scan(documents: DataFrame, phrases=BASE_PHRASES, notices=NOTICES) ->
             F.coalesce(F.max("share"), F.lit(0.0)).alias("score"), F.count_if("notice").alias("n_spans"),
         ).drop("row")
     )
+
+
+def sql(documents: str = "documents") -> str:
+    """The same computation as one SQL statement."""
+    rows = ", ".join(f"('{g}', {t}, '{label}', {base}, {at}, {votes})" for g, t, label, base, at, votes in template_rows())
+    plain = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    return f"""
+WITH t(gram, template, label, base, place_at, votes) AS (VALUES {rows}
+), d AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array({plain}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM {documents}
+), g AS (
+  SELECT row, unnest(range(0, len(w) - 1)) AS pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM d WHERE len(w) > 1
+), v AS (
+  SELECT row, template, label, base, votes, pos - place_at AS diagonal, count(*) AS got, min(pos) AS low, max(pos) AS high FROM g JOIN t USING (gram) GROUP BY ALL
+), n AS (
+  SELECT *, CASE WHEN base OR before IS NULL OR diagonal - before > {SLIP} OR greatest(low - before_high, before_low - high) > {REACH} THEN 1 ELSE 0 END AS new
+  FROM (SELECT *, lag(diagonal) OVER p AS before, lag(high) OVER p AS before_high, lag(low) OVER p AS before_low FROM v WINDOW p AS (PARTITION BY row, template ORDER BY diagonal))
+), r AS (
+  SELECT *, sum(new) OVER (PARTITION BY row, template ORDER BY diagonal) AS run FROM n
+), s AS (
+  SELECT row, label, base, votes, sum(got) AS got, min(low) AS low, max(high) AS high, min(diagonal) AS start FROM r GROUP BY row, template, label, base, votes, run
+), o AS (
+  SELECT row, label, start, least(1.0::DOUBLE, got::DOUBLE / votes) AS share, base AND got = votes AS place,
+         NOT base AND least(1.0::DOUBLE, got::DOUBLE / votes) >= {LEAST_SHARE} AND high - low < 2 * votes + {REACH} AS notice FROM s
+), a AS (
+  SELECT row, count(*) FILTER (place) AS n_base, min(start) FILTER (place) AS first_word, max(start) FILTER (place) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (place) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (place OR notice) AS labels,
+         max(share) AS score, count(*) FILTER (notice) AS n_spans FROM o GROUP BY row
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score, coalesce(n_spans, 0) AS n_spans
+FROM d LEFT JOIN a USING (row)
+"""

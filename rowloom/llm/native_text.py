@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import string
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What separates words once A-Z are lower-cased: every ASCII character but 0-9 and a-z.
@@ -11,11 +13,26 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of a table that is broadcast at most; both sides of its join are shuffled beyond.
+BROADCAST_ROWS = 1_000_000
+
+
 def words(text: Column) -> Column:
-    """Array of lower-case words; empty for a null or wordless text."""
+    """Array of words, lower-cased in every script; empty for a null or wordless text."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
+def ascii_words(text: Column) -> Column:
+    """Array of words of which A-Z alone is lower-cased; empty for a null or wordless text."""
+    plain = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.array_remove(F.split(plain, SEPARATORS), "")
+
+
+def within(rows: int, table: DataFrame) -> DataFrame:
+    """The table, to be broadcast where its counted rows allow it."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def grams(array: Column, k: int) -> Column:
     """Every run of k words, joined by a blank; empty if there are fewer."""
     n = F.size(array) - k + 1

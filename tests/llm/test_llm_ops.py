@@ -139,6 +139,25 @@ def test_license_scan(spark):
     assert got[4]["labels"] == "cc-by-nc" and got[4]["score"] == 1.0 and got[1]["score"] == 0.0
     assert got[5]["n_base"] == 0
     assert got[6]["base_labels"] == "" and got[6]["labels"] == "mit"
+    kelvin = by_id(licenses.license_scan(docs(spark, "\u212a MIT LICENSE \u00c4", "MIT LICENSE" + " x" * 30_000)))
+    assert (kelvin[0]["n_words"], kelvin[0]["first_word"]) == (4, 1) and kelvin[1]["n_words"] == 30_002
+
+
+def test_license_scan_equals_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(12)
+    notices = [t for t, _ in [*licenses.BASE_PHRASES, *licenses.NOTICES]]
+    texts = [None, "", "mit", "\u212aMIT License"]
+    for i in range(120):
+        part = rng.choice(notices).upper().split() if i % 3 else rng.choice(notices).split()
+        for _ in range(i % 4):  # words put in, left out or changed
+            part[rng.randrange(len(part))] = rng.choice(["", "x y", "changed"])
+        texts.append(" ".join([*words(rng, rng.randrange(20)), *part, *words(rng, 3), *(rng.choice(notices).split() if i % 5 == 0 else [])]))
+    frame = docs(spark, *texts)
+    documents = frame.unionByName(frame.limit(9)).toPandas()  # noqa: F841 - read by the SQL
+    got = licenses.license_scan(spark.createDataFrame(documents, DOCS))
+    want = duckdb.sql(licenses.sql())
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want.select(*got.columns).fetchall())
 
 
 def test_decontaminate_against_brute_force(spark):
@@ -167,6 +186,26 @@ def test_decontaminate_against_brute_force(spark):
     assert {r["doc_id"] for r in left.collect()} == set(range(len(texts))) - {i for i, _ in want}
 
 
+def test_decontaminate_items_without_or_with_a_repeated_id(spark):
+    rng = random.Random(10)
+    one, two, three = (" ".join(words(rng, 30, 5000)) for _ in range(3))
+    bench = spark.createDataFrame([(None, one), (7, two), (7, three), (7, three), (8, None), (None, "")], "item_id long, text string")
+    frame = docs(spark, one, f"a {two} b", three.upper(), None, " ".join(words(rng, 50))).withColumn("item", F.lit(1)).withColumn("h", F.lit(2)).withColumn("w", F.lit("x"))
+    frame = frame.unionByName(frame.where("doc_id = 1")).unionByName(frame.where("doc_id = 2").withColumn("doc_id", F.lit(None).cast("long")))
+    found = decontaminate.contaminated(frame, bench)
+    assert Counter(tuple(r) for r in found.collect()) == Counter({(0, None, 26, 26, 1.0): 1, (1, 7, 26, 26, 1.0): 1, (2, 7, 26, 26, 1.0): 1})
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(frame, bench).collect()) == [3, 4]
+    assert decontaminate.contaminated(frame, bench.limit(0)).count() == decontaminate.contaminated(frame.limit(0), bench).count() == 0
+
+
+def test_decontaminate_at_the_threshold(spark):
+    item = [f"i{n}" for n in range(24)]  # 20 shingles
+    most, fewer = [*item[:20], *["x"] * 4], [*item[:19], *["x"] * 5]  # 16 and 15 of them
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    found = decontaminate.contaminated(docs(spark, " ".join(most), " ".join(fewer), " ".join([*["y"] * 60_000, *item])), bench)
+    assert {(r["doc_id"], r["n_shared"]) for r in found.collect()} == {(0, 16), (2, 20)}
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(words(rng, rng.randrange(5, 40))), rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "a", "b"]), 0) for i in range(400)]
@@ -375,7 +414,7 @@ def test_pipeline_decides_rows_without_or_with_a_repeated_id(spark, tmp_path):
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     frame, kept = spark.createDataFrame(rows, DOCS), {}
     for name, stage in corpus_pipeline.STAGES[:4]:
-        frame = stage(spark, frame, str(tmp_path)).localCheckpoint()
+        frame = Workspace(spark, "t").save(stage(spark, frame, str(tmp_path)), name)
         assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         kept[name] = Counter((r["doc_id"], r["text"]) for r in frame.collect())
     assert (None, extra[0][1]) not in kept["toxicity"] and kept["toxicity"][(None, good[5])] == 1
