@@ -102,11 +102,23 @@ def test_embedding_dedup_against_brute_force(spark):
     for _ in range(len(x)):
         comp = np.array([min([comp[i], *comp[near[i]]]) for i in range(len(x))])
     frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
-    got = by_id(embedding_dedup.embedding_dedup(frame, tables=20, block=16), "vec_id")
+    got = by_id(embedding_dedup.embedding_dedup(frame, block=16), "vec_id")
     assert {i: (got[i]["n_links"], got[i]["component_id"]) for i in range(len(x))} == {i: (int(near[i].sum()), int(comp[i])) for i in range(len(x))}
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 906))
 
 
+def test_embedding_dedup_small_cases(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [3.0, 4.0]
+    frame = spark.createDataFrame([(5, a), (5, b), (6, a), (7, b), (8, c), (9, c), (None, a), (8, c)], "vec_id long, embedding array<float>")
+    got = embedding_dedup.embedding_dedup(frame.withColumn("cid", F.lit(1)).withColumn("digest", F.lit("x")).withColumn("copies", F.lit(2)))
+    want = [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (8, 2, 8, True), (8, 2, 8, True), (9, 2, 8, False), (None, 0, None, False)]
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want)
+    assert embedding_dedup.embedding_dedup(frame.limit(0)).count() == 0
+    # 20 * 0.95 = 19: the cosine of these two is 0.95 within rounding of one unit either way; of the others it is below.
+    tie = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.95, (1 - 0.95**2) ** 0.5 - 1e-9]), (3, [0.95, -((1 - 0.95**2) ** 0.5) - 1e-6])], "vec_id long, embedding array<double>")
+    assert {i: r["n_links"] for i, r in by_id(embedding_dedup.embedding_dedup(tie), "vec_id").items()} == {1: 1, 2: 1, 3: 0}
+
+
 @pytest.mark.parametrize("hashes", [2, 3, 4])
 def test_embedding_dedup_recall_at_every_number_of_hashes(spark, monkeypatch, hashes):
     rng, n, d = np.random.default_rng(17), 1500, 64
@@ -120,7 +132,7 @@ def test_embedding_dedup_recall_at_every_number_of_hashes(spark, monkeypatch, ha
     assert near.sum() == 2 * n
     monkeypatch.setattr(embedding_dedup, "FELLOWS", 2 * n / 128 ** (hashes - 0.5))  # 64 dimensions have 128 signed axes
     seen = []
-    monkeypatch.setattr(embedding_dedup, "partial", lambda f, **b: (seen.append(b["hashes"]), partial(f, **b))[1])
+    monkeypatch.setattr(embedding_dedup, "partial", lambda f, **b: (seen.extend([b["hashes"]] if "hashes" in b else []), partial(f, **b))[1])
     frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
     got = by_id(embedding_dedup.embedding_dedup(frame), "vec_id")
     assert seen == [hashes]
