@@ -44,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
     verb("join", "natural join", (["--outer"], flag), (["--left"], flag), (["--right"], flag), (["--outer-missing"], one))
     verb("consecutive", "neighbouring rows as one", (["-n"], {"type": int, "default": 2}))
     verb("group", "group rows", (["-a", "--aggregate"], {"action": "append", "default": []}), (["keys"], one))
-    verb("cross", "cross tabulation", (["-a", "--aggregate"], {"default": "count"}), (["-c", "--compact"], flag), (["vkeys"], one), (["hkey"], one))
+    verb("cross", "cross tabulation", (["-a", "--aggregate"], {"action": "append", "default": []}), (["-c", "--compact"], flag), (["vkeys"], one), (["hkeys"], one))
     verb("melt", "wide to long", (["--recnum"], one), (["--melt-regexp"], one), (["--melt-fields"], one), (["keys"], one))
     verb("unmelt", "long to wide", (["--keys"], one), (["--recnum"], one), (["--missing-value"], one))
     verb("nest", "rows into a cell", (["spec"], one))
@@ -65,6 +65,12 @@ def _of_grid(g: DataFrame) -> TableFrame:
     return TableFrame(g.select(F.col("row").alias("__pos"), *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]), tuple(names))
 
 
+def _specs(texts: list[str]) -> list[tuple[str, str]]:
+    """(specification, name) of each SPEC[,NAME]."""
+    parts = [s.split(",", 1) if "(" not in s else [s[: s.index(")") + 1], *filter(None, [s[s.index(")") + 2 :]])] for s in texts]
+    return [(p[0], p[-1]) for p in parts]
+
+
 def table(spark: SparkSession, a: argparse.Namespace) -> TableFrame:
     """The result of the parsed command."""
     v = a.verb
@@ -107,10 +113,9 @@ def table(spark: SparkSession, a: argparse.Namespace) -> TableFrame:
         case "consecutive":
             return O.consecutive(t, a.n)
         case "group":
-            specs = [s.split(",", 1) if "(" not in s else [s[: s.index(")") + 1], *filter(None, [s[s.index(")") + 2 :]])] for s in a.aggregate]
-            return G.group(t, field_list(a.keys), [(x[0], x[-1]) for x in specs])
+            return G.group(t, field_list(a.keys), _specs(a.aggregate))
         case "cross":
-            df = G.cross_rows(t, field_list(a.vkeys), a.hkey, a.aggregate, a.compact)
+            df = G.cross_rows(t, field_list(a.vkeys), field_list(a.hkeys), _specs(a.aggregate) or ["count"], a.compact)
             return TableFrame(df.withColumnRenamed("row", "__pos"), tuple(df.columns[1:]))
         case "melt":
             return R.melt(t, field_list(a.keys), names(a.melt_fields) or (), [a.melt_regexp] if a.melt_regexp else (), a.recnum)

@@ -47,3 +47,26 @@ def natural_number(cell: Column, dtype: T.DataType) -> Column:
     return F.when(cell.isNull(), F.lit(None).cast("double")).when(
         cell.rlike(r"\A\s*-?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?\s*\z"), clean.try_cast("double")
     ).otherwise(F.raise_error(F.concat(F.lit("not a number: "), cell)).cast("double"))
+
+
+def number_text(number: Column) -> Column:
+    """A floating-point number as users write it: plain digits from 0.0001 up to 16 digits, else with an exponent of two digits at least."""
+    text = number.cast("string")
+    far_off = r"\A(-?)([0-9]+)\.([0-9]+)E(-?[0-9]+)\z"
+    sign, whole, part, exponent = (F.regexp_extract(text, far_off, i) for i in (1, 2, 3, 4))
+    power = exponent.try_cast("int")
+    fraction = F.when(part == "0", F.lit("")).otherwise(part)
+    digits = F.concat(whole, fraction)
+    places = F.length(fraction)
+    large = F.when(places <= power, F.concat(F.rpad(digits, power + 1, F.lit("0")), F.lit(".0"))).otherwise(
+        F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits)))
+    )
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    far = F.concat(whole, F.lit("."), part, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    plain = F.when(power.between(0, 15), large).when(power.between(-4, -1), small).otherwise(far)
+    return F.when(text.rlike(far_off), F.concat(sign, plain)).otherwise(text)
+
+
+def cell_text(cell: Column, dtype: T.DataType) -> Column:
+    """A cell as the text that a file gets."""
+    return number_text(cell) if isinstance(dtype, (T.DoubleType, T.FloatType)) else cell.cast("string")

@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from rowloom.frame import TableFrame
+from rowloom.functions.natural import number_text
 from rowloom.operators import columns as C
 from rowloom.operators import groups as G
 from rowloom.operators import joins as J
@@ -26,11 +28,47 @@ def test_group_rules(spark):
     t = table(spark, "k,v", ["a", "1"], ["a", None], ["b", None], ["08", "x"], ["8", "y"])
     assert cells(G.group(t, ["k"], [("count", "n"), ("values(v)", "v")])) == [("08", 2, "x,y"), ("a", 2, "1"), ("b", 1, "")]
     n = table(spark, "k,v", ["a", "1"], ["a", "2.5"], ["b", None])
-    assert cells(G.group(n, ["k"], ["sum(v)", "avg(v)", "min(v)"])) == [("a", 3.5, 1.75, "1"), ("b", 0.0, None, None)]
+    assert cells(G.group(n, ["k"], ["sum(v)", "avg(v)", "min(v)"])) == [("a", "3.5", 1.75, "1"), ("b", "0", None, None)]
     with pytest.raises(ValueError):
         G.group(t, ["k"], ["median(v)"])
 
 
+def test_sums_of_text_cells(spark):
+    t = table(spark, "k,v", ["a", "1"], ["a", " 2 "], ["b", "9" * 30], ["b", "1"], ["c", "1.0"], ["c", "2"], ["d", "1e3"], ["d", ".5"], ["e", None], ["f", "123456789.25"], ["g", "1e-7"])
+    assert dict(cells(G.group(t, ["k"], ["sum(v)"]))) == {
+        "a": "3", "b": "1" + "0" * 30, "c": "3.0", "d": "1000.5", "e": "0", "f": "123456789.25", "g": "1.0e-07"}
+    with pytest.raises(Exception, match="not a number"):
+        cells(G.group(table(spark, "v", [""]), [], ["sum(v)"]))
+    texts = {1e7: "10000000.0", 12345678.5: "12345678.5", 1e16: "1.0e+16", 1.5e-5: "1.5e-05", 0.00012: "0.00012", -2.5e10: "-25000000000.0", 3.0: "3.0", 1e120: "1.0e+120"}
+    frame = spark.createDataFrame([(x,) for x in texts], "x double")
+    assert {r[0]: r[1] for r in frame.select("x", number_text(F.col("x"))).collect()} == texts
+
+
+def test_groups_of_equal_keys_merge(spark):
+    t = table(spark, "k,v", ["08", "b"], ["8", "a"], ["8.0", "c"], ["", "z"], [None, "y"], ["8", None])
+    out = cells(G.group(t, ["k"], ["count", "min(v)", "max(v)", "first(v)", "last(v)", "values(v)", "firstn(2,v)", "lastn(2,v)", "uniquevalues(k)"]))
+    assert out == [("", 2, "y", "z", "z", "y", "z,y", ["z", "y"], ["z", "y"], ""), ("08", 4, "a", "c", "b", None, "b,a,c", ["b", "a"], ["c", None], "08,8,8.0")]
+    assert cells(G.group(t, [], ["count"])) == [(6,)]
+    assert cells(G.group(t, ["nothing"], ["count"])) == [(None, 6)]
+
+
+def test_user_aggregates_and_folds(spark):
+    from rowloom.functions import aggregates
+
+    aggregates.register("longest", lambda cell, pos: F.max(F.length(cell)))
+    aggregates.register("chained", lambda cell, pos: aggregates.folded(cell, F.lit(""), lambda acc, x: F.concat(acc, F.lit("<"), F.coalesce(x, F.lit("-"))), pos=pos))
+    t = table(spark, "k,v", ["8", "aa"], ["08", "b"], ["x", None])
+    assert cells(G.group(t, ["k"], ["longest(v)", "chained(v)", "count"])) == [("8", 2, "<aa<b", 2), ("x", None, "<-", 1)]
+    assert {"count", "sum", "longest"} <= set(aggregates.names())
+    with pytest.raises(ValueError):
+        aggregates.register("sum", lambda cell, pos: F.count(cell))
+    assert sorted(cells(G.categorize(t, "k", value="v", zero=F.lit(0), step=lambda acc, x: acc + F.coalesce(F.length(x), F.lit(0))))) == [("08", 1), ("8", 2), ("x", 0)]
+    other = G.categorize(C.newfield(t, "all", "1"), "all", value="v", compare=lambda a, b: F.coalesce(F.length(a), F.lit(9)) - F.coalesce(F.length(b), F.lit(9)))
+    assert cells(other) == [("1", ["b", "aa", None])]
+    with pytest.raises(Exception, match="ambiguous key"):
+        cells(G.unique_categorize(C.newfield(t, "all", "1"), "all", value="v"))
+
+
 def test_join_keeps_null_cells(spark):
     a, b = table(spark, "a,b", ["1", None], ["2", "y"]), table(spark, "a,c", ["1", "p"], ["3", "q"])
     assert sorted(cells(J.join([a, b], missing="-").result()), key=str) == [("1", None, "p"), ("2", "y", "-"), ("3", "-", "q")]
@@ -74,9 +112,50 @@ def test_consecutive_and_breaks(spark, monkeypatch):
     assert cells(O.consecutive(table(spark, "v", ["1"]), 2)) == []
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_of_many_wide_rows(spark, adaptive):
+    """Millions of rows over many partitions: sampled range bounds must be drawn once."""
+    from rowloom.operators.rows import ROW, numbered
+
+    n = 2_000_000
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        df = spark.range(0, n, 1, 16).select(F.pmod(F.col("id") * 1_000_003, F.lit(n)).alias("id"), F.repeat(F.lit("wide "), 20).alias("text"))
+        t = TableFrame.of(df.withColumn("run", F.expr("id div 7")), ["id"])
+        rows = numbered(t)
+        assert rows.agg(F.count(F.lit(1)), F.count_if(F.col(ROW) != F.col("id")), F.countDistinct(ROW)).first()[:] == (n, 0, n)
+        runs = O.control_break(t, "run")
+        assert runs.agg(F.count(F.lit(1)), F.count_if(F.col("run1") != F.col("run") + 1)).first()[:] == (n, 0)
+        threes = O.consecutive(C.cut(t, ["id"]), 3).result()
+        assert threes.agg(F.count(F.lit(1)), F.count_if((F.col("id_2") != F.col("id_1") + 1) | (F.col("id_3") != F.col("id_1") + 2))).first()[:] == (n - 2, 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_nested_breaks(spark, monkeypatch):
+    from rowloom.operators import rows
+
+    monkeypatch.setattr(rows, "BLOCK_ROWS", 2)
+    t = table(spark, "a,b", *[[str(i // 6), str(i // 2 % 2)] for i in range(12)], [None, None], [None, None])
+    got = O.control_break(t, "a", "b").orderBy("row").collect()
+    assert [r["run1"] for r in got] == [1] * 6 + [2] * 6 + [3] * 2
+    assert [r["run2"] for r in got] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6, 7, 7]
+    assert cells(O.consecutive(table(spark, "v", *[[str(i)] for i in range(9)]), 6)) == [tuple(str(j) for j in range(i, i + 6)) for i in range(4)]
+
+
 def test_cross_and_crop_and_header(spark):
     t = table(spark, "n,y", ["a", "10"], ["a", "9"], ["b", "9"], ["a", "9"])
     assert G.cross(t, ["n"], "y").fields == ("n", "9", "10")
+    w = table(spark, "v,w,a,b,x", ["p", "q", "2", "u", "1"], ["p", "q", "10", "u", "2"], ["p", "r", "2", "t", "4"], ["p", "q", "2", "u", "8"])
+    rows = [tuple(r) for r in G.cross_rows(w, ["v", "w"], ["a", "b"], [("count", "n"), "sum(x)"]).orderBy("row").collect()]
+    assert rows == [
+        (0, None, "a", "2", "2", "2", "2", "10", "10"), (1, None, "b", "t", "t", "u", "u", "u", "u"), (2, "v", "w", "n", "sum(x)", "n", "sum(x)", "n", "sum(x)"),
+        (3, "p", "q", None, None, "2", "9", "1", "2"), (4, "p", "r", "1", "4", None, None, None, None)]
+    compact = [tuple(r) for r in G.cross_rows(w, ["v"], ["a", "b"], "values(x)", compact=True).orderBy("row").collect()]
+    assert compact == [(0, "a", "2", "2", "10"), (1, "v", "t", "u", "u"), (2, "p", "4", "1,8", "2")]
     assert cells(G.cross(t, ["n"], "y")) == [("a", 2, 1), ("b", 1, None)]
     assert sorted(tuple(r) for r in G.cross_rows(t, ["n"], "y").collect()) == [(0, "y", "9", "10"), (1, "n", "count", "count"), (2, "a", "2", "1"), (3, "b", "1", None)]
     grid = spark.createDataFrame([(0, [None, ""]), (1, ["", "a", "b", ""]), (2, [None, "c"]), (3, [""])], "row long, cells array<string>")
