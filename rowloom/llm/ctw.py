@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -19,9 +19,9 @@ from rowloom.llm.workspace import Workspace
 _U = np.uint64
 
 #: Bytes of context.
-DEPTH = 4
+DEPTH = 5
 #: Byte grams that are broadcast at most (12 bytes each): those that make up one position in
-#: HEAVY_GRAMS or more. The probabilities of all others reach their texts by a join.
+#: HEAVY_GRAMS or more. The probabilities of all others, as precise, reach their texts by a join.
 HEAVY_GRAMS = 1 << 22
 #: Distinct grams, about, whose part of the tree one task fits.
 BUCKET_GRAMS = 250_000
@@ -127,7 +127,8 @@ def _levels(keys: np.ndarray, counts: np.ndarray, top: int, low: int, below: lis
     and the product over its children (one further byte of context). Nodes at ``top`` are
     leaves unless ``below`` has, per bit, the ids of such nodes and the logs of those products.
     Result: by depth, per bit (ids, probability of a one by own counts, weight of that
-    estimate); and per bit (ids, log weighted probability) of depth ``low``.
+    estimate, probability of a zero); and per bit (ids, log weighted probability) of depth
+    ``low``. Both probabilities are kept, each to its own precision: neither can become 0.
     """
     levels = {}
     for d in range(top, low - 1, -1):
@@ -150,30 +151,26 @@ def _levels(keys: np.ndarray, counts: np.ndarray, top: int, low: int, below: lis
                 weighted = np.logaddexp(own, product) - np.log(2.0)
                 weight = np.exp(own - np.log(2.0) - weighted)
             here.append((ids, weighted))
-            levels[d].append((ids, ((ones + 0.5) / (zeros + ones + 1.0)).astype(np.float32), weight.astype(np.float32)))
+            total = zeros + ones + 1.0
+            levels[d].append((ids, ((ones + 0.5) / total).astype(np.float32), weight.astype(np.float32), ((zeros + 0.5) / total).astype(np.float32)))
         below = here
     return levels, below
 
 
-def _mixed(levels: dict, grams: np.ndarray, deeper: np.ndarray) -> np.ndarray:
-    """(8, n) probabilities of a one at each bit, mixing these depths into what deeper ones say."""
-    out = np.array(deeper, dtype=np.float64)
+def _mixture(levels: dict, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(8, n) a and b, such that a + b * p is the probability of each bit of each gram's last
+    byte by these depths, where p is what deeper ones say."""
+    a, b = np.zeros((8, len(grams))), np.ones((8, len(grams)))
     for d in sorted(levels, reverse=True):
-        for b, (ids, one, weight) in enumerate(levels[d]):
+        for bit, (ids, one, weight, zero) in enumerate(levels[d]):
             if len(ids):
-                node = (grams & _U((1 << 8 * (d + 1)) - 1)) >> _U(8 - b)
+                node = (grams & _U((1 << 8 * (d + 1)) - 1)) >> _U(8 - bit)
                 at = np.minimum(np.searchsorted(ids, node), len(ids) - 1)
-                out[b] = np.where(ids[at] == node, weight[at] * one[at] + (1.0 - weight[at]) * out[b], out[b])
-    return out
-
-
-def _code_log2(ones: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """log2 probability of each gram's last byte from those of its bits being one."""
-    total = np.zeros(len(grams))
-    for b in range(8):
-        bit = ((grams >> _U(7 - b)) & _U(1)).astype(bool)
-        total += np.log2(np.where(bit, ones[b], 1.0 - ones[b]))
-    return total
+                own = np.where((grams >> _U(7 - bit)) & _U(1), one[at], zero[at]).astype(np.float64)
+                share = np.where(ids[at] == node, weight[at], 0.0).astype(np.float64)
+                a[bit] = share * own + (1.0 - share) * a[bit]
+                b[bit] *= 1.0 - share
+    return a, b
 
 
 @dataclass
@@ -191,65 +188,126 @@ class ContextTree:
 
     def evaluate(self, grams: np.ndarray) -> np.ndarray:
         """log2 probability of the last byte of each gram after those before it."""
-        return _code_log2(_mixed(self.nodes, grams, np.full((8, len(grams)), 0.5)), grams)
+        a, b = _mixture(self.nodes, grams)
+        return np.log2(a + 0.5 * b).sum(axis=0)
+
+
+_FITTED = "kind int, bit int, key long, m long, value double, told binary"
+
+
+def _parts(told: np.ndarray) -> pa.Array:
+    """Rows of four-byte numbers as binary cells."""
+    told = np.ascontiguousarray(told, dtype="<f4")
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * told.shape[1]), len(told), [None, pa.py_buffer(told.tobytes())]).cast(pa.binary())
+
 
+def _unpacked(told: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(told.to_pylist()), dtype="<f4").reshape(-1, width).T.astype(np.float64)
 
-def _fit_bucket(table: pa.Table, depth: int, cut: int) -> pa.Table:
-    """The subtrees below depth ``cut`` of one bucket's contexts.
 
-    kind 0: key (bit and node one depth higher), value: the sum of its children's log weighted
-    probabilities here. kind 1: a gram, m, and in ``low`` what depths from cut on say of its 8 bits.
+def _fit_bucket(table: pa.Table, top: int, low: int, deepest: bool) -> pa.Table:
+    """The depths ``top`` to ``low`` of one bucket's contexts of ``low`` bytes, from rows of kind
+    1, grams of top + 1 bytes, and, unless ``deepest``, of kind 0, sums that the depth below told.
+
+    Result: kind 0, a bit and a node one depth higher, with the sum of its children's log
+    weighted probabilities here; kind 1, a gram, m, and what these depths say of its 8 bits (a
+    and b of :func:`_mixture`; where they are the deepest, the probability).
     """
-    keys, n = table["key"].to_numpy().view(_U), table["n"].to_numpy()
-    levels, top = _levels(keys[n > 0], n[n > 0].astype(np.float64), depth, cut)
-    low = _mixed(levels, keys, np.full((8, len(keys)), 0.5)).T.astype("<f4")
-    ids, sums = [], []
-    for b, (node, weighted) in enumerate(top):
-        parent, at = np.unique(node & _U((1 << (8 * (cut - 1) + b)) - 1), return_inverse=True)
-        ids.append(parent | _U(b << 32))
-        sums.append(np.bincount(at, weights=weighted, minlength=len(parent)))
-    ids, sums = np.concatenate(ids), np.concatenate(sums)
-    low = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(keys), [None, pa.py_buffer(low.tobytes())]).cast(pa.binary())
-    kind = np.repeat([0, 1], [len(ids), len(keys)])
+    is_gram = table["kind"].to_numpy() == 1
+    grams, sums = table.filter(pa.array(is_gram)), table.filter(pa.array(~is_gram))
+    keys, n = grams["key"].to_numpy().view(_U), grams["n"].to_numpy()
+    below = None
+    if not deepest:
+        bit, node, value = sums["bit"].to_numpy(), sums["key"].to_numpy().view(_U), sums["value"].to_numpy()
+        below = [(node[bit == b], value[bit == b]) for b in range(8)]
+    levels, here = _levels(keys[n > 0], n[n > 0].astype(np.float64), top, low, below)
+    a, b = _mixture(levels, keys)
+    told = (a + 0.5 * b).T if deepest else np.concatenate([a, b]).T
+    bits, ids, values = [], [], []
+    for bit, (node, weighted) in enumerate(here):
+        parent, at = np.unique(node & _U((1 << (8 * (low - 1) + bit)) - 1), return_inverse=True)
+        bits.append(np.full(len(parent), bit, dtype=np.int32))
+        ids.append(parent)
+        values.append(np.bincount(at, weights=weighted, minlength=len(parent)).astype(np.float64))
+    bits, ids, values = np.concatenate(bits), np.concatenate(ids), np.concatenate(values)
     return pa.table({
-        "kind": pa.array(kind, pa.int32()), "key": pa.array(np.concatenate([ids, keys]).view(np.int64)),
-        "m": pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(table["m"].to_numpy())]),
-        "value": pa.concat_arrays([pa.array(sums), pa.nulls(len(keys), pa.float64())]),
-        "low": pa.concat_arrays([pa.nulls(len(ids), pa.binary()), low]),
+        "kind": pa.array(np.repeat([0, 1], [len(ids), len(keys)]), pa.int32()), "bit": pa.concat_arrays([pa.array(bits), pa.nulls(len(keys), pa.int32())]),
+        "key": pa.array(np.concatenate([ids, keys]).view(np.int64)),
+        "m": pa.concat_arrays([pa.nulls(len(ids), pa.int64()), grams["m"].combine_chunks()]),
+        "value": pa.concat_arrays([pa.array(values, pa.float64()), pa.nulls(len(keys), pa.float64())]),
+        "told": pa.concat_arrays([pa.nulls(len(ids), pa.binary()), _parts(told)]),
     })
 
 
-def _known(batches: Iterator[pa.RecordBatch], upper: dict) -> Iterator[pa.RecordBatch]:
+def _fitting(top: int, low: int, deepest: bool) -> Callable[[pa.Table], pa.Table]:
+    def fit(table: pa.Table) -> pa.Table:
+        return _fit_bucket(table, top, low, deepest)
+
+    return fit
+
+
+def _known(batches: Iterator[pa.RecordBatch], upper: dict, joined: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch["key"].to_numpy().view(_U)
-        low = np.frombuffer(b"".join(batch["low"].to_pylist()), dtype="<f4").reshape(-1, 8).T
-        value = _code_log2(_mixed(upper, keys, low), keys) * np.log10(2.0)
-        yield pa.RecordBatch.from_arrays([batch["key"], batch["m"], pa.array(value)], names=["key", "m", "value"])
+        p = _unpacked(batch["told"], 8)
+        for name in joined:
+            told = _unpacked(batch[name], 16)
+            p = told[:8] + told[8:] * p
+        a, b = _mixture(upper, keys)
+        value = np.log10(a + b * p).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([batch["key"], batch["m"], pa.array(value.astype(np.float32))], names=["key", "m", "value"])
+
+
+def _stages(depth: int, cut: int) -> list[tuple[int, int]]:
+    """(top, low) of the runs of depths from ``depth`` up to ``cut``, two each."""
+    out = []
+    while depth >= cut:
+        out.append((depth, max(cut, depth - 1)))
+        depth -= 2
+    return out
 
 
 def gram_values(ws: Workspace, grams: DataFrame, depth: int) -> DataFrame:
     """(key, m, value): the log10 probability that the tree gives each gram in grams(key, n, m).
 
-    Contexts are dealt to buckets by their nearest ``cut`` (two) bytes, and a task fits all
-    that lies below those: at most 2^24 grams a context at depth 4, whatever the corpus.
-    Of the two depths above only sums are gathered: at most 65,280 nodes and 65,536 grams.
+    The tree is fitted two depths at a time, the deepest first. A run of depths deals its contexts to
+    buckets by all their bytes but the farthest of the deeper depth, so that a context has at
+    most 65,536 grams, however hot it is, and a task some BUCKET_GRAMS; the next run gets sums of what its
+    nodes' children said. Of the two uppermost depths only sums are gathered: at most 65,280 nodes
+    and 65,536 grams. What the runs say of a gram meets by joins on its nearest bytes.
     """
     cut = min(2, depth)
-    buckets = max(64, -(-grams.count() // BUCKET_GRAMS))
-    context = F.shiftright("key", 8).bitwiseAND((1 << 8 * cut) - 1)
-    fitted = ws.save(
-        grams.select("key", "n", "m", F.pmod(F.xxhash64(context), F.lit(buckets)).alias("bucket")).groupBy("bucket")
-        .applyInArrow(lambda table: _fit_bucket(table, depth, cut), "kind int, key long, m long, value double, low binary"),
-        "tree",
-    )
-    sums = fitted.where("kind = 0").groupBy("key").agg(F.sum("value").alias("value")).orderBy("key").toArrow()
+    stages = _stages(depth, cut)
+    sums, told = None, []
+    for top, low in stages:
+        here = grams if top == depth else ws.save(
+            grams.groupBy(F.col("key").bitwiseAND((1 << 8 * (top + 1)) - 1).alias("key")).agg(F.sum("n").alias("n"), F.lit(None).cast("long").alias("m")), f"grams-{top}"
+        )
+        buckets = max(64, -(-here.count() // BUCKET_GRAMS))
+        near = (1 << 8 * low) - 1
+        rows = here.select(
+            F.lit(1).alias("kind"), F.lit(None).cast("int").alias("bit"), "key", "n", "m", F.lit(None).cast("double").alias("value"),
+            F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(near)), F.lit(buckets)).alias("bucket"),
+        )
+        if sums is not None:
+            context = F.expr("shiftrightunsigned(key, bit)").bitwiseAND(near)
+            none = F.lit(None).cast("long")
+            rows = rows.unionByName(sums.select(F.lit(0).alias("kind"), "bit", "key", none.alias("n"), none.alias("m"), "value", F.pmod(F.xxhash64(context), F.lit(buckets)).alias("bucket")))
+        fitted = ws.save(rows.groupBy("bucket").applyInArrow(_fitting(top, low, top == depth), _FITTED), f"tree-{top}")
+        sums = fitted.where("kind = 0").groupBy("bit", "key").agg(F.sum("value").alias("value"))
+        told.append(fitted.where("kind = 1"))
+    top_sums = sums.orderBy("bit", "key").toArrow()
     short = grams.where("n > 0").groupBy(F.col("key").bitwiseAND((1 << 8 * cut) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    key, value = sums["key"].to_numpy().view(_U), sums["value"].to_numpy()
-    of = [key >> _U(32) == b for b in range(8)]
-    below = [(key[x] & _U(0xFFFFFFFF), value[x]) for x in of]
+    bit, key, value = top_sums["bit"].to_numpy(), top_sums["key"].to_numpy().view(_U), top_sums["value"].to_numpy()
+    below = [(key[bit == b], value[bit == b]) for b in range(8)]
     upper, _ = _levels(short["key"].to_numpy().view(_U), short["n"].to_numpy().astype(np.float64), cut - 1, 0, below)
-    known = ws.save(fitted.where("kind = 1").select("key", "m", "low").mapInArrow(partial(_known, upper=upper), "key long, m long, value double"), "known")
-    ws.drop("tree")
+    every, joined = told[0].select("key", "m", "told"), []
+    for (top, _), part in zip(stages[1:], told[1:], strict=True):
+        joined.append(f"told{top}")
+        suffix = F.col("key").bitwiseAND((1 << 8 * (top + 1)) - 1)
+        every = every.withColumn("suffix", suffix).join(part.select(F.col("key").alias("suffix"), F.col("told").alias(joined[-1])), "suffix").drop("suffix")
+    known = ws.save(every.mapInArrow(partial(_known, upper=upper, joined=joined), "key long, m long, value float"), "known")
+    ws.drop(*[f"tree-{top}" for top, _ in stages], *[f"grams-{top}" for top, _ in stages[1:]])
     return known
 
 
@@ -313,7 +371,7 @@ def lm_scores(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
     train_tokens, base_score (sum of log10((c + 1) / (N + V + 1))), score (log10 probability of
     the text by the model), bits_per_byte (code length per byte, the closing one included).
 
-    Null or empty texts have only their end. A null doc_id counts as training. Repeated rows count as
+    Null or empty texts have only their end; texts of any length are scored whole. A null doc_id counts as training. Repeated rows count as
     often as they stand and give equal rows. Without training texts every bit has probability one half. Extra
     columns are ignored; an empty table gives an empty result.
     """
@@ -341,7 +399,7 @@ def lm_scores(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
     rare = logs.where(F.col("n") < least_word).select(F.lit(0).alias("kind"), "key", "value").unionByName(
         known.where(F.col("m") < least_gram).select(F.lit(1).alias("kind"), "key", "value")
     )
-    part = F.col("n") * F.col("value")
+    part = F.col("n") * F.col("value").cast("double")
     light = (
         scored.where("kind is not null").select("row", "kind", "key", "n").join(rare, ["kind", "key"])
         .groupBy("row").agg(
