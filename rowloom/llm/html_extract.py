@@ -18,12 +18,17 @@ from rowloom.llm.workspace import let_workers_import
 
 # --- blocks of a page -------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quote matters only where it begins an attribute's value, after "="; elsewhere it is any character.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|=)*)(?:>|\Z)", re.S
+)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 _NAME_PART = re.compile(r"[a-z]+|[0-9]+")
 
-_RAW = frozenset("script style noscript template textarea iframe svg math object select".split())
+#: Scripts, styles and form controls hold no text; what stands in a frame is markup for browsers without frames.
+_RAW = frozenset("script style textarea select iframe".split())
 _IN_HEAD = frozenset("html head title meta link base script style noscript template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -46,7 +51,8 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order: runs of text no block element interrupts, white space
     as one space, references decoded. Scripts, styles, comments, form controls and the head
-    hold no text; unclosed elements end where HTML would end them."""
+    hold no text; formulas, drawings, embedded objects, templates and what is shown without scripts are read
+    like all else. Unclosed elements end where HTML would end them."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
