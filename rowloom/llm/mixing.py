@@ -65,6 +65,24 @@ def fitted_cells(rows: DataFrame, targets: dict[str, dict[str, float]] | None =
     return cells.select(*dims, "tokens", "w")
 
 
+def residuals(rows: DataFrame, cells: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
+    """(marginal, category, target, reached): the share of tokens that each category of the given
+    targets should have, and has once its cells are drawn; a few rows, whatever the corpus.
+
+    Targets are brought to sum 1 over the categories that have tokens. Raking meets them all in the
+    limit where any mixture does; this tells how near the fixed number of sweeps came.
+    """
+    drawn = rows.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0").join(cells, ["source", "lang", "topic"])
+    parts = []
+    for d, shares in targets.items():
+        given = F.create_map(*[x for k, v in sorted(shares.items()) for x in (F.lit(k), F.lit(float(v)))])
+        sums = drawn.groupBy(F.col(d).alias("category")).agg(F.sum(F.col("tokens") * F.col("expected_copies")).alias("got"))
+        over = Window.partitionBy()  # a row a category
+        goal = F.coalesce(F.element_at(given, F.col("category")), F.lit(0.0))
+        parts.append(sums.select(F.lit(d).alias("marginal"), "category", (goal / F.sum(goal).over(over)).alias("target"), (F.col("got") / F.sum("got").over(over)).alias("reached")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def mixture(ws: Workspace, rows: DataFrame, **how) -> DataFrame:
     """The cells with their expected copies, as a written table."""
     budget = how.pop("budget", BUDGET)
@@ -97,7 +115,12 @@ def mix(documents: DataFrame, targets: dict[str, dict[str, float]] | None = None
 
 
 def mix_rows(documents: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, seed: str = "mix") -> DataFrame:
-    """The sampled documents with all their columns, and copies (1 or more)."""
+    """The sampled documents with all their columns, and copies (1 or more).
+
+    An input column named copies is replaced. Null texts have no tokens and, like all of a cell
+    without any, are not drawn; null source or lang form the category 'unknown'. Rows that
+    repeat a doc_id, and rows without one, draw the same number. An empty table gives an empty result.
+    """
     ws = Workspace(documents.sparkSession, "mixing")
     cells = mixture(ws, documents.select(*described(documents)), targets=targets, budget=budget)
     named = documents.select("*", F.struct(*described(documents)[:3]).alias("__cell"))
