@@ -32,12 +32,16 @@ def _sets_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(span_hashes(data, starts, ends), firsts, k)
 
 
+def _set_key(elements: np.ndarray) -> bytes:
+    return blake2b(elements.tobytes(), digest_size=16).digest()
+
+
 def _sketches(batches: Iterator[pa.RecordBatch], k: int, spec: SketchSpec) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, keys, regs = [], [], []
         for s in _sets_of(batch["text"], k):
             sizes.append(len(s))
-            keys.append(blake2b(s.tobytes(), digest_size=16).digest())
+            keys.append(_set_key(s))
             regs.append(sketch(s, spec).astype(">u2").tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())],
@@ -50,8 +54,9 @@ def _full_sets(batches: Iterator[pa.RecordBatch], k: int, wanted) -> Iterator[pa
     for batch in batches:
         at = batch["slot"].to_numpy()
         batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-        sets = [s.view(np.int64) for s in _sets_of(batch["text"], k)]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.list_(pa.int64()))], names=["cid", "items"])
+        sets = list(_sets_of(batch["text"], k))
+        keys = [_set_key(s) for s in sets]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set_key", "items"])
 
 
 def _unpack(regs, m: int) -> np.ndarray:
@@ -137,9 +142,10 @@ def near_dedup(documents: DataFrame, shingle: int = 5, threshold: float = 0.8, s
     all its pairs. Candidates pass the likelihood estimate, then the exact test.
 
     Null or empty text: set size 0, its own component. Fewer words than a shingle: the whole
-    sequence is one. Repeated rows of one doc_id give one row each with equal values. A null
-    doc_id gets a null component and kept false. Extra columns are ignored; an empty table
-    gives an empty result.
+    sequence is one; long texts count whole. A similarity equal to the threshold links. Repeated rows of one
+    doc_id give one row each with equal values; where such rows have different texts, each has the links of its
+    own text under the common doc_id. A null doc_id links with nothing and gets a null component and kept
+    false. Extra columns are ignored; an empty table gives an empty result.
     """
     spec = spec or SketchSpec()
     spark = documents.sparkSession
@@ -151,17 +157,15 @@ def near_dedup(documents: DataFrame, shingle: int = 5, threshold: float = 0.8, s
     )
     filled = sig.where("n_shingles > 0 and doc_id is not null")
     twins = ws.save(
-        filled.groupBy("set_key").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").select("set_key", "cid"),
+        filled.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1").select("set_key", "first"),
         "twins",
     )
-    known = (
-        sig.select("doc_id", "n_shingles", "set_key").join(twins, "set_key", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("cid", "doc_id")).otherwise(F.col("doc_id")).alias("cid"))
-    )
+    # Numbered, since the smallest doc_id tells two classes apart only where no doc_id is repeated.
     classes = ws.save(
-        filled.join(twins, "set_key", "left").where("cid is null or cid = doc_id")
-        .select(F.col("doc_id").alias("cid"), "n_shingles", "regs").dropDuplicates(["cid"]),
+        filled.join(twins, "set_key", "left").where("first is null or first = doc_id")
+        .select("set_key", F.col("first").isNotNull().alias("twin"), F.col("doc_id").alias("first"), "n_shingles", "regs").dropDuplicates(["set_key"])
+        .select(F.monotonically_increasing_id().alias("cid"), "*"),
         "classes",
     )
     width = 2 * spec.rows
@@ -175,7 +179,7 @@ def near_dedup(documents: DataFrame, shingle: int = 5, threshold: float = 0.8, s
         "buckets",
     )
     members = ws.save(keys.join(buckets, ["band", "key"]), "members")
-    sets = ws.save(_sets(ws, source, members, shingle), "sets")
+    sets = ws.save(_sets(ws, source, classes.join(members.select("cid").distinct(), "cid").select("cid", "set_key", "first"), shingle), "sets")
     least = threshold - SLACK_SIGMAS * (threshold * (1 - threshold) / spec.m) ** 0.5
     percent = round(threshold * 100)
     first = members.where("cid <> pivot").select(F.least("pivot", "cid").alias("a"), F.greatest("pivot", "cid").alias("b")).distinct()
@@ -194,35 +198,41 @@ def near_dedup(documents: DataFrame, shingle: int = 5, threshold: float = 0.8, s
     more = _undecided_links(ws, members, comps, classes, sets, spec, percent, least)
     if more is not None:
         comps = ws.save(connected_components(ws, links.unionByName(more), "cc2"), "components-2")
-    ws.drop("sets", "members", "buckets", "classes", "pairs")
-    out = known.join(comps.withColumnRenamed("id", "cid"), "cid", "left")
-    component = F.coalesce("component_id", "cid")
+    comps = comps.withColumnRenamed("id", "cid")
+    named = classes.select("cid", "set_key", "first", "twin").join(comps, "cid", "left")
+    least = named.where("component_id is not null").groupBy("component_id").agg(F.min("first").alias("least"))
+    groups = ws.save(
+        named.join(least, "component_id", "left").where("twin or least is not null").select("set_key", F.coalesce("least", "first").alias("component")), "groups"
+    )
+    ws.drop("sets", "members", "buckets", "classes", "pairs", "twins")
+    out = sig.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")
     )
 
 
-def _sets(ws: Workspace, source: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
-    """(cid, items): the full sets of the texts that share a bucket with another.
+def _sets(ws: Workspace, source: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(cid, items): the full sets of the classes in wanted(cid, set_key, first).
 
     Which texts those are goes to the scan as a bitmap of hashed ids (about 16 bits an id,
-    128 MB at most), so no text is shuffled; the few others that a bit lets through do no harm.
+    128 MB at most), so no text is shuffled; the few others that a bit lets through find no class.
     """
-    n = members.select("cid").distinct().count()
-    bits = min(30, max(20, (16 * n).bit_length()))
+    bits = min(30, max(20, (16 * wanted.count()).bit_length()))
 
     def slot(column: str) -> F.Column:
         return F.pmod(F.xxhash64(column), F.lit(1 << bits))
 
-    marks = members.select(slot("cid").alias("slot")).groupBy(F.expr("slot div 32768").alias("page")).agg(
+    marks = wanted.select(slot("first").alias("slot")).groupBy(F.expr("slot div 32768").alias("page")).agg(
         F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits")
     )
     bitmap = np.zeros(1 << (bits - 3), dtype=np.uint8)
     for row in marks.toLocalIterator():
         bitmap[row["page"] * 4096 : row["page"] * 4096 + 4096] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
-    wanted = ws.spark.sparkContext.broadcast(bitmap)
-    rows = source.where("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("slot"))
-    return rows.mapInArrow(partial(_full_sets, k=shingle, wanted=wanted), "cid long, items array<long>").dropDuplicates(["cid"])
+    marked = ws.spark.sparkContext.broadcast(bitmap)
+    rows = source.where("doc_id is not null").select("text", slot("doc_id").alias("slot"))
+    found = rows.mapInArrow(partial(_full_sets, k=shingle, wanted=marked), "set_key binary, items array<long>").dropDuplicates(["set_key"])
+    return found.join(wanted.select("set_key", "cid"), "set_key").select("cid", "items")
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
