@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm.textkit import chunks, lowered, mix64, span_hashes, word_spans
-from rowloom.llm.workspace import let_workers_import
+from rowloom.llm.workspace import Workspace, let_workers_import
 
 _U = np.uint64
 
-#: The bound of the driver's sample: so many labelled texts at most, each of so many bytes at
-#: most (longer ones are not learnt from, but scored whole like all others).
+#: The bound of the sample that a classifier is fitted on, in labelled rows. Their texts are whole.
 SAMPLE_ROWS = 6000
-SAMPLE_TEXT_BYTES = 40_000
 
 
 def fold(column: str, n: int) -> F.Column:
@@ -82,8 +81,9 @@ def ngram_scores(texts: pa.Array, weights: np.ndarray, spec: NgramSpec) -> np.nd
     return out
 
 
-def ngram_rows(texts: pa.Array, spec: NgramSpec, keep: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text, feature), distinct, a chunk of texts at a time; only features marked in ``keep``."""
+def ngram_rows(texts: pa.Array, spec: NgramSpec, keep: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, feature, number of distinct words' places that hold it), a chunk of texts at a
+    time; only features marked in ``keep``."""
     for at, _, data, starts, ends, row, word in _distinct_words(texts):
         if not len(starts):
             continue
@@ -96,35 +96,58 @@ def ngram_rows(texts: pa.Array, spec: NgramSpec, keep: np.ndarray | None = None)
         first = np.concatenate([[0], np.cumsum(count)])
         reps = count[word]
         slot = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(first[word], reps)
-        r, c, _ = _sorted_counts(np.repeat(row, reps), feature[order][slot], 1 << spec.bits)
-        yield (r + at).astype(np.int32), c.astype(np.int32)
+        r, c, n = _sorted_counts(np.repeat(row, reps), feature[order][slot], 1 << spec.bits)
+        yield (r + at).astype(np.int32), c.astype(np.int32), n.astype(np.int32)
 
 
 # --- a bounded sample of labelled texts -------------------------------------------------------
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, grade: F.Column, keep: F.Column | None, n: int) -> pa.Table:
-    """Up to n labelled texts (text, grade), an equal share of each grade where there are
-    enough, taken in the order of a hash of their id; texts over SAMPLE_TEXT_BYTES are left out."""
-    labels = labels.select(F.col("doc_id").alias("doc_id"), grade.cast("int").alias("grade")).where("doc_id is not null and grade is not null")
+def labelled_sample(ws: Workspace, documents: DataFrame, labels: DataFrame, grade: F.Column, keep: F.Column | None, n: int) -> DataFrame:
+    """Up to n labelled texts (doc_id, text, grade), an equal share of each grade where there are
+    enough, taken in the order of a hash of their id, written to the shared folder.
+
+    Only labels whose document exists are counted and taken. A doc_id labelled more than once
+    has its highest grade; of rows that repeat a doc_id the least text is taken, so that n bounds the sample.
+    """
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("int").alias("grade")).where("doc_id is not null and grade is not null")
     if keep is not None:
         labels = labels.where(keep)
-    counts = {r["grade"]: r["n"] for r in labels.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known = ws.save(labels.groupBy("doc_id").agg(F.max("grade").alias("grade")).join(texts.select("doc_id"), "doc_id", "left_semi"), "labels")
+    counts = {r["grade"]: r["n"] for r in known.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     room, share = n, {}
-    for i, (g, have) in enumerate(sorted(counts.items(), key=lambda x: x[1])):
+    for i, (g, have) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
         share[g] = min(have, room // (len(counts) - i))
         room -= share[g]
-    picked = None
+    picked = known.limit(0)
     for g, take in share.items():
-        part = labels.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id", F.lit(97)), "doc_id").limit(take)
-        picked = part if picked is None else picked.unionByName(part)
-    if picked is None:
-        return pa.table({"text": pa.array([], pa.string()), "grade": pa.array([], pa.int32())})
-    rows = (
-        documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
-        .where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).select("doc_id", "text", "grade")
-    )
-    return rows.toArrow().sort_by("doc_id").select(["text", "grade"])
+        picked = picked.unionByName(known.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id", F.lit(97)), "doc_id").limit(take))
+    return ws.save(texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")), "sample")
+
+
+def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """One list for each of n owners, which come in order."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.array(values))
+
+
+@dataclass(frozen=True)
+class Features:
+    """What the driver holds of the sample: a grade a text, and (text, feature, value) triples."""
+
+    grades: np.ndarray
+    rows: np.ndarray
+    cols: np.ndarray
+    values: np.ndarray
+
+
+def _gathered(features: DataFrame) -> Features:
+    """From (doc_id, grade, cols, vals), no more rows than the sample has."""
+    got = features.toArrow().sort_by("doc_id").combine_chunks()
+    cols, vals = (got[c].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("cols", "vals"))
+    sizes = np.diff(cols.offsets.to_numpy()) if got.num_rows else np.empty(0, dtype=np.int64)
+    rows = np.repeat(np.arange(got.num_rows, dtype=np.int32), sizes)
+    return Features(got["grade"].to_numpy().astype(np.int64), rows, cols.flatten().to_numpy(), vals.flatten().to_numpy())
 
 
 # --- toxicity ---------------------------------------------------------------------------------
@@ -146,31 +169,30 @@ LEAST_TEXTS = 4
 LEAST_RATIO = 1.0
 
 
-def fit_toxicity(texts: pa.Array, toxic: np.ndarray, spec: NgramSpec = NgramSpec(), steps: int = 100, ridge: float = 1e-2) -> ToxicityModel:
-    """Logistic regression on binary n-gram features, each scaled by its log-count ratio
-    log((p + 1) / |p + 1|) - log((q + 1) / |q + 1|); p and q count the toxic and other texts that hold it.
+def log_count_ratio(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """log((p + 1) / |p + 1|) - log((q + 1) / |q + 1|), of the numbers of toxic and other texts
+    that hold each feature; 0 for features that tell nothing."""
+    ratio = np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum())
+    ratio[(p + q < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0.0
+    return ratio
+
+
+def fit_toxicity(seen: Features, ratio: np.ndarray, spec: NgramSpec = NgramSpec(), steps: int = 100, ridge: float = 1e-2) -> ToxicityModel:
+    """Logistic regression on n-gram features, as often as a text's distinct words hold them,
+    each scaled by its log-count ratio.
 
     The ridge acts on the scaled features, so a feature's weight grows with the square of its
     ratio; fitted by accelerated gradient descent. Texts of the rarer class weigh as much
     together as the others. Without texts of both classes the score is the share of toxic
     texts (0.5 without any).
     """
-    toxic = np.asarray(toxic, dtype=np.float64)
+    toxic = seen.grades.astype(np.float64)
     width = 1 << spec.bits
     if not len(toxic) or toxic.min() == toxic.max():
         share = (toxic.sum() + 0.5) / (len(toxic) + 1.0)
         return ToxicityModel(spec, np.zeros(width, dtype=np.float32), float(np.log(share / (1 - share))))
-    p, q = np.ones(width), np.ones(width)
-    for rows, cols in ngram_rows(texts, spec):
-        p += np.bincount(cols, weights=toxic[rows], minlength=width)
-        q += np.bincount(cols, weights=1.0 - toxic[rows], minlength=width)
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    ratio[(p + q - 2.0 < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0.0
-    # A second pass keeps the telling features only, so the driver never holds them all.
-    none = np.empty(0, dtype=np.int32)
-    kept = [(none, none), *ngram_rows(texts, spec, ratio != 0.0)]
-    rows, cols = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
-    value = ratio[cols]
+    rows, cols = seen.rows, seen.cols
+    value = ratio[cols] * seen.values
     weigh = np.where(toxic > 0, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean())) / len(toxic)
 
     def times(w):
@@ -196,6 +218,40 @@ def fit_toxicity(texts: pa.Array, toxic: np.ndarray, spec: NgramSpec = NgramSpec
     return ToxicityModel(spec, (w * ratio).astype(np.float32), float(bias))
 
 
+def _text_counts(batches: Iterator[pa.RecordBatch], spec: NgramSpec) -> Iterator[pa.RecordBatch]:
+    """(feature, p, q): how many toxic and other texts of these hold it."""
+    p, q = (np.zeros(1 << spec.bits, dtype=np.int64) for _ in "pq")
+    for batch in batches:
+        toxic = batch["grade"].to_numpy() > 0
+        for rows, cols, _ in ngram_rows(batch["text"], spec):
+            p += np.bincount(cols[toxic[rows]], minlength=len(p))
+            q += np.bincount(cols[~toxic[rows]], minlength=len(q))
+    held = np.flatnonzero(p + q)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (held.astype(np.int32), p[held], q[held])], names=["feature", "p", "q"])
+
+
+def _text_ngrams(batches: Iterator[pa.RecordBatch], spec: NgramSpec, keep) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        none = np.empty(0, dtype=np.int32)
+        parts = [(none, none, none), *ngram_rows(batch["text"], spec, keep.value)]
+        rows, cols, counts = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        yield pa.RecordBatch.from_arrays(
+            [batch["doc_id"], batch["grade"], _lists(rows, cols, batch.num_rows), _lists(rows, counts, batch.num_rows)], names=["doc_id", "grade", "cols", "vals"]
+        )
+
+
+def toxicity_model(sample: DataFrame, spec: NgramSpec = NgramSpec()) -> ToxicityModel:
+    """Fitted on sample(doc_id, text, grade). Tasks read the texts; the driver gets the counts of
+    at most 2 ** bits features, then the telling features of each text."""
+    counts = sample.mapInArrow(partial(_text_counts, spec=spec), "feature int, p long, q long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toArrow()
+    p, q = (np.bincount(counts["feature"].to_numpy(), weights=counts[c].to_numpy(), minlength=1 << spec.bits) for c in "pq")
+    ratio = log_count_ratio(p, q)
+    keep = sample.sparkSession.sparkContext.broadcast(ratio != 0.0)
+    seen = _gathered(sample.mapInArrow(partial(_text_ngrams, spec=spec, keep=keep), "doc_id long, grade int, cols array<int>, vals array<int>"))
+    keep.destroy()
+    return fit_toxicity(seen, ratio, spec)
+
+
 def _scored(batches: Iterator[pa.RecordBatch], score: Callable, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = score(batch["text"])
@@ -215,17 +271,17 @@ def _shared(spark: SparkSession, model):
 def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE_ROWS, key: str | None = None) -> DataFrame:
     """Score every whole text for toxicity.
 
-    The classifier is fitted on a bounded sample (``sample`` labelled rows, whose id's crc32
-    modulo 4 is not 2); labels, lang, source and doc_id are no inputs of a score. Result:
+    The classifier is fitted on a bounded sample (``sample`` labelled rows at most, whose id's crc32
+    modulo 4 is not 2, with their whole texts); labels, lang, source and doc_id are no inputs of a score. Result:
     doc_id, held_out (that remainder is 2), score (0 to 1), predicted (1 if score >= threshold);
     first of all ``key``, if named: a long column that tells the rows of ``documents`` apart.
 
-    Null or empty texts get the score of a text without features. Repeated rows give equal
-    rows; a null doc_id counts as not held out. Extra columns are ignored, an empty table
+    Null or empty texts get the score of a text without features; long ones are scored whole. Repeated rows give equal
+    rows; a null doc_id counts as not held out and is never learnt from. A score equal to the threshold is toxic. Extra columns are ignored, an empty table
     gives an empty result, and without labels the score is constant.
     """
-    got = labelled_sample(documents, labels, F.col("toxic"), fold("doc_id", 4) != 2, sample)
-    model = _shared(documents.sparkSession, fit_toxicity(got["text"], got["grade"].to_numpy()))
+    ws = Workspace(documents.sparkSession, "toxicity-fit")
+    model = _shared(documents.sparkSession, toxicity_model(labelled_sample(ws, documents, labels, F.col("toxic"), fold("doc_id", 4) != 2, sample)))
 
     def score(texts: pa.Array):
         s = model.value.score(texts)
@@ -316,14 +372,13 @@ class QualityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(z[:, None] - self.cuts[None, :], -40, 40)))
 
 
-def fit_quality(texts: pa.Array, grades: np.ndarray, n_grades: int, spec: QualitySpec = QualitySpec(), steps: int = 300, ridge: float = 1e-4) -> QualityModel:
+def fit_quality(seen: Features, n_grades: int, spec: QualitySpec = QualitySpec(), steps: int = 300, ridge: float = 1e-4) -> QualityModel:
     """Maximum likelihood of the cumulative-link model by Adam; cuts are kept in order by
     fitting their logarithmic gaps. Each grade present weighs the same in total."""
-    grades = np.asarray(grades, dtype=np.int64)
+    grades, rows, cols, vals = seen.grades, seen.rows, seen.cols, seen.values
     width, k = 1 << spec.bits, n_grades - 1
     if not len(grades):
         return QualityModel(spec, np.zeros(width), np.linspace(-1, 1, k) if k > 1 else np.zeros(k))
-    rows, cols, vals = quality_features(texts, spec)
     count = np.bincount(grades, minlength=n_grades)
     weigh = 1.0 / (count[grades] * (count > 0).sum())
     free = np.zeros(width + k)
@@ -353,6 +408,20 @@ def fit_quality(texts: pa.Array, grades: np.ndarray, n_grades: int, spec: Qualit
     return QualityModel(spec, free[:width].copy(), cuts)
 
 
+def _text_features(batches: Iterator[pa.RecordBatch], spec: QualitySpec) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, cols, vals = quality_features(batch["text"], spec)
+        order = np.argsort(rows, kind="stable")
+        lists = (_lists(rows[order], x[order], batch.num_rows) for x in (cols.astype(np.int32), vals))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["grade"], *lists], names=["doc_id", "grade", "cols", "vals"])
+
+
+def quality_model(sample: DataFrame, n_grades: int, spec: QualitySpec = QualitySpec()) -> QualityModel:
+    """Fitted on sample(doc_id, text, grade). Tasks read the texts; the driver gets the features of each."""
+    seen = sample.mapInArrow(partial(_text_features, spec=spec), "doc_id long, grade int, cols array<int>, vals array<double>")
+    return fit_quality(_gathered(seen), n_grades, spec)
+
+
 def quality(documents: DataFrame, labels: DataFrame, grade: F.Column | None = None, n_grades: int = 3,
             threshold: float = 0.5, sample: int = SAMPLE_ROWS, key: str | None = None) -> DataFrame:
     """Grade every whole text by ordinal regression on hashed text features.
@@ -371,8 +440,8 @@ def quality(documents: DataFrame, labels: DataFrame, grade: F.Column | None = No
     if grade is None:
         grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
     grade = F.when(grade.between(0, n_grades - 1), grade)
-    got = labelled_sample(documents, labels, grade, fold("doc_id", 4) != 2, sample)
-    model = _shared(documents.sparkSession, fit_quality(got["text"], got["grade"].to_numpy(), n_grades))
+    ws = Workspace(documents.sparkSession, "quality-fit")
+    model = _shared(documents.sparkSession, quality_model(labelled_sample(ws, documents, labels, grade, fold("doc_id", 4) != 2, sample), n_grades))
 
     def score(texts: pa.Array):
         tails = model.value.tails(texts)

@@ -78,6 +78,29 @@ def test_near_dedup_against_brute_force(spark, k):
     assert near_dedup.near_dedup(docs(spark).limit(0)).count() == 0
 
 
+def test_near_dedup_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(21)
+    one, two, three = (words(rng, 40, 5000) for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (6, near(one)), (7, near(two)), (7, near(two)), (8, " ".join(three)), (None, " ".join(three)), (9, near(three))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("set_key", F.lit("x")).withColumn("first", F.lit(1)).withColumn("items", F.lit(1))
+    got = near_dedup.near_dedup(frame, shingle=2).select("doc_id", "component_id", "kept").collect()
+    want = [(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (7, 5, False), (8, 8, True), (None, None, False), (9, 8, False)]
+    assert Counter(tuple(r) for r in got) == Counter(want)
+
+
+def test_near_dedup_recall_at_the_threshold(spark):
+    texts = []
+    for i in range(300):  # 102 words in either text, 101 pairs of which both have 90, or 89: a similarity of 90 / 112 or 89 / 113
+        a = [f"a{i}x{j}" for j in range(102)]
+        b = [*a[: 91 - (i % 3 == 0)], *[f"b{i}x{j}" for j in range(11 + (i % 3 == 0))]]
+        texts += [" ".join(a), " ".join(b)]
+    comp = [i if i % 6 < 2 else i - i % 2 for i in range(600)]
+    got = by_id(near_dedup.near_dedup(docs(spark, *texts), shingle=2))
+    wrong = [i for i in range(600) if got[i]["component_id"] != comp[i]]
+    assert len(wrong) <= 2 and not any(i % 6 < 2 for i in wrong)
+
+
 def test_sketch_merges_and_estimates():
     spec, rng = setsketch.SketchSpec(bands=64), np.random.default_rng(3)
     x = rng.integers(0, 2**63, 3000).astype(np.uint64)
@@ -235,6 +258,19 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(frame.limit(0)).count() == 0
 
 
+def test_mixing_meets_all_three_targets(spark):
+    rng = random.Random(3)
+    tails = ["", " a | b", " see http://x.y", " licence"]
+    rows = [(i, " ".join(words(rng, rng.randrange(5, 40))) + rng.choice(tails), rng.choice(["en", "en", "de"]), rng.choice(["a", "a", "b"]), 0) for i in range(400)]
+    targets = {"source": {"a": 0.3, "b": 0.6}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"general": 4, "tabular": 2, "contact": 1, "legal": 1}}
+    frame = spark.createDataFrame(rows, DOCS)
+    frame = frame.select("doc_id", *mixing.described(frame))
+    got = mixing.residuals(frame, mixing.mixture(Workspace(spark, "t"), frame, targets=targets), targets).collect()
+    assert {(r["marginal"], r["category"]): round(r["target"], 4) for r in got} == {
+        (d, c): round(v / sum(targets[d].values()), 4) for d in targets for c, v in targets[d].items()}
+    assert max(abs(r["target"] - r["reached"]) for r in got) < 1e-3
+
+
 def test_html_extraction(spark):
     page = ("<html><head><title>T</title></head><body><nav><a href=/x>Home</a></nav><div class='cookie-notice'>We use cookies</div>"
             "<article><h1>Head &amp; line</h1><p>First <b>bold</b>\n text that goes on.<br>More words here, at length.<p>Second paragraph, unclosed &lt;tag&gt;.</article>"
@@ -253,6 +289,43 @@ def test_html_head_without_end_tag(spark):
     assert "Second paragraph" in got[2]["text"] and got[1]["text"] == got[2]["text"]
 
 
+def test_html_quotes_and_embedded_text():
+    def texts(page):
+        return [b.text for b in html_extract.blocks(page)]
+
+    assert texts("<p title=it's>Hello world, don't go</p><p>Next</p>") == ["Hello world, don't go", "Next"]
+    assert texts("<p title = 'a > b' data-x=\"c > d\" y=>One</p><p 'z>Two</p><p a=b\"c>Three") == ["One", "Two", "Three"]
+    assert texts("<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p><noscript><p>Shown</p></noscript>") == ["If x=2 then", "Shown"]
+    assert texts("<p>a<object>b</object><svg><text>c</text></svg></p><template><p>d</p></template>") == ["abc", "d"]
+    assert texts("<p>x<select><option>no</option></select><textarea>no</textarea><script>'<p>'</script><style>p{}</style>y</p>") == ["xy"]
+
+
+def test_html_small_cases(spark):
+    long = "<article>" + "".join(f"<p>Paragraph {i} of many that all belong to the text, with some more words.</p>" for i in range(3000)) + "</article>"
+    rows = [(1, "u", long), (1, "u", long), (None, None, "<article><p>Some words of a text that goes on for a while.</p></article>"), (2, "u", "<p title='open")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x")).withColumn("n_chars", F.lit(1))
+    got = html_extract.extract(frame).collect()
+    assert len(got) == 4 and got[0] == got[1] and got[0]["text"].count("\n") == 2999
+    assert got[2]["page_id"] is None and got[2]["text"].startswith("Some words") and got[3]["text"] == ""
+    assert html_extract.extract(frame.limit(0)).count() == 0
+
+
+def test_chain_equals_brute_force():
+    from itertools import product
+
+    rng = random.Random(3)
+    pages = [([[rng.choice("abc"), rng.choice("de")] for _ in range(n)], [rng.randrange(2) for _ in range(n)]) for n in (1, 2, 4, 5)]
+    model = html_extract.fit_chain(pages, steps=60)
+
+    def score(feats, labels):
+        own = sum(model.weights[x] for f, y in zip(feats, labels, strict=True) for x in f if y)
+        return own + sum(model.pair[2 * a + b] for a, b in zip(labels, labels[1:], strict=False))
+
+    for feats, _ in pages:
+        best = max(product((0, 1), repeat=len(feats)), key=lambda y: score(feats, y))
+        assert abs(score(feats, model.decode(feats)) - score(feats, best)) < 1e-9
+
+
 def test_html_held_out_accuracy():
     rng, model, right, total = random.Random(77), html_extract.trained(), 0, 0
     for _ in range(150):
@@ -314,6 +387,83 @@ def test_toxicity_and_quality_held_out(spark):
     assert sum(qual[i]["selected"] == (labels[i][1] == 1) for i in held) / len(held) > 0.95
     assert tox[500]["score"] == tox[501]["score"] and all(0 <= r["score"] <= 1 for r in tox.values())
     assert len(by_id(classifiers.toxicity(frame, marks.limit(0)))) == 502
+    none = marks.limit(0)
+    assert len(by_id(classifiers.quality(frame, none))) == 502
+    assert classifiers.toxicity(frame.limit(0), marks).count() == classifiers.quality(frame.limit(0), marks).count() == 0
+
+
+def test_the_sample_is_bounded_by_rows_and_texts_stay_whole(spark):
+    ws = Workspace(spark, "t")
+    frame = docs(spark, *[f"w{i}" for i in range(40)], "long " * 30_000)
+    frame = frame.unionByName(frame.where("doc_id = 3").withColumn("text", F.lit("another"))).unionByName(frame.limit(5)).unionByName(docs(spark, None, start=50))
+    marks = spark.createDataFrame([*[(i, 1, int(i % 4 == 0)) for i in range(41)], (3, 1, 1), (999, 1, 1), (None, 1, 1), (50, 1, None)], "doc_id long, quality int, toxic int")
+    got = classifiers.labelled_sample(ws, frame, marks, F.col("toxic"), None, 1000).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(41))  # one text a labelled document, whatever its length
+    one = {r["doc_id"]: r for r in got}
+    assert (one[3]["text"], one[3]["grade"]) == ("another", 1) and len(one[40]["text"]) == 150_000
+    assert Counter(r["grade"] for r in classifiers.labelled_sample(ws, frame, marks, F.col("toxic"), None, 10).collect()) == {0: 5, 1: 5}
+
+
+def test_toxicity_fit_against_brute_force(spark):
+    rng = random.Random(14)
+    texts = [" ".join([*words(rng, 8, 30), *(["bad" + rng.choice("aeiou")] if i % 3 == 0 else [])]) for i in range(90)]
+    frame = docs(spark, *texts).select("doc_id", "text", (F.col("doc_id") % 3 == 0).cast("int").alias("grade"))
+    spec = classifiers.NgramSpec(bits=12)
+    model = classifiers.toxicity_model(frame, spec)
+    held = []  # by text: how many of its distinct words' places hold each feature
+    for t in texts:
+        data = np.frombuffer(t.encode(), dtype=np.uint8)
+        starts, ends, _ = classifiers.word_spans(data, np.array([0, len(data)]))
+        spans = {bytes(data[a:b]): (a, b) for a, b in zip(starts, ends, strict=True)}
+        at = np.array(list(spans.values()))
+        held.append(Counter(classifiers.word_ngrams(data, at[:, 0], at[:, 1], spec)[1].tolist()))
+    x = np.array([[h.get(f, 0) for f in range(1 << spec.bits)] for h in held], dtype=float)
+    toxic = np.arange(90) % 3 == 0
+    p, q = ((x[rows] > 0).sum(axis=0) + 1.0 for rows in (toxic, ~toxic))
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    ratio[(p + q - 2 < classifiers.LEAST_TEXTS) | (abs(ratio) < classifiers.LEAST_RATIO)] = 0
+    assert np.flatnonzero(model.weights).tolist() == np.flatnonzero(ratio).tolist()
+    assert np.allclose(model.score(pa.array(texts)), 1 / (1 + np.exp(-(x @ model.weights + model.bias))), atol=1e-6)
+    # The gradient of the objective vanishes: the fit is its minimum.
+    z, weigh = x * ratio, np.where(toxic, 1.5, 0.75) / 90
+    w = np.where(ratio != 0, model.weights / np.where(ratio == 0, 1, ratio), 0)
+    miss = (1 / (1 + np.exp(-(z @ w + model.bias))) - toxic) * weigh
+    assert np.abs(z.T @ miss + 1e-2 * w).max() < 0.01 and abs(miss.sum()) < 0.01
+
+
+def test_quality_fit_against_brute_force(spark):
+    rng = random.Random(15)
+    texts = [" ".join(w.upper() if rng.random() < (i % 3) / 2 else w for w in words(rng, 30)) for i in range(90)]
+    spec = classifiers.QualitySpec(bits=8)
+    frame = docs(spark, *texts).select("doc_id", "text", (2 - F.col("doc_id") % 3).cast("int").alias("grade"))
+    model = classifiers.quality_model(frame, 3, spec)
+    r, c, v = classifiers.quality_features(pa.array(texts), spec)
+    x = np.zeros((90, 1 << spec.bits))
+    np.add.at(x, (r, c), v)
+    grades = 2 - np.arange(90) % 3
+
+    def loss(weights, cuts):
+        tail = 1 / (1 + np.exp(-(x @ weights)[:, None] + cuts))
+        bound = np.column_stack([np.ones(90), tail, np.zeros(90)])
+        i = np.arange(90)
+        return -np.log(np.maximum(bound[i, grades] - bound[i, grades + 1], 1e-12)).mean()
+
+    assert (np.diff(model.cuts) > 0).all()
+    assert np.allclose(model.tails(pa.array(texts)), 1 / (1 + np.exp(-(x @ model.weights)[:, None] + model.cuts)))
+    best = loss(model.weights, model.cuts)
+    assert best < 0.5 * loss(model.weights * 0, np.log([0.5, 2.0]))
+    rs = np.random.default_rng(1)
+    for _ in range(20):  # no step aside is much better
+        assert loss(model.weights + rs.normal(size=256) * 0.02, model.cuts + rs.normal(size=2) * 0.02) > best - 0.01
+
+
+def test_context_tree_never_rules_a_byte_out():
+    key = np.array([0x6161], dtype=np.uint64)
+    tree = ctw.ContextTree.fit(key, np.array([1 << 50]), 1)
+    every = np.array([0x6100 | b for b in range(256)] + [0x6200 | b for b in range(256)], dtype=np.uint64)
+    value = tree.evaluate(every)
+    assert np.isfinite(value).all() and (value <= 0).all()
+    assert value[0x61] > -1e-6 and -60 < value[0x60] < -45  # about 2 ** -51 for the other bit
 
 
 def test_context_tree_is_a_distribution_and_matches_brute_force():
@@ -352,7 +502,7 @@ def test_lm_scores_base(spark, monkeypatch):
         assert got[i]["score"] < 0
 
 
-@pytest.mark.parametrize(("depth", "heavy"), [(4, 300), (4, 1 << 22), (1, 300), (2, 1)])
+@pytest.mark.parametrize(("depth", "heavy"), [(5, 300), (4, 1 << 22), (1, 300), (2, 1)])
 def test_lm_scores_equal_a_whole_tree(spark, monkeypatch, depth, heavy):
     monkeypatch.setattr(ctw, "HEAVY_GRAMS", heavy)  # the rest of the grams take the join
     monkeypatch.setattr(ctw, "BUCKET_GRAMS", 5)
