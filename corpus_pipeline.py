@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet before the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet before the next.
+
+Every stage but the last returns the columns of its input, whatever they are named, and
+decides each row by its own text: rows with a null doc_id or a repeated one are decided like
+all others. Null texts count as empty, long texts are read whole, and an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -22,13 +27,15 @@ def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier predicts toxic go."""
+    """Documents that the toxicity classifier predicts toxic go (a score equal to the threshold is toxic).
+    Empty texts get the score of a text without features; equal rows stay or go together."""
     rows = Workspace(spark, "toxicity").numbered(docs, "rows")
     return _without(rows, toxicity(rows, _table(spark, sf_dir, "labels"), key=ROW).where("predicted = 1"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not select go."""
+    """Documents that the quality classifier does not select go (a probability equal to the
+    threshold is selected). Empty texts are graded by their size alone; equal rows stay or go together."""
     rows = Workspace(spark, "quality").numbered(docs, "rows")
     return _without(rows, quality(rows, _table(spark, sf_dir, "labels"), key=ROW).where("not selected"))
 
@@ -47,12 +54,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Documents that hold a test item go, items with a null or repeated item_id included; empty texts hold none."""
     return decontaminate(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled to the raked weights; ``copies`` says how often one is in the mix."""
+    """Documents are sampled to the raked weights; ``copies`` says how often one is in the mix (a
+    column of that name is replaced). Null source or lang form a category of their own; texts without
+    tokens are not drawn; rows of one doc_id, and those without any, draw the same number."""
     return mix_rows(docs)
 
 
