@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import os
+import shutil
+import subprocess
 import sys
+from collections.abc import Iterable
+from itertools import chain
+from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +21,8 @@ from rowloom.operators import joins as J
 from rowloom.operators import order as O
 from rowloom.operators import reshape as R
 from rowloom.sources.formats import field_list, resolve_format
-from rowloom.sources.readers import git_log, grid, list_dir, list_tar, read, read_one, svn_log
+from rowloom.sources.listings import git_log, list_dir, list_tar, svn_log
+from rowloom.sources.readers import numbered_grid, positional, read, read_one
 from rowloom.sources.writers import lines, to_pnm, to_pp, to_yaml, write
 
 
@@ -29,7 +36,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-N", "--numeric", action="store_true", help="files have no header")
         for flags, more in args:
             p.add_argument(*flags, **more)
-        p.add_argument("files", nargs="+" if name != "git" else "*")
+        p.add_argument("--no-pager", action="store_true")
+        p.add_argument("files", nargs="*")
 
     flag, one = {"action": "store_true"}, {}
     for kind in ("csv", "tsv", "ltsv", "json", "ndjson", "yaml", "pp", "pnm"):
@@ -52,17 +60,28 @@ def parser() -> argparse.ArgumentParser:
     verb("shape", "rows and fields of files")
     verb("mheader", "merge header rows", (["-c", "--count"], {"type": int}))
     verb("crop", "cut an area", (["-r", "--range"], one))
-    verb("ls", "a directory", (["-R", "--recursive"], flag), (["-a", "--all"], flag))
-    verb("tar", "archives", (["--hash"], one))
-    verb("git", "commits")
-    verb("svn", "an XML log")
+    verb("ls", "files and directories", (["-l"], {"action": "count", "default": 0}), (["-R", "--recursive"], flag), (["-a", "--all"], flag), (["-A", "--almost-all"], flag))
+    verb("tar", "archives", (["-l", "--long"], flag), (["--hash"], {"action": "append", "default": []}))
+    verb("git", "commits", (["--git-command"], {"default": "git"}))
+    verb("svn", "an XML log, or that of a working copy", (["--svn-command"], one))
+    p = verbs.add_parser("help", help="the verbs, or one of them")
+    p.add_argument("-s", "--summary", action="store_true")
+    p.add_argument("about", nargs="?")
     return top
 
 
-def _of_grid(g: DataFrame) -> TableFrame:
-    width = g.agg(F.max(F.size("cells")).alias("n")).first()["n"] or 0
-    names = [str(i + 1) for i in range(width)]
-    return TableFrame(g.select(F.col("row").alias("__pos"), *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]), tuple(names))
+def help_text(about: str | None = None, summary: bool = False) -> str:
+    """How to use a verb; all verbs with a line each where none is named."""
+    top = parser()
+    verbs = next(a for a in top._actions if isinstance(a, argparse._SubParsersAction))
+    if about is None:
+        listed = "".join(f"  {c.dest:<12} {c.help}\n" for c in verbs._choices_actions)
+        return listed if summary else top.format_usage() + "\n" + listed
+    if about not in verbs.choices:
+        raise ValueError(f"unknown verb: {about}")
+    if summary:
+        return f"{about}: {next(c.help for c in verbs._choices_actions if c.dest == about)}\n"
+    return verbs.choices[about].format_help()
 
 
 def _specs(texts: list[str]) -> list[tuple[str, str]]:
@@ -75,24 +94,28 @@ def table(spark: SparkSession, a: argparse.Namespace) -> TableFrame:
     """The result of the parsed command."""
     v = a.verb
     if v == "ls":
-        return list_dir(spark, a.files[0], a.recursive, a.all)
-    if v in ("tar", "svn"):
-        return TableFrame.of(list_tar(spark, a.files[0], a.hash) if v == "tar" else svn_log(spark, a.files[0]))
+        return list_dir(spark, *a.files, level=a.l, recursive=a.recursive, hidden="all" if a.all else "almost" if a.almost_all else "")
+    if v == "tar":
+        return C.cat([list_tar(spark, f, a.long, a.hash) for f in a.files]) if len(a.files) > 1 else list_tar(spark, a.files[0], a.long, a.hash)
+    if v == "svn":
+        return svn_log(spark, a.files[0], a.svn_command)
     if v == "git":
-        return git_log(spark, a.files[0] if a.files else ".")
+        return git_log(spark, *a.files, command=a.git_command)
     if v in ("crop", "mheader"):
-        kind, path = resolve_format(a.files[0])
-        g = grid(spark, path, "tsv" if kind == "tsv" else "csv")
+        grids = [numbered_grid(spark, path, "tsv" if kind == "tsv" else "csv") for kind, path in map(resolve_format, a.files)]
+        g = grids[0]
+        for more in grids[1:]:
+            g = g.unionByName(more.withColumn("row", F.col("row") + F.lit(g.count())))
         if v == "crop":
-            return _of_grid(O.crop(g, a.range))
+            return positional(O.crop(g, a.range))
         names, rest = R.mheader(g, a.count)
-        return C.rename(t := _of_grid(rest), list(zip(t.fields, names, strict=False)))
+        return C.rename(t := positional(rest), list(zip(t.fields, names, strict=False)))
     if v == "join":
         return J.join([read_one(spark, f, a.numeric) for f in a.files], a.left or a.outer, a.right or a.outer, a.outer_missing)
     if v == "shape":
         return TableFrame.of(R.shape([(f, read_one(spark, f, a.numeric)) for f in a.files]))
     if v == "search" and a.regexp is None and a.expr is None:
-        a.regexp, a.files = a.files[0], a.files[1:]
+        a.regexp, a.files = a.files[0], a.files[1:] or ["-"]
     t = read(spark, *a.files, numeric=a.numeric, with_filename=getattr(a, "with_filename", False))
     names = lambda x: field_list(x) if x else None
     match v:
@@ -129,8 +152,44 @@ def table(spark: SparkSession, a: argparse.Namespace) -> TableFrame:
     return t
 
 
+def show(text: Iterable[str], out: TextIO | None = None) -> None:
+    """Text to standard output; on a terminal, what goes beyond a screen to ``$PAGER``."""
+    out = out or sys.stdout
+    if not out.isatty():
+        out.writelines(text)
+        return
+    size = shutil.get_terminal_size()
+    text, held, rows = iter(text), [], 0
+    for part in text:
+        held.append(part)
+        rows += sum(max(1, -(-len(line.expandtabs()) // size.columns)) for line in part.splitlines())
+        if rows > size.lines - 1:
+            with subprocess.Popen(os.environ.get("PAGER") or "more", shell=True, stdin=subprocess.PIPE, text=True) as pager:
+                try:
+                    pager.stdin.writelines(chain(held, text))
+                    pager.stdin.close()
+                except BrokenPipeError:  # the reader has seen enough
+                    pass
+            return
+    out.writelines(held)
+
+
+def parsed(argv: list[str] | None = None) -> argparse.Namespace:
+    """The command; files may stand before and after options, and none means standard input."""
+    top = parser()
+    a, more = top.parse_known_args(argv)
+    if wrong := [x for x in more if x.startswith("-") and x != "-"]:
+        top.error(f"unknown options: {' '.join(wrong)}")
+    if a.verb != "help":
+        a.files = [*a.files, *more] or (["."] if a.verb in ("git", "ls", "svn") else ["-"])
+    return a
+
+
 def main(argv: list[str] | None = None) -> int:
-    a = parser().parse_args(argv)
+    a = parsed(argv)
+    if a.verb == "help":
+        print(help_text(a.about, a.summary), end="")
+        return 0
     spark = SparkSession.builder.appName("rowloom").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     result = table(spark, a)
     kind = a.verb[3:] if a.verb.startswith("to-") else None
@@ -146,10 +205,12 @@ def main(argv: list[str] | None = None) -> int:
         else:
             sys.stdout.buffer.write(image)
         return 0
-    text = to_yaml(result) if kind == "yaml" else to_pp(result) if kind == "pp" else lines(result, kind or ("ncsv" if headless else "csv"))
+    text = to_yaml(result) if kind == "yaml" else to_pp(result) if kind == "pp" else lines(result, "pretty" if kind == "json" else kind or ("ncsv" if headless else "csv"), pad=kind in ("csv", "tsv"))
     if a.output:
         with open(a.output, "w", encoding="utf-8", newline="") as out:
             out.writelines(text)
-    else:
+    elif a.no_pager:
         sys.stdout.writelines(text)
+    else:
+        show(text)
     return 0

@@ -9,8 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowloom.frame import POS, TableFrame, field
+from rowloom.frame import ABSENT, POS, TableFrame, field
 from rowloom.functions.patterns import jvm_pattern, jvm_replacement
+from rowloom.operators.rows import ROW, numbered
 
 
 def cut(table: TableFrame, fields: Sequence[str], invert: bool = False) -> TableFrame:
@@ -20,7 +21,11 @@ def cut(table: TableFrame, fields: Sequence[str], invert: bool = False) -> Table
     else:
         kept = list(dict.fromkeys(fields))
     cols = [field(f) if f in table.fields else F.lit(None).cast("string").alias(f) for f in kept]
-    return table.having(table.df.select(POS, *cols), kept)
+    hidden = table.hidden()
+    if table.ragged:
+        unknown = F.array(*[F.lit(f) for f in kept if f not in table.fields]).cast("array<string>")
+        hidden[1] = F.concat(F.array_intersect(ABSENT, F.array(*[F.lit(f) for f in kept]).cast("array<string>")), unknown).alias(ABSENT)
+    return table.having(table.df.select(*hidden, *cols), kept)
 
 
 def rename(table: TableFrame, pairs: Sequence[tuple[str, str]]) -> TableFrame:
@@ -30,7 +35,11 @@ def rename(table: TableFrame, pairs: Sequence[tuple[str, str]]) -> TableFrame:
         raise ValueError(f"unknown fields: {', '.join(missing)}")
     last = {names.get(f, f): f for f in table.fields}
     order = list(dict.fromkeys(names.get(f, f) for f in table.fields))
-    return table.having(table.df.select(POS, *[field(last[n]).alias(n) for n in order]), order)
+    hidden = table.hidden()
+    if table.ragged:
+        lost = F.array(*[F.struct(F.lit(last[n]).alias("old"), F.lit(n).alias("new")) for n in order])
+        hidden[1] = F.transform(F.filter(lost, lambda x: F.array_contains(ABSENT, x["old"])), lambda x: x["new"]).alias(ABSENT)
+    return table.having(table.df.select(*hidden, *[field(last[n]).alias(n) for n in order]), order)
 
 
 def newfield(table: TableFrame, name: str, value=None, expr: str | Column | Callable | None = None) -> TableFrame:
@@ -39,7 +48,7 @@ def newfield(table: TableFrame, name: str, value=None, expr: str | Column | Call
     if name in table.fields:
         new = field(name)
     rest = [f for f in table.fields if f != name]
-    return table.having(table.df.select(POS, new.alias(name), *[field(f) for f in rest]), [name, *rest])
+    return table.having(table.df.select(*table.hidden(), new.alias(name), *[field(f) for f in rest]), [name, *rest])
 
 
 def _text(table: TableFrame, name: str) -> Column:
@@ -59,26 +68,33 @@ def search(table: TableFrame, regex: str | None = None, name: str | None = None,
 
 
 def gsub(table: TableFrame, regex: str, replacement: str, name: str | None = None) -> TableFrame:
-    """Replace matches in every cell, or in one field; null becomes ''."""
+    """Replace matches in every cell, or in one field; null becomes '', what a row lacks it goes on lacking."""
     def new(f: str) -> Column:
         if name is not None and f != name:
             return field(f)
-        return F.regexp_replace(F.coalesce(_text(table, f), F.lit("")), F.lit(jvm_pattern(regex)), F.lit(jvm_replacement(replacement))).alias(f)
+        out = F.regexp_replace(F.coalesce(_text(table, f), F.lit("")), F.lit(jvm_pattern(regex)), F.lit(jvm_replacement(replacement)))
+        return (F.when(table.present(f), out) if table.ragged else out).alias(f)
 
-    return table.having(table.df.select(POS, *[new(f) for f in table.fields]))
+    return table.having(table.df.select(*table.hidden(), *[new(f) for f in table.fields]))
 
 
 def cat(tables: Sequence[TableFrame], names: Sequence[str] | None = None) -> TableFrame:
     """Rows of all tables one after the other; fields are united in the order they appear.
-    With ``names``, a first column ``filename``. Columns of different types become text."""
+    With ``names``, a first column ``filename``. Columns of different types become text. Tables
+    whose ordinals have different types are numbered first."""
     fields = list(dict.fromkeys(f for t in tables for f in t.fields))
     types: dict[str, T.DataType] = {}
     for t in tables:
         for f in t.fields:
             types[f] = T.StringType() if f in types and types[f] != t.dtype(f) else t.dtype(f)
     parts = []
+    kinds = {t.df.schema[POS].dataType.json() for t in tables}
+    if len(kinds) > 1:  # such as of a list in memory and a file
+        tables = [t.having(numbered(t).drop(POS).withColumnRenamed(ROW, POS)) for t in tables]
     for i, t in enumerate(tables):
         cols = [field(f).cast(types[f]).alias(f) if f in t.fields else F.lit(None).cast(types[f]).alias(f) for f in fields]
         head = [F.lit(names[i]).alias("filename")] if names else []
-        parts.append(t.df.select(F.struct(F.lit(i).alias("t"), F.col(POS).alias("p")).alias(POS), *head, *cols))
+        lacking = F.array(*[F.lit(f) for f in fields if f not in t.fields]).cast("array<string>")
+        lacking = [(F.concat(ABSENT, lacking) if t.ragged else lacking).alias(ABSENT)] if any(u.ragged for u in tables) else []
+        parts.append(t.df.select(F.struct(F.lit(i).alias("t"), F.col(POS).alias("p")).alias(POS), *lacking, *head, *cols))
     return TableFrame(reduce(lambda a, b: a.unionByName(b), parts), ("filename", *fields) if names else tuple(fields))

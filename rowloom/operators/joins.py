@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.frame import POS, TableFrame, field
+from rowloom.functions.aggregates import in_order
+from rowloom.functions.natural import natural_key
 
 
 def natjoin(a: TableFrame, b: TableFrame, left: bool = False, right: bool = False, missing=None) -> TableFrame:
@@ -46,3 +49,34 @@ def join(tables: Sequence[TableFrame], left: bool = False, right: bool = False,
     if missing is not None and not (left or right):
         left = right = True
     return reduce(lambda p, q: natjoin(p, q, left, right, missing), tables)
+
+
+def natjoin_outer(a: TableFrame, b: TableFrame, left: bool = True, right: bool = True, missing=None) -> TableFrame:
+    """A natural join that keeps the rows of both sides unless told otherwise."""
+    return natjoin(a, b, left, right, missing)
+
+
+def merge_sorted(tables: Sequence[TableFrame], *keys: str) -> DataFrame:
+    """One row for each combination of keys that any table has, in natural order of the keys:
+    the keys, and rows1, rows2, ..., each table's rows with them, in order, as an array (empty for none).
+
+    Keys are equal as they are, null to null. Tables are grouped apart and meet in a full join; the rows of
+    a combination are gathered.
+    """
+    out = None
+    for i, t in enumerate(tables):
+        others = [field(f) for f in t.fields if f not in keys]
+        rest = F.struct(*others) if others else F.struct(F.lit(True).alias("found"))
+        part = t.df.groupBy(*[field(k).alias(f"k{j}") for j, k in enumerate(keys)]).agg(in_order(rest).alias(f"rows{i + 1}"))
+        if out is None:
+            out = part
+            continue
+        part = part.select(*[F.col(f"k{j}").alias(f"o{j}") for j in range(len(keys))], f"rows{i + 1}")
+        on = reduce(lambda p, q: p & q, [F.col(f"k{j}").eqNullSafe(F.col(f"o{j}")) for j in range(len(keys))])
+        mine = F.col("rows1").isNotNull() if i == 1 else reduce(lambda p, q: p | q, [F.col(f"rows{n + 1}").isNotNull() for n in range(i)])
+        both = out.join(part, on, "full")
+        out = both.select(*[F.when(mine, F.col(f"k{j}")).otherwise(F.col(f"o{j}")).alias(f"k{j}") for j in range(len(keys))], *[f"rows{n + 1}" for n in range(i + 1)])
+    filled = [F.coalesce(f"rows{n + 1}", F.array()).alias(f"rows{n + 1}") for n in range(len(tables))]
+    types = [tables[0].dtype(k) for k in keys]
+    order = [natural_key(F.col(f"k{j}"), t).asc_nulls_first() for j, t in enumerate(types)]
+    return out.orderBy(*order).select(*[F.col(f"k{j}").alias(k) for j, k in enumerate(keys)], *filled)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rowloom.frame import POS, TableFrame, field
 from rowloom.functions.natural import natural_key
+from rowloom.operators.groups import group
 from rowloom.operators.rows import ROW, islands, numbered, with_following
 
 
@@ -23,6 +24,12 @@ def sort(table: TableFrame, fields: Sequence[str] | None = None, reverse: bool =
     return table.df.orderBy(*sort_keys(table, fields, reverse), POS).select(*[field(f) for f in table.fields])
 
 
+def sort_unique(table: TableFrame, fields: Sequence[str], aggs: Sequence[str | tuple[str, str]] = ()) -> DataFrame:
+    """Rows in natural order of the fields, those with equal ones merged by aggregates
+    (user aggregates included); merging is partial before the exchange."""
+    return group(table, fields, aggs).ordered()
+
+
 def ranked(table: TableFrame, fields: Sequence[str] | None = None) -> DataFrame:
     """The fields and ``rank``, the row's place (from 1) in natural order."""
     keys = [natural_key(field(f), table.dtype(f)) for f in (fields or table.fields)]

@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import re
-from collections.abc import Sequence
+import warnings
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.frame import POS, TableFrame, field
-from rowloom.functions.natural import natural_key
+from rowloom.frame import ABSENT, POS, WIDTH, TableFrame, field
+from rowloom.functions.natural import cell_text, natural_key
 from rowloom.operators.rows import ROW, islands, numbered
+from rowloom.sources.formats import csv_cells
 
 
 def melt(table: TableFrame, keys: Sequence[str], fields: Sequence[str] = (), regexps: Sequence[str] = (), recnum: str | None = None,
          variable: str = "variable", value: str = "value") -> TableFrame:
-    """One row for each remaining field of each row, in order, values as text and nulls kept.
+    """One row for each remaining field that a row has, in order, values as text and nulls kept.
     ``fields`` and ``regexps`` (matching whole names) choose the fields; ``recnum`` names a first column with the record's number from 1."""
     chosen = [f for f in table.fields if f not in keys]
     if fields or regexps:
         chosen = [f for f in chosen if f in fields or any(re.fullmatch(r, f) for r in regexps)]
     src = numbered(table) if recnum else table.df
-    pairs = F.array(*[F.struct(F.lit(f).alias("k"), field(f).cast("string").alias("v")) for f in chosen])
+    pairs = F.array(*[F.struct(F.lit(f).alias("k"), cell_text(field(f), table.dtype(f)).alias("v")) for f in chosen])
+    if table.ragged:
+        pairs = F.filter(pairs, lambda x: ~F.array_contains(ABSENT, x["k"]))
     kept = [field(k) if k in table.fields else F.lit(None).cast("string").alias(k) for k in keys]
     number = [(F.col(ROW) + 1).alias(recnum)] if recnum else []
     out = src.select(POS, *number, *kept, F.posexplode(pairs).alias("__i", "__kv"))
@@ -63,17 +66,18 @@ def unmelt(table: TableFrame, keys: Sequence[str] | None = None, recnum: str | N
         return (F.coalesce(got, F.lit(missing)) if missing is not None else got).alias(n)
 
     pos = F.struct(F.col("at").alias("p"), F.col("__i").alias("i")).alias(POS)
-    return TableFrame(out.select(pos, *[field(k) for k in keys], *[cell(n) for n in names]), (*keys, *names))
+    lacking = [] if missing is not None else [F.array_except(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.transform("rec", lambda x: x["k"])).alias(ABSENT)]
+    return TableFrame(out.select(pos, *lacking, *[field(k) for k in keys], *[cell(n) for n in names]), (*keys, *names))
 
 
-def _csv_cell(c: Column) -> Column:
-    text = c.cast("string")
+def csv_cell(text: Column) -> Column:
+    """A text cell as CSV: nothing for null, quotes where they are needed."""
     quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(text.isNull(), F.lit("")).when((text == "") | text.rlike('[",\\r\\n]') | text.rlike(r"\A\s|\s\z"), quoted).otherwise(text)
 
 
 def _csv_line(cells: list[Column]) -> Column:
-    return F.concat(F.array_join(F.array(*[_csv_cell(c) for c in cells]), ","), F.lit("\n"))
+    return F.concat(F.array_join(F.array(*[csv_cell(c) for c in cells]), ","), F.lit("\n"))
 
 
 def nest(table: TableFrame, new: str, olds: Sequence[str], as_csv: bool = True) -> TableFrame:
@@ -83,15 +87,15 @@ def nest(table: TableFrame, new: str, olds: Sequence[str], as_csv: bool = True)
         raise ValueError(f"unknown fields: {', '.join(missing)}")
     rest = [f for f in table.fields if f not in olds and f != new]
     runs = islands(table, F.struct(*[natural_key(field(f), table.dtype(f)).alias(f"k{i}") for i, f in enumerate(rest)], F.lit(0).alias("__any")))
-    item = _csv_line([field(f) for f in olds]) if as_csv else F.struct(*[field(f) for f in olds])
+    item = _csv_line([cell_text(field(f), table.dtype(f)) for f in olds]) if as_csv else F.struct(*[field(f) for f in olds])
     rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(ROW).alias("p"), item.alias("v")))), lambda x: x["v"])
     nested = F.concat(_csv_line([F.lit(f) for f in olds]), F.array_join(rows, "")) if as_csv else rows
     out = runs.groupBy("__island1").agg(F.min(ROW).alias(POS), *[F.min_by(field(f), F.col(ROW)).alias(f) for f in rest], nested.alias(new))
     return TableFrame(out.select(POS, *[field(f) for f in [*rest, new]]), (*rest, new))
 
 
-def _csv_rows(text: str | None) -> list[list[tuple[str, str]]]:
-    rows = [r for r in csv.reader(io.StringIO(text or ""))]
+def _csv_rows(text: str | None) -> list[list[tuple[str, str | None]]]:
+    rows = csv_cells(text or "")
     return [list(dict(zip(rows[0], r, strict=False)).items()) for r in rows[1:] if r] if rows else []
 
 
@@ -105,7 +109,7 @@ def unnest(table: TableFrame, name: str, prefix: str = "", outer: bool = False,
         items = field(name)
         pick = lambda n: F.col("__x")[n]
     else:
-        parse = F.udf(_csv_rows, "array<array<struct<k:string,v:string>>>")
+        parse = F.udf(_csv_rows, "array<array<struct<k:string,v:string>>>", useArrow=True)  # batches, not rows, go to Python
         items = F.transform(parse(field(name)), F.map_from_entries)
         if names is None:
             heads = table.df.select(POS, F.explode(items).alias("m")).select(POS, F.posexplode(F.map_keys("m")).alias("i", "n"))
@@ -121,35 +125,67 @@ def unnest(table: TableFrame, name: str, prefix: str = "", outer: bool = False,
     return TableFrame(out.select(pos, *[field(f) for f in before], *[pick(n).alias(prefix + n) for n in names], *[field(f) for f in after]), (*before, *new, *after))
 
 
-def mheader(grid: DataFrame, count: int | None = None, look: int = 50) -> tuple[list[str], DataFrame]:
+def _header_ends(rows: Iterator[list], count: int | None) -> tuple[int, list[str]] | None:
+    """After how many rows all columns have different names, and these; None if they never have.
+
+    Of each column its name so far and its last cell are kept: rows are read one at a time."""
+    names: list[list[str]] = []
+    last: list = []
+    for k, cells in enumerate(rows, 1):
+        for i, v in enumerate(cells):
+            if i == len(names):
+                names.append([])
+                last.append(...)
+            if last[i] is ... or last[i] != v:
+                last[i] = v
+                if v is not None:
+                    names[i] = [" ".join([*names[i], v])]
+        merged = ["".join(n).strip() for n in names]
+        if k == count or count is None and len(set(merged)) == len(merged):
+            return k, merged
+    return None
+
+
+def mheader(grid: DataFrame, count: int | None = None) -> tuple[list[str], DataFrame]:
     """Merge the first rows of a grid (row from 0, cells) into one header: for each column its
-    cells, repeats left out, joined by a blank. ``count`` rows, or the fewest (up to ``look``)
-    that make all names differ. Returns the names and the other rows."""
-    rows = [r["cells"] for r in grid.where(F.col("row") < (count or look)).orderBy("row").collect()]  # header rows only
-    width = max((len(r) for r in rows), default=0)
-
-    def merged(k: int) -> list[str]:
-        out = []
-        for c in range(width):
-            parts: list[str] = []
-            for r in rows[:k]:
-                x = r[c] if c < len(r) else None
-                if x is not None and (not parts or parts[-1] != x):
-                    parts.append(x)
-            out.append(" ".join(parts).strip())
-        return out
-
-    k = count or next((k for k in range(1, len(rows) + 1) if len(set(merged(k))) == width), len(rows))
-    return merged(k), grid.where(F.col("row") >= k).withColumn("row", F.col("row") - k)
+    cells, neighbouring repeats left out, joined by a blank. ``count`` rows, or the fewest that make
+    all names differ. Returns the names and the other rows; where names never differ, none, with a warning."""
+    ordered = grid.orderBy("row").select("cells")
+    at, step = None, 64
+    while at is None:  # ever more rows, from the top, until the names differ or rows end
+        seen = 0
+
+        def rows() -> Iterator[list]:
+            nonlocal seen
+            for r in ordered.limit(step).toLocalIterator():
+                seen += 1
+                yield r["cells"]
+
+        at = _header_ends(rows(), count)
+        if seen < step:
+            break
+        step *= 16
+    if at is None:
+        warnings.warn("no header rows with different names", stacklevel=2)
+        return [], grid.limit(0)
+    k, names = at
+    return names, grid.where(F.col("row") >= k).withColumn("row", F.col("row") - k)
 
 
 def shape(tables: Sequence[tuple[str, TableFrame]]) -> DataFrame:
-    """filename, records, header_fields for each table."""
-    parts = [t.df.agg(F.lit(n).alias("filename"), F.count(F.lit(1)).alias("records")).withColumn("header_fields", F.lit(len(t.fields)).cast("long")) for n, t in tables]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("filename", "records", "header_fields")
+    """For each table: filename, records, the fewest and most cells that a row has (null without
+    rows), and for tables with a header line the number of its fields, and the fewest and most
+    fields that a line has, those beyond the header included; null for all other tables."""
+    parts = []
+    for name, t in tables:
+        pairs = F.lit(len(t.fields)) - (F.size(ABSENT) if t.ragged else F.lit(0))
+        width = F.col(WIDTH) if WIDTH in t.df.columns else F.lit(None).cast("int")
+        header = F.lit(t.header_width).cast("long") if t.header_width is not None else F.lit(None).cast("long")
+        parts.append(t.df.agg(
+            F.lit(name).alias("filename"), F.count(F.lit(1)).alias("records"), F.min(pairs).cast("long").alias("min_pairs"), F.max(pairs).cast("long").alias("max_pairs"),
+            F.min(width).cast("long").alias("min_fields"), F.max(width).cast("long").alias("max_fields"),
+        ).select("filename", "records", "min_pairs", "max_pairs", header.alias("header_fields"), "min_fields", "max_fields"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def grid_shape(grid: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ import re
 # Extensions and prefixes that name a format.
 FORMATS = ("csv", "tsv", "ltsv", "json", "ndjson", "pnm", "ppm", "pgm", "pbm", "ncsv", "ntsv")
 
-_ESCAPES = {"\\": "\\\\", '"': '\\"', "\t": "\\t", "\r": "\\r", "\n": "\\n", "\a": "\\a", "\b": "\\b", "\f": "\\f", "\v": "\\v", "\x1b": "\\e", "\0": "\\0"}
-_PLAIN = {v[1]: k for k, v in _ESCAPES.items()}
+# Characters and how a quoted LTSV key or value writes them.
+LTSV_ESCAPES = {"\\": "\\\\", '"': '\\"', "\t": "\\t", "\r": "\\r", "\n": "\\n", "\a": "\\a", "\b": "\\b", "\f": "\\f", "\v": "\\v", "\x1b": "\\e", "\0": "\\0"}
+_PLAIN = {v[1]: k for k, v in LTSV_ESCAPES.items()}
 
 
 def resolve_format(name: str, numeric: bool = False) -> tuple[str, str]:
@@ -90,7 +91,7 @@ def ltsv_quote(text: str, key: bool = False) -> str:
     backslashes (colons too in keys)."""
     if not re.search(r'[\x00-\x1f\x7f"\\]' + ("|:" if key else ""), text):
         return text
-    out = "".join(_ESCAPES.get(c) or (f"\\x{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 or key and c == ":" else c) for c in text)
+    out = "".join(LTSV_ESCAPES.get(c) or (f"\\x{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 or key and c == ":" else c) for c in text)
     return f'"{out}"'
 
 

@@ -1,100 +1,183 @@
-"""Readers: every format becomes a :class:`TableFrame` whose ordinal keeps the file's row order."""
+"""Readers: every format becomes a :class:`TableFrame` whose ordinal keeps the files' row order.
+
+Lines are split by Spark's text scan and parsed by column expressions, so large files are read
+by many tasks. Python parses only CSV files in which a quoted cell runs over a line end, and images.
+"""
 
 from __future__ import annotations
 
-import hashlib
-import io
-import os
-import stat
-import subprocess
-import tarfile
+import shutil
+import sys
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from rowloom.frame import POS, TableFrame
+from rowloom.frame import ABSENT, POS, WIDTH, TableFrame
 from rowloom.operators.columns import cat
-from rowloom.sources.formats import csv_cells, json_cell, ltsv_cells, pnm_rows, resolve_format
-
-_GRID = "file string, row long, cells array<string>"
+from rowloom.operators.rows import ROW, numbered
+from rowloom.sources.formats import LTSV_ESCAPES, csv_cells, pnm_rows, resolve_format
+from rowloom.workspace import shared_folder
 
 
-def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(row, value): the lines of a file, folder or pattern, without their ends; row orders them by
+    file name and place in the file."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    return lines.select(place.alias("row"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+
+
+def _csv_cells(line: Column) -> Column:
+    """The cells of a line: null where nothing stands, '' where quotes hold nothing."""
+    quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'), 1)
+    inner = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    cell = lambda c: F.when(c == "", None).when(c.startswith('"'), inner(c)).otherwise(c)
+    plain = F.transform(F.split(line, ",", -1), lambda c: F.when(c != "", c))
+    return F.when(line == "", F.array().cast("array<string>")).when(line.contains('"'), F.transform(quoted, cell)).otherwise(plain)
+
+
 def grid(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
-    """(file, row, cells) of text files without a header: quoted cells may hold line breaks, so
-    CSV files are parsed whole, a task a file; TSV lines are split by Spark."""
+    """(row, cells) of text files without a header; row has the order of lines."""
+    lines = text_lines(spark, path)
     if kind == "tsv":
-        lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"), F.rtrim(F.col("value"), F.lit("\r")).alias("v"))
-        return lines.select("file", "row", F.split("v", "\t", -1).alias("cells"))
+        return lines.select("row", F.when(F.col("value") == "", F.array().cast("array<string>")).otherwise(F.split("value", "\t", -1)).alias("cells"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    if not lines.where(quotes % 2 == 1).limit(1).count():
+        return lines.select("row", _csv_cells(F.col("value")).alias("cells"))
 
-    def parse(batches: Iterator) -> Iterator:
+    def parse(batches: Iterator) -> Iterator:  # a quoted cell goes on in the next line: a task a file
         import pandas as pd
 
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"], strict=True):
                 rows = csv_cells(bytes(content).decode("utf-8", "replace"))
-                yield pd.DataFrame({"file": [file] * len(rows), "row": range(len(rows)), "cells": rows})
+                yield pd.DataFrame({"file": [file] * len(rows), "line": range(len(rows)), "cells": rows})
+
+    whole = whole_files(spark, path).mapInPandas(parse, "file string, line long, cells array<string>")
+    return whole.select(F.struct("file", F.lit(0).cast("long").alias("start"), "line").alias("row"), "cells")
 
-    return _whole_files(spark, path).mapInPandas(parse, _GRID)
 
+def numbered_grid(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
+    """(row, cells) with rows numbered from 0 over all files."""
+    g = grid(spark, path, kind)
+    return numbered(TableFrame(g.withColumnRenamed("row", POS), ("cells",))).select(F.col(ROW).alias("row"), "cells")
 
-def _with_header(g: DataFrame, keep_blank: bool = True) -> TableFrame:
+
+def _lacking(names: list[str], at: list[int]) -> Column:
+    """Names of the cells that a row is too short for."""
+    short = F.array_compact(F.array(*[F.when(F.size("cells") <= i, F.lit(n)) for n, i in zip(names, at, strict=True)]))
+    return F.when(F.size("cells") > max(at, default=-1), F.array().cast("array<string>")).otherwise(short).alias(ABSENT)
+
+
+def _with_header(g: DataFrame) -> TableFrame:
     """The first row with a filled cell is the header; null names and repeated names are dropped."""
     ink = F.exists("cells", lambda c: F.coalesce(c, F.lit("")) != "")
     first = g.where(ink).orderBy("row").limit(1).collect()
     if not first:
-        return TableFrame(g.select(F.col("row").alias(POS)).limit(0), ())
-    at, names = first[0]["row"], first[0]["cells"]
-    order = {}
+        return TableFrame(g.select(F.col("row").alias(POS)).limit(0), (), 0)
+    place, names = first[0]["row"], first[0]["cells"]
+    order: dict[str, int] = {}
     for i, n in enumerate(names):
         if n is not None and n not in order:
             order[n] = i
+    at = F.struct(*[F.lit(v).cast(t).alias(n) for n, v, t in zip(("file", "start", "line"), place, ("string", "long", "long"), strict=True)])
     rows = g.where(F.col("row") > at)
-    return TableFrame(rows.select(F.col("row").alias(POS), *[F.get("cells", F.lit(i)).alias(n) for n, i in order.items()]), tuple(order))
+    cells = [F.get("cells", F.lit(i)).alias(n) for n, i in order.items()]
+    return TableFrame(rows.select(F.col("row").alias(POS), _lacking(list(order), list(order.values())), F.size("cells").alias(WIDTH), *cells), tuple(order), len(names))
 
 
-def _positional(g: DataFrame) -> TableFrame:
+def positional(g: DataFrame) -> TableFrame:
+    """A grid as a table with fields "1", "2", ..."""
     width = g.agg(F.max(F.size("cells")).alias("n")).first()["n"] or 0
     names = [str(i + 1) for i in range(width)]
-    return TableFrame(g.select(F.col("row").alias(POS), *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]), tuple(names))
-
-
-def _records(df: DataFrame) -> TableFrame:
-    """From (row, rec map): fields are all keys, in the order they first appear."""
-    keys = df.select("row", F.posexplode(F.map_keys("rec")).alias("i", "k")).groupBy("k").agg(F.min(F.struct("row", "i")).alias("p")).orderBy("p")
-    names = [r["k"] for r in keys.collect()]  # the header
-    return TableFrame(df.select(F.col("row").alias(POS), *[F.element_at("rec", n).alias(n) for n in names]), tuple(names))
+    cells = [F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]
+    return TableFrame(g.select(F.col("row").alias(POS), _lacking(names, list(range(width))), *cells), tuple(names))
+
+
+def _in_order(df: DataFrame) -> list[str]:
+    """Names in (row, keys) in the order they first appear; the header, a name a field."""
+    keys = df.select("row", F.posexplode("keys").alias("i", "k")).groupBy("k").agg(F.min(F.struct("row", "i")).alias("p")).orderBy("p")
+    return [r["k"] for r in keys.collect()]
+
+
+def _unquoted(text: Column) -> Column:
+    """Undo the quotes and escapes of an LTSV key or value."""
+    parts = F.regexp_extract_all(F.substring(text, F.lit(2), F.length(text) - 2), F.lit(r"(\\x[0-9A-Fa-f]{2}|\\.|[^\\]+)"), 1)
+
+    def plain(x: Column) -> Column:
+        out = F.when(x.rlike(r"\A\\x[0-9A-Fa-f]{2}\z"), F.decode(F.unhex(F.substring(x, 3, 2)), "ISO-8859-1"))
+        for c, e in LTSV_ESCAPES.items():
+            out = out.when(x == e, F.lit(c))
+        return out.when(x.startswith("\\"), F.substring(x, 2, 1)).otherwise(x)
+
+    whole = (F.length(text) >= 2) & text.startswith('"') & text.endswith('"')
+    return F.when(whole, F.array_join(F.transform(parts, plain), "")).otherwise(text)
+
+
+def _ltsv(lines: DataFrame) -> TableFrame:
+    cell = r'(?s)\A("(?:[^"\\]|\\.)*+"|[^:]*+):(.*)\z'
+    cells = F.filter(F.split("value", "\t", -1), lambda c: c.rlike(cell))
+    pairs = F.transform(cells, lambda c: F.struct(_unquoted(F.regexp_extract(c, cell, 1)).alias("k"), _unquoted(F.regexp_extract(c, cell, 2)).alias("v")))
+    # A key that comes again replaces the value of the first.
+    rows = lines.select("row", pairs.alias("pairs")).where(F.size("pairs") > 0)
+    rows = rows.select("row", F.array_distinct(F.transform("pairs", lambda p: p["k"])).alias("keys"), F.reverse("pairs").alias("pairs"))
+    names = _in_order(rows)
+    value = lambda n: F.get(F.filter("pairs", lambda p: p["k"] == n), F.lit(0))["v"]
+    lacking = F.array_except(F.array(*[F.lit(n) for n in names]).cast("array<string>"), "keys").alias(ABSENT)
+    return TableFrame(rows.select(F.col("row").alias(POS), lacking, *[value(n).alias(n) for n in names]), tuple(names))
+
+
+def _json(spark: SparkSession, path: str, whole: bool) -> TableFrame:
+    """Objects with typed cells; a JSON document is an array of them, of NDJSON a line is one."""
+    if whole:
+        docs = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.from_json("value", "array<string>", {"mode": "FAILFAST"})).alias("line", "value"))
+        lines = docs.select(F.struct("file", F.lit(0).cast("long").alias("start"), F.col("line").cast("long").alias("line")).alias("row"), "value")
+    else:
+        lines = text_lines(spark, path).where(F.trim("value") != "")
+    rows = lines.withColumn("keys", F.json_object_keys("value"))
+    names = _in_order(rows)
+    schema = spark.read.option("multiLine", whole).json(path).schema if names else None
+    if not names:
+        return TableFrame(rows.select(F.col("row").alias(POS)), ())
+    parsed = rows.withColumn("rec", F.from_json("value", schema, {"mode": "FAILFAST"}))
+    lacking = F.array_except(F.array(*[F.lit(n) for n in names]).cast("array<string>"), "keys").alias(ABSENT)
+    return TableFrame(parsed.select(F.col("row").alias(POS), lacking, *[F.col("rec").getField(n).alias(n) for n in names]), tuple(names))
+
+
+def _spooled(spark: SparkSession) -> str:
+    """Standard input as a file that all executors can read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/stdin-{uuid.uuid4().hex[:12]}")
+    out = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(where)
+
+    class Sink:
+        @staticmethod
+        def write(data: bytes) -> None:
+            out.write(data)
+
+    shutil.copyfileobj(sys.stdin.buffer, Sink, 1 << 20)
+    out.close()
+    return where.toString()
 
 
 def read_one(spark: SparkSession, spec: str, numeric: bool = False) -> TableFrame:
+    """The table of one file, folder of part files, pattern, or ``-``, standard input."""
     kind, path = resolve_format(spec, numeric)
+    if path == "-":
+        path = _spooled(spark)
     if kind in ("csv", "tsv"):
         return _with_header(grid(spark, path, kind))
     if kind in ("ncsv", "ntsv"):
-        return _positional(grid(spark, path, kind[1:]))
+        return positional(grid(spark, path, kind[1:]))
     if kind == "ltsv":
-        parse = F.udf(lambda line: list(ltsv_cells(line).items()), "array<struct<k:string,v:string>>")  # entries keep their order
-        return _records(spark.read.text(path).select(F.monotonically_increasing_id().alias("row"), F.map_from_entries(parse("value")).alias("rec")).where(F.size("rec") > 0))
-    if kind == "ndjson":
-        lines = spark.read.text(path).where(F.trim("value") != "")
-        return _records(lines.select(F.monotonically_increasing_id().alias("row"), F.from_json("value", "map<string,string>").alias("rec")))
-    if kind == "json":
-        def rows(batches: Iterator) -> Iterator:
-            import json
-
-            import pandas as pd
-
-            for batch in batches:
-                for content in batch["content"]:
-                    got = json.loads(bytes(content))
-                    yield pd.DataFrame({"row": range(len(got)), "rec": [{k: json_cell(v) for k, v in r.items()} for r in got]})
-
-        return _records(_whole_files(spark, path).mapInPandas(rows, "row long, rec map<string,string>"))
+        return _ltsv(text_lines(spark, path))
+    if kind in ("json", "ndjson"):
+        return _json(spark, path, kind == "json")
 
     def pixels(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -105,90 +188,11 @@ def read_one(spark: SparkSession, spec: str, numeric: bool = False) -> TableFram
                 yield pd.DataFrame(rows, columns=[POS, "type", "x", "y", "component", "value"]).astype({"x": "Int64", "y": "Int64"})
 
     names = ("type", "x", "y", "component", "value")
-    return TableFrame(_whole_files(spark, path).mapInPandas(pixels, f"{POS} long, type string, x long, y long, component string, value string"), names)
+    return TableFrame(whole_files(spark, path).mapInPandas(pixels, f"{POS} long, type string, x long, y long, component string, value string"), names)
 
 
 def read(spark: SparkSession, *specs: str, numeric: bool = False, with_filename: bool = False) -> TableFrame:
-    """One table of one or more files, united by field name."""
+    """One table of one or more files, united by field name; standard input where none is named."""
+    specs = specs or ("-",)
     tables = [read_one(spark, s, numeric) for s in specs]
     return tables[0] if len(tables) == 1 and not with_filename else cat(tables, list(specs) if with_filename else None)
-
-
-# --- listings as tables -----------------------------------------------------------------------
-
-_TAR = "mode string, filemode string, uid long, user string, gid long, group string, devmajor long, devminor long, size long, mtime string, path string, linkname string, digest string"
-_KINDS = {tarfile.DIRTYPE: "d", tarfile.SYMTYPE: "l", tarfile.CHRTYPE: "c", tarfile.BLKTYPE: "b", tarfile.FIFOTYPE: "p"}
-
-
-def _iso(t: float) -> str:
-    from datetime import UTC, datetime
-
-    return datetime.fromtimestamp(t, UTC).isoformat().replace("+00:00", "Z")
-
-
-def list_tar(spark: SparkSession, path: str, digest: str | None = None) -> DataFrame:
-    """Members of tar archives (plain, gzip, bzip2 or xz), a task an archive; optionally a digest of their contents."""
-    def members(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for batch in batches:
-            for content in batch["content"]:
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(bytes(content))) as tar:
-                    for m in tar:
-                        d = None
-                        if digest and m.isreg():
-                            h, f = hashlib.new(digest), tar.extractfile(m)
-                            while part := f.read(1 << 20):
-                                h.update(part)
-                            d = h.hexdigest()
-                        mode = _KINDS.get(m.type, "-") + stat.filemode(m.mode)[1:]
-                        rows.append((f"0{m.mode:o}", mode, m.uid, m.uname, m.gid, m.gname, m.devmajor, m.devminor, m.size, _iso(m.mtime), m.name, m.linkname or None, d))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _TAR.split(", ")])
-
-    return _whole_files(spark, path).mapInPandas(members, _TAR)
-
-
-def list_dir(spark: SparkSession, path: str, recursive: bool = False, hidden: bool = False) -> TableFrame:
-    """filemode, nlink, size, mtime, filename, symlink of a local directory's entries, as the driver sees them."""
-    rows = []
-    for top, dirs, files in os.walk(path):
-        dirs.sort()
-        for name in sorted([*files, *dirs]):
-            if not hidden and name.startswith("."):
-                continue
-            full = os.path.join(top, name)
-            s = os.lstat(full)
-            rows.append((len(rows), stat.filemode(s.st_mode), s.st_nlink, s.st_size, _iso(s.st_mtime), full, os.readlink(full) if os.path.islink(full) else None))
-        if not recursive:
-            break
-    schema = f"{POS} long, filemode string, nlink long, size long, mtime string, filename string, symlink string"
-    return TableFrame(spark.createDataFrame(rows, schema), tuple(c.split()[0] for c in schema.split(", ")[1:]))
-
-
-# Fields of a commit and the placeholders that print them.
-GIT_FIELDS = (
-    ("commit", "%H"), ("tree", "%T"), ("parents", "%P"), ("author-name", "%an"), ("author-email", "%ae"), ("author-date", "%ai"),
-    ("committer-name", "%cn"), ("committer-email", "%ce"), ("committer-date", "%ci"), ("ref-names", "%d"), ("encoding", "%e"), ("subject", "%s"), ("body", "%b"),
-)
-
-
-def git_log(spark: SparkSession, repository: str) -> TableFrame:
-    """Commits of a local repository, newest first."""
-    shown = "%x1e" + "%x1f".join(f for _, f in GIT_FIELDS)
-    text = subprocess.run(["git", "-C", repository, "log", f"--pretty=format:{shown}"], capture_output=True, check=True).stdout.decode("utf-8", "replace")
-    rows = [(i, *[c.strip("\n") for c in r.split("\x1f")]) for i, r in enumerate(text.split("\x1e")[1:])]
-    schema = T.StructType([T.StructField(POS, T.LongType()), *[T.StructField(n, T.StringType()) for n, _ in GIT_FIELDS]])
-    return TableFrame(spark.createDataFrame(rows, schema), tuple(n for n, _ in GIT_FIELDS))
-
-
-def svn_log(spark: SparkSession, path: str) -> DataFrame:
-    """rev, author, date, msg, kind, action, path of an XML log, a row a changed path."""
-    one = "struct<_kind:string,_action:string,_VALUE:string>"
-    schema = f"_revision string, author string, date string, msg string, paths struct<path:array<{one}>>"
-    log = spark.read.format("xml").option("rowTag", "logentry").schema(schema).load(path)
-    rows = log.select("*", F.posexplode_outer("paths.path").alias("__i", "p"))
-    return rows.select(
-        F.col("_revision").cast("long").alias("rev"), F.coalesce("author", F.lit("(no author)")).alias("author"), F.coalesce("date", F.lit("(no date)")).alias("date"),
-        F.coalesce("msg", F.lit("")).alias("msg"), F.col("p._kind").alias("kind"), F.col("p._action").alias("action"), F.col("p._VALUE").alias("path"),
-    )

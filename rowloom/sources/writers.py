@@ -2,48 +2,86 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rowloom.frame import TableFrame, field
-from rowloom.operators.reshape import _csv_cell
-from rowloom.sources.formats import csv_line, ltsv_line, resolve_format, tsv_line
+from rowloom.frame import POS, TableFrame, field
+from rowloom.functions.natural import cell_text
+from rowloom.operators.reshape import csv_cell
+from rowloom.sources.formats import LTSV_ESCAPES, csv_line, ltsv_quote, resolve_format, tsv_line
 
 
 # Escapes of a quoted text in pretty-printed rows.
 _PP_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\t": "\\t", "\r": "\\r", "\f": "\\f", "\v": "\\v", "\a": "\\a", "\b": "\\b", "\x1b": "\\e"}
 
 
-def _line(table: TableFrame, kind: str) -> Column:
-    cells = [field(f).cast("string").alias(f) for f in table.fields]
+def _json_value(c: Column) -> Column:
+    text = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+    return F.substring(text, F.lit(6), F.length(text) - 6)
+
+
+def _ltsv_quoted(text: Column, key: bool) -> Column:
+    special = r'[\x00-\x1f\x7f"\\' + (":]" if key else "]")
+    parts = F.regexp_extract_all(text, F.lit(f"({special}|{special.replace('[', '[^', 1)}+)"), 1)
+
+    def shown(x: Column) -> Column:
+        out = F.when(~x.rlike(special), x)
+        for c, e in LTSV_ESCAPES.items():
+            out = out.when(x == c, F.lit(e))
+        return out.otherwise(F.concat(F.lit("\\x"), F.lpad(F.hex(F.ascii(x)), 2, "0")))
+
+    return F.when(text.rlike(special), F.concat(F.lit('"'), F.array_join(F.transform(parts, shown), ""), F.lit('"'))).otherwise(text)
+
+
+def _line(table: TableFrame, kind: str, pad: bool = False) -> Column:
+    """The line of a row; cells that it lacks at its end are left out, unless ``pad``."""
+    names = table.fields
+    cells = [cell_text(field(f), table.dtype(f)).alias(f) for f in names]
+
+    def ended(texts: list[Column]) -> Column:
+        row = F.array(*texts).cast("array<string>")
+        if pad or not table.ragged:
+            return row
+        here = F.reverse(F.array(*[table.present(f) for f in names]).cast("array<boolean>"))
+        return F.slice(row, 1, F.when(F.array_position(here, True) > 0, F.size(here) - F.array_position(here, True).cast("int") + 1).otherwise(0))
+
     if kind in ("csv", "ncsv"):
-        return F.array_join(F.array(*[_csv_cell(c) for c in cells]), ",")
+        return F.array_join(ended([csv_cell(c) for c in cells]), ",")
     if kind in ("tsv", "ntsv"):
-        return F.array_join(F.array(*[F.regexp_replace(F.coalesce(c, F.lit("")), r"[\t\r\n]", " ") for c in cells]), "\t")
+        return F.array_join(ended([F.regexp_replace(F.coalesce(c, F.lit("")), r"[\t\r\n]", " ") for c in cells]), "\t")
     if kind == "ltsv":
-        names = table.fields
-        line = F.udf(lambda row: ltsv_line(dict(zip(names, row, strict=True))).rstrip("\n"), "string")
-        return line(F.array(*cells))
-    return F.to_json(F.struct(*[field(f).alias(f) for f in table.fields]), {"ignoreNullFields": "false"})
-
-
-def lines(table: TableFrame, kind: str) -> Iterator[str]:
-    """The text in row order, a line at a time; the driver holds one partition at a time."""
-    ordered = table.df.orderBy("__pos").select(_line(table, kind).alias("value"))
-    if kind == "csv":
-        yield csv_line(list(table.fields))
-    elif kind == "tsv":
-        yield tsv_line(list(table.fields))
-    if kind == "json":
-        yield "[\n"
+        pairs = [F.concat(F.lit(ltsv_quote(f, True) + ":"), _ltsv_quoted(F.coalesce(c, F.lit("")), False)) for f, c in zip(names, cells, strict=True)]
+        return F.array_join(F.array(*[F.when(table.present(f), p) for f, p in zip(names, pairs, strict=True)]).cast("array<string>"), "\t")
+    between = ",\n  " if kind == "pretty" else ","
+    gap = ": " if kind == "pretty" else ":"
+    pairs = [F.when(table.present(f), F.concat(F.lit(json.dumps(f, ensure_ascii=False) + gap), _json_value(field(f)))) for f in names]
+    body = F.array_join(F.array(*pairs).cast("array<string>"), between)
+    if kind == "pretty":
+        return F.when(body == "", F.lit("{}")).otherwise(F.concat(F.lit("{\n  "), body, F.lit("\n}")))
+    return F.concat(F.lit("{"), body, F.lit("}"))
+
+
+def _header(table: TableFrame, kind: str) -> str | None:
+    return csv_line(list(table.fields)) if kind == "csv" else tsv_line(list(table.fields)) if kind == "tsv" else None
+
+
+def lines(table: TableFrame, kind: str, pad: bool = False) -> Iterator[str]:
+    """The text in row order, a line at a time; the driver holds one partition at a time. JSON is
+    an array of objects, ``pretty`` one with a pair a line."""
+    ordered = table.df.orderBy(POS).select(_line(table, kind, pad).alias("value"))
+    if head := _header(table, kind):
+        yield head
+    if kind in ("json", "pretty"):
+        yield "[\n" if kind == "json" else "["
         before = ""
         for r in ordered.toLocalIterator():
             yield f"{before}{r['value']}"
             before = ",\n"
-        yield "\n]\n"
+        yield "\n]\n" if kind == "json" else "]\n"
         return
     for r in ordered.toLocalIterator():
         yield r["value"] + "\n"
@@ -131,14 +169,19 @@ def write(table: TableFrame, spec: str) -> None:
 
 
 def write_folder(table: TableFrame, path: str, kind: str = "csv") -> None:
-    """Write a folder of part files in parallel; each holds a run of rows, names in order."""
-    df: DataFrame = table.df.repartitionByRange("__pos").sortWithinPartitions("__pos").select(_line(table, kind).alias("value"))
-    df.write.mode("overwrite").text(path)
+    """Write a folder of part files in parallel; in the order of their names they hold what one file
+    would, the header line first. For csv, ncsv, tsv, ntsv, ltsv and ndjson, which are lines."""
+    if kind not in ("csv", "ncsv", "tsv", "ntsv", "ltsv", "ndjson"):
+        raise ValueError(f"not a format of lines: {kind}")
+    body = table.df.select(F.struct(F.lit(1).alias("part"), F.col(POS).alias("pos")).alias("at"), _line(table, kind).alias("value"))
+    if head := _header(table, kind):
+        first = table.df.sparkSession.createDataFrame([(head.rstrip("\n"),)], "value string")
+        none = F.lit(None).cast(table.df.schema[POS].dataType)
+        body = first.select(F.struct(F.lit(0).alias("part"), none.alias("pos")).alias("at"), "value").unionByName(body)
+    body.repartitionByRange("at").sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
 
 
 def to_yaml(table: TableFrame) -> Iterator[str]:
-    import json
-
     yield "---\n"
     for row in table.ordered().toLocalIterator():
         for i, (k, v) in enumerate(row.asDict().items()):

@@ -1,12 +1,18 @@
 import io
+import os
+import subprocess
 import tarfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from rowloom.frame import TableFrame
+from rowloom.operators.columns import cat, cut, gsub, rename
+from rowloom.operators.reshape import melt, shape, unnest
 from rowloom.sources import formats as f
-from rowloom.sources.readers import list_tar, read
-from rowloom.sources.writers import lines, to_pnm, to_pp, write
+from rowloom.sources.listings import git_log, list_dir, list_tar, svn_log
+from rowloom.sources.readers import read
+from rowloom.sources.writers import lines, to_pnm, to_pp, to_yaml, write
 
 
 def put(path, text):
@@ -27,14 +33,25 @@ def test_csv_states_and_header_repair(spark, tmp_path):
 
 def test_other_formats(spark, tmp_path):
     assert rows(read(spark, put(tmp_path / "a.tsv", "a\tb\n1\t\n"))) == [("1", "")]
-    assert rows(read(spark, put(tmp_path / "a.ndjson", '{"a":1}\n\n{"b":"x"}\n'))) == [("1", None), (None, "x")]
-    assert rows(read(spark, put(tmp_path / "a.json", '[{"a":1,"b":[1,2]},{"a":null}]'))) == [("1", "[1, 2]"), (None, None)]
-    assert rows(read(spark, put(tmp_path / "a.ltsv", 'k:v\tq:"a\\tb"\n'))) == [("v", "a\tb")]
+    assert rows(read(spark, put(tmp_path / "a.ndjson", '{"a":1}\n\n{"b":"x"}\n'))) == [(1, None), (None, "x")]
+    t = read(spark, put(tmp_path / "a.json", '[{"b":[1,2],"a":1.5,"c":true},{"a":null}]'))
+    assert t.fields == ("b", "a", "c") and rows(t) == [([1, 2], 1.5, True), (None, None, None)]
+    assert "".join(lines(t, "json")) == '[\n{"b":[1,2],"a":1.5,"c":true},\n{"a":null}\n]\n'
+    assert "".join(lines(t, "pretty")) == '[{\n  "b": [1,2],\n  "a": 1.5,\n  "c": true\n},\n{\n  "a": null\n}]\n'
+    assert rows(read(spark, put(tmp_path / "a.ltsv", 'k:v\tq:"a\\tb"\nz:\t"k":"\\x41\\\\n\\q"\tk:2\n'))) == [("v", "a\tb", None), ("2", None, "")]
+    assert "".join(lines(read(spark, f"{tmp_path}/a.ltsv"), "ltsv")) == 'k:v\tq:"a\\tb"\nk:2\tz:\n'
     assert read(spark, put(tmp_path / "n.csv", "1,2,3\n4\n"), numeric=True).fields == ("1", "2", "3")
     with pytest.raises(ValueError):
         f.resolve_format("nosuch:x")
 
 
+def test_ltsv_written_by_spark(spark, tmp_path):
+    texts = ["plain", "a\tb", 'q"x', "back\\slash\\n", "\x01\x7f\x1b", "", "\u00e9:\u00fc", "a\rb\nc"]
+    t = TableFrame.from_rows(spark, ["k:1", "v"], [[x, str(i)] for i, x in enumerate(texts)])
+    assert list(lines(t, "ltsv")) == [f.ltsv_line({"k:1": x, "v": str(i)}) for i, x in enumerate(texts)]
+    assert rows(read(spark, put(tmp_path / "a.ltsv", "".join(lines(t, "ltsv"))))) == [(x, str(i)) for i, x in enumerate(texts)]
+
+
 @pytest.mark.parametrize("text", ["plain", "a\tb", 'q"x', "back\\slash", "\x01\x7f", ""])
 def test_ltsv_round_trip(text):
     assert f.ltsv_cells(f.ltsv_line({"k:1": text, "z": "1"})) == {"k:1": text, "z": "1"}
@@ -91,5 +108,87 @@ def test_tar(spark, tmp_path):
         info = tarfile.TarInfo("x/" + "long" * 40)
         info.size = 3
         tar.addfile(info, io.BytesIO(b"abc"))
-    (r,) = list_tar(spark, str(tmp_path / "a.tar.gz"), "md5").collect()
-    assert r["size"] == 3 and r["digest"] == "900150983cd24fb0d6963f7d28e17f72" and r["path"].startswith("x/long")
+        link = tarfile.TarInfo("x/link")
+        link.type, link.linkname, link.mtime = tarfile.LNKTYPE, "x/y", 3
+        tar.addfile(link)
+    t = list_tar(spark, str(tmp_path / "a.tar.gz"), digests=["md5", "sha1"])
+    assert t.fields[-2:] == ("md5", "sha1")
+    r, other = t.ordered().collect()
+    assert (r["size"], r["md5"], r["mtime"]) == ("3", "900150983cd24fb0d6963f7d28e17f72", "1970-01-01T00:00:00Z") and r["path"].startswith("x/long")
+    assert (other["filemode"], other["linkname"], other["md5"][:6]) == ("hrw-r--r--", "x/y", "d41d8c")
+    full = list_tar(spark, str(tmp_path / "a.tar.gz"), long=True)
+    assert full.fields[10:12] == ("atime", "ctime") and full.fields[-5:] == ("size_in_tar", "tar_typeflag", "tar_magic", "tar_version", "tar_chksum")
+    r, other = full.ordered().collect()
+    assert (other["size_in_tar"], other["tar_typeflag"], other["mtime"], other["atime"]) == ("512", "1", "1970-01-01T00:00:03.000000000Z", None)
+    assert int(r["size_in_tar"]) > 1024 and int(r["tar_chksum"]) > 0
+    with pytest.raises(ValueError):
+        list_tar(spark, "x", digests=["crc"])
+
+
+def test_directory_listing(spark, tmp_path):
+    for name in ("a10", "a9", ".dot", "sub/b", "sub/.c"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("xyz")
+    (tmp_path / "link").symlink_to("a9")
+    top = str(tmp_path)
+
+    def names(**how):
+        return [r["filename"].removeprefix(top + "/") for r in list_dir(spark, top, **how).ordered().collect()]
+
+    assert names() == ["a9", "a10", "link", "sub"]
+    assert names(hidden="all") == [".", "..", ".dot", "a9", "a10", "link", "sub"] and names(hidden="almost")[0] == ".dot"
+    assert names(recursive=True, hidden="almost") == [".dot", "a9", "a10", "link", "sub", "sub/.c", "sub/b"]
+    long = {r["filename"].removeprefix(top + "/"): r for r in list_dir(spark, top, level=1).ordered().collect()}
+    assert (long["a9"]["size"], long["a9"]["filemode"][0], long["link"]["symlink"], long["sub"]["filemode"][0]) == ("3", "-", "a9", "d")
+    assert long["a9"]["user"] and long["a9"]["mtime"].endswith("Z")
+    full = list_dir(spark, top, level=2)
+    assert len(full.fields) == 18 and full.ordered().first()["mode"].startswith("0100") and len(full.ordered().first()["mtime"]) == 30
+    with pytest.warns(UserWarning):
+        assert list_dir(spark, f"{top}/none").df.count() == 0
+    assert [r[0] for r in list_dir(spark, f"{top}/a9").ordered().collect()] == [f"{top}/a9"]
+
+
+def test_git_log(spark, tmp_path):
+    def git(*args):
+        who = {"GIT_AUTHOR_NAME": "A", "GIT_AUTHOR_EMAIL": "a@x", "GIT_COMMITTER_NAME": "C", "GIT_COMMITTER_EMAIL": "c@x", "GIT_AUTHOR_DATE": "2020-01-02T03:04:05+0100", "GIT_COMMITTER_DATE": "2020-01-02T03:04:05+0000"}
+        subprocess.run(["git", *args], cwd=tmp_path, check=True, capture_output=True, env={"PATH": os.environ["PATH"], "HOME": str(tmp_path), **who})
+
+    git("init", "-q", "-b", "main")
+    (tmp_path / "one").write_text("1\n2\n")
+    git("add", ".")
+    git("commit", "-q", "-m", "first")
+    (tmp_path / 'odd "\t\u00e9').write_bytes(b"\0\1")
+    (tmp_path / "one").write_text("1\n")
+    git("add", ".")
+    git("commit", "-q", "-m", "second\n\nwith a body")
+    t = git_log(spark, str(tmp_path))
+    assert len(t.fields) == 18 and t.fields[-1] == "files"
+    second, first = t.ordered().collect()
+    assert (second["subject"], second["body"], first["body"]) == ("second", "with a body\n", "") and second["raw-body"].startswith("second\n\nwith")
+    assert second["parents"] == f"parent\n{first['commit']}\n" and first["parents"] == "parent\n"
+    assert (first["author-date"], first["author-name"], first["committer-email"]) == ("2020-01-02T03:04:05+0100", "A", "c@x")
+    assert "refs/heads/main" in second["ref-names"]
+    files = unnest(cut(t, ["subject", "files"]), "files").ordered().collect()
+    assert [(r["subject"], r["add"], r["del"], r["status"], r["filename"]) for r in files] == [
+        ("second", None, None, "A", 'odd "\t\u00e9'), ("second", "0", "1", "M", "one"), ("first", "2", "0", "A", "one")]
+
+
+def test_svn_log(spark, tmp_path):
+    log = """<?xml version="1.0"?>
+<log>
+<logentry revision="2"><author>me</author><date>2020-01-02T03:04:05.000000Z</date>
+<paths><path kind="file" action="M">/a</path><path kind="file" action="A">/b</path></paths><msg>two</msg></logentry>
+<logentry revision="1"><msg></msg></logentry>
+</log>
+"""
+    t = svn_log(spark, put(tmp_path / "log.xml", log))
+    assert rows(t) == [
+        ("2", "me", "2020-01-02T03:04:05.000000Z", "two", "file", "M", "/a"), ("2", "me", "2020-01-02T03:04:05.000000Z", "two", "file", "A", "/b"),
+        ("1", "(no author)", "(no date)", "", None, None, None)]
+    plain = put(tmp_path / "plain.xml", "<log><logentry revision='3'><author>x</author><date>d</date><msg>m</msg></logentry></log>")
+    assert svn_log(spark, plain).fields == ("rev", "author", "date", "msg")
+
+
+def test_yaml(spark):
+    t = TableFrame.from_rows(spark, ["a", "b c"], [["1", None], ['q"', "x\ny"]])
+    assert "".join(to_yaml(t)) == '---\n- "a": "1"\n  "b c": null\n- "a": "q\\""\n  "b c": "x\\ny"\n'

@@ -161,10 +161,31 @@ def test_cross_and_crop_and_header(spark):
     grid = spark.createDataFrame([(0, [None, ""]), (1, ["", "a", "b", ""]), (2, [None, "c"]), (3, [""])], "row long, cells array<string>")
     assert sorted((r["row"], r["cells"]) for r in O.crop(grid).collect()) == [(0, ["a", "b"]), (1, ["c"])]
     heads = spark.createDataFrame([(0, ["x", "x", None]), (1, ["a", "b", "c"]), (2, ["1", "2", "3"])], "row long, cells array<string>")
+    same = spark.createDataFrame([(i, ["x", "x"]) for i in range(100)], "row long, cells array<string>")
+    with pytest.warns(UserWarning):
+        assert R.mheader(same)[0] == [] and R.mheader(same)[1].count() == 0
+    late = same.unionByName(spark.createDataFrame([(100, ["y", None]), (101, ["x", "z"]), (102, ["1", "2"])], same.schema))
+    assert R.mheader(late)[0] == ["x y", "x"]
+    assert R.mheader(late, 102)[0] == ["x y x", "x z"] and [r["row"] for r in R.mheader(late, 102)[1].collect()] == [0]
     names, rest = R.mheader(heads)
     assert names == ["x a", "x b", "c"] and [tuple(r) for r in rest.collect()] == [(0, ["1", "2", "3"])]
 
 
+def test_outer_join_merge_and_unique_sort(spark):
+    a, b = table(spark, "k,x", ["10", "p"], ["9", "q"], [None, "n"], ["9", "r"]), table(spark, "k,y", ["9", "s"], ["11", "t"])
+    assert sorted(cells(J.natjoin_outer(a, b, missing="-")), key=str) == sorted([("10", "p", "-"), ("9", "q", "s"), ("9", "r", "s"), (None, "n", "-"), ("11", "-", "t")], key=str)
+    got = [(r["k"], [x["x"] for x in r["rows1"]], [x["y"] for x in r["rows2"]], len(r["rows3"])) for r in J.merge_sorted([a, b, C.cut(a, ["k"])], "k").collect()]
+    assert got == [(None, ["n"], [], 1), ("9", ["q", "r"], ["s"], 2), ("10", ["p"], [], 1), ("11", [], ["t"], 0)]
+    assert cells(O.sort_unique(a, ["k"], ["values(x)"])) == [(None, "n"), ("9", "q,r"), ("10", "p")]
+
+
+def test_unmelt_lacking_cells(spark):
+    long = table(spark, "k,variable,value", ["1", "x", "a"], ["2", "y", "b"])
+    from rowloom.sources.writers import lines
+
+    assert "".join(lines(R.unmelt(long), "csv")) == "k,x,y\n1,a\n2,,b\n"
+
+
 def test_cat_unites_fields(spark):
     t = C.cat([table(spark, "a,b", ["1", "2"]), table(spark, "b,c", ["3", "4"])], ["p", "q"])
     assert t.fields == ("filename", "a", "b", "c") and cells(t) == [("p", "1", "2", None), ("q", None, "3", "4")]
