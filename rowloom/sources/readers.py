@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import shutil
 import sys
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +17,7 @@ from rowloom.frame import ABSENT, POS, WIDTH, TableFrame
 from rowloom.operators.columns import cat
 from rowloom.operators.rows import ROW, numbered
 from rowloom.sources.formats import LTSV_ESCAPES, csv_cells, pnm_rows, resolve_format
-from rowloom.workspace import shared_folder
+from rowloom.workspace import shared_path
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -152,7 +151,7 @@ def _json(spark: SparkSession, path: str, whole: bool) -> TableFrame:
 
 def _spooled(spark: SparkSession) -> str:
     """Standard input as a file that all executors can read."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/stdin-{uuid.uuid4().hex[:12]}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(shared_path(spark, "stdin"))
     out = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(where)
 
     class Sink:

@@ -25,14 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
     return LOCAL_CHECKPOINTS
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder, deleted with the tables."""
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    _made.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, tag: str = "table") -> DataFrame:
     """The same rows, evaluated once and read back from Parquet; any names and types that Parquet holds.
 
     The table stays until :func:`release` or the driver's end.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-    _made.append((spark, path))
+    path = shared_path(spark, tag)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # a field may have any name
     plain.write.parquet(path)
     back = spark.read.schema(plain.schema).parquet(path)
