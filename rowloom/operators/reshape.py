@@ -14,6 +14,7 @@ from rowloom.frame import ABSENT, POS, WIDTH, TableFrame, field
 from rowloom.functions.natural import cell_text, natural_key
 from rowloom.operators.rows import ROW, islands, numbered
 from rowloom.sources.formats import csv_cells
+from rowloom.workspace import let_workers_import
 
 
 def melt(table: TableFrame, keys: Sequence[str], fields: Sequence[str] = (), regexps: Sequence[str] = (), recnum: str | None = None,
@@ -109,6 +110,7 @@ def unnest(table: TableFrame, name: str, prefix: str = "", outer: bool = False,
         items = field(name)
         pick = lambda n: F.col("__x")[n]
     else:
+        let_workers_import(table.df.sparkSession)
         parse = F.udf(_csv_rows, "array<array<struct<k:string,v:string>>>", useArrow=True)  # batches, not rows, go to Python
         items = F.transform(parse(field(name)), F.map_from_entries)
         if names is None:

@@ -17,10 +17,12 @@ from rowloom.frame import ABSENT, POS, WIDTH, TableFrame
 from rowloom.operators.columns import cat
 from rowloom.operators.rows import ROW, numbered
 from rowloom.sources.formats import LTSV_ESCAPES, csv_cells, pnm_rows, resolve_format
-from rowloom.workspace import shared_path
+from rowloom.workspace import let_workers_import, shared_path
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content), for Python parsers."""
+    let_workers_import(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 

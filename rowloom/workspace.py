@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 #: Used only by a local master that names no checkpoint folder (tests, single machines).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/rowloom"
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -25,6 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
     return LOCAL_CHECKPOINTS
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers start with this library on their path, however the driver found it."""
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in known:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A path of its own in the shared folder, deleted with the tables."""
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
