@@ -2,47 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder (tests, local runs).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/rowloom"
+from rowloom.workspace import let_workers_import, shared_path
 
 #: The column of :meth:`Workspace.numbered`.
 ROW = "__row"
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local default where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
-
-
-def let_workers_import(spark: SparkSession) -> None:
-    """Python workers start with this repository on their path, however the driver found it."""
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in known:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
-
-
 class Workspace:
     """Tables of one operator call, written as Parquet under the shared folder.
 
     A written table survives the loss of any executor, is compressed, and can be dropped as
-    soon as nothing reads it any more; what is left goes when the driver exits.
+    soon as nothing reads it any more; what is left goes with ``rowloom.workspace.release()`` or
+    when the driver exits.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.base = shared_path(spark, name)
         let_workers_import(spark)
-        atexit.register(self.clear)
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
         path = f"{self.base}/{tag}"
@@ -61,9 +40,3 @@ class Workspace:
     def drop(self, *tags: str) -> None:
         for tag in tags:
             self._delete(f"{self.base}/{tag}")
-
-    def clear(self) -> None:
-        try:
-            self._delete(self.base)
-        except Exception:  # the session has ended; its folder goes with the cluster's own clean-up
-            pass
