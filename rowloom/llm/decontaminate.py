@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.native_text import grams, within, words
+from rowloom.llm.native_text import gram_hashes, grams, within, words
 from rowloom.llm.workspace import ROW, Workspace
 
 #: Size partitions of test items: (most shingles, rows a band, bands). At containment 0.8 an
@@ -26,7 +26,7 @@ def item_shingles(ws: Workspace, benchmark: DataFrame, k: int) -> DataFrame:
     span = F.least(F.size("w"), F.lit(k))
     found = F.array_distinct(F.when(F.size("w") >= k, grams(F.col("w"), k)).otherwise(F.array(F.array_join("w", " "))))
     rows = items.select("item", "item_id", span.alias("span"), F.size(found).alias("n"), F.explode(found).alias("gram"))
-    return ws.save(rows.withColumn("h", F.xxhash64("gram")), "items")
+    return ws.save(rows.withColumn("h", F.xxhash64(F.split("gram", " "))), "items")
 
 
 def item_minima(shingles: DataFrame) -> DataFrame:
@@ -45,22 +45,19 @@ def item_minima(shingles: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, minima: DataFrame, spans: list[int]) -> DataFrame:
-    """(doc_id, item) of every document that holds all minima of one band of an item.
+    """(doc_id, item) of every document that holds all minima of one band of an item; ``spans``
+    are the lengths of the items' shingles.
 
     docs(doc_id, w) keeps its whole shingle stream, in which the minima are looked up: those of a
     ten-shingle item would vanish among the minima of a long document.
     """
-    stream = docs.select("doc_id", F.explode(F.transform(_all_grams(spans), lambda g: F.xxhash64(g))).alias("h"))
+    hashes = F.concat(*[gram_hashes(F.col("w"), n) for n in spans]) if spans else F.array().cast("array<bigint>")
+    stream = docs.select("doc_id", F.explode(hashes).alias("h"))
     held = stream.join(minima, "h").groupBy("doc_id", "item", "rows", "bands").agg(F.bit_or("mask").alias("mask"))
     full = F.expr("exists(sequence(0, bands - 1), j -> (shiftrightunsigned(mask, j * rows) & (shiftleft(1L, rows) - 1)) = shiftleft(1L, rows) - 1)")
     return held.where(full).select("doc_id", "item")
 
 
-def _all_grams(spans: list[int]) -> F.Column:
-    """Runs of words of these lengths, k different ones at most."""
-    return F.concat(*[grams(F.col("w"), n) for n in spans]) if spans else F.array().cast("array<string>")
-
-
 def contaminated(documents: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """Documents that hold test items: doc_id, item_id, n_shared, n_item, containment.
 
@@ -89,7 +86,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, k: int = 5, thresho
     named = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tried = ws.save(candidates(docs(named), within(minima.count(), minima), spans), "candidates")
     again = docs(named.join(tried.select("doc_id").distinct(), "doc_id", "left_semi"))
-    stream = again.select("doc_id", F.explode(_all_grams(spans)).alias("found")).withColumn("h", F.xxhash64("found"))
+    found = F.concat(*[grams(F.col("w"), n) for n in spans]) if spans else F.array().cast("array<string>")
+    stream = again.select("doc_id", F.explode(found).alias("found")).withColumn("h", F.xxhash64(F.split("found", " ")))
     hits = stream.join(within(facts["rows"], shingles), "h").where("found = gram").select("doc_id", "item", "item_id", "n", "h").distinct()
     pairs = hits.join(tried, ["doc_id", "item"], "left_semi").groupBy("doc_id", "item", "item_id", "n").agg(F.count(F.lit(1)).alias("n_shared"))
     return (

@@ -40,6 +40,13 @@ def grams(array: Column, k: int) -> Column:
     return F.when(n > 0, run).otherwise(F.array().cast("array<string>"))
 
 
+def gram_hashes(array: Column, k: int) -> Column:
+    """The 64-bit hash of every run of k words, made from the words as they are; empty if there are fewer."""
+    n = F.size(array) - k + 1
+    run = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(array, i, k)))
+    return F.when(n > 0, run).otherwise(F.array().cast("array<bigint>"))
+
+
 def unit_hash(seed: str, value: Column) -> Column:
     """A number in [0, 1) from the first 52 bits of an MD5, the same in any engine."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(value.cast("string"), F.lit("")))
