@@ -58,7 +58,8 @@ def grid(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"], strict=True):
                 rows = csv_cells(bytes(content).decode("utf-8", "replace"))
-                yield pd.DataFrame({"file": [file] * len(rows), "line": range(len(rows)), "cells": rows})
+                if rows:
+                    yield pd.DataFrame({"file": [file] * len(rows), "line": range(len(rows)), "cells": rows})
 
     whole = whole_files(spark, path).mapInPandas(parse, "file string, line long, cells array<string>")
     return whole.select(F.struct("file", F.lit(0).cast("long").alias("start"), "line").alias("row"), "cells")

@@ -2,16 +2,19 @@ import io
 import os
 import subprocess
 import tarfile
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from rowloom.frame import TableFrame
+from rowloom.functions.profile import profile
 from rowloom.operators.columns import cat, cut, gsub, rename
 from rowloom.operators.reshape import melt, shape, unnest
 from rowloom.sources import formats as f
 from rowloom.sources.listings import git_log, list_dir, list_tar, svn_log
 from rowloom.sources.readers import read
+from rowloom.sources.workbook import workbook
 from rowloom.sources.writers import lines, to_pnm, to_pp, to_yaml, write
 
 
@@ -31,6 +34,49 @@ def test_csv_states_and_header_repair(spark, tmp_path):
     assert "".join(lines(t, "csv")) == 'a,b\n1,\n"","q ""2""\nline"\n'
 
 
+@pytest.mark.parametrize("quoted", ["x", '"p\nq"'])  # lines split by Spark, and a file parsed whole
+def test_csv_three_states_of_a_cell(spark, tmp_path, quoted):
+    t = read(spark, put(tmp_path / "a.csv", f'a,b,c\n1\n"",,\n\n{quoted},",","say ""hi"""\r\n4,5,6,7\n'))
+    assert rows(t) == [("1", None, None), ("", None, None), (None, None, None), (quoted.strip('"'), ",", 'say "hi"'), ("4", "5", "6")]
+    assert [r[0] for r in t.df.orderBy("__pos").select("__absent").collect()] == [["b", "c"], [], ["a", "b", "c"], [], []]
+    assert "".join(lines(t, "csv")) == f'a,b,c\n1\n"",,\n\n{quoted},",","say ""hi"""\n4,5,6\n'
+    assert "".join(lines(t, "csv", pad=True)).startswith('a,b,c\n1,,\n"",,\n,,\n')
+    assert [tuple(r) for r in melt(t, ["a"]).ordered().collect()][:3] == [("", "b", None), ("", "c", None), (quoted.strip('"'), "b", ",")]
+    assert rows(gsub(t, "^$", "-"))[:2] == [("1", None, None), ("-", "-", "-")]
+    assert "".join(lines(rename(cut(t, ["c", "a", "z"]), [("c", "C")]), "csv")).splitlines()[:3] == ["C,a,z", ",1", ',""']
+    assert list(lines(t, "ndjson"))[:2] == ['{"a":"1"}\n', '{"a":"","b":null,"c":null}\n']
+    assert [tuple(r) for r in shape([("f", t)]).collect()] == [("f", 5, 0, 3, 3, 0, 4)]
+
+
+def test_cat_of_short_rows(spark, tmp_path):
+    a, b = put(tmp_path / "a.csv", "a,b\n1,2\n3,4,x\n"), put(tmp_path / "b.csv", "b,c\n5,6\n")
+    t = read(spark, a, b)
+    assert "".join(lines(t, "csv")) == "a,b,c\n1,2\n3,4\n,5,6\n"
+    both = cat([t, TableFrame.from_rows(spark, ["d"], [["z"]])])  # another kind of ordinal
+    assert rows(both)[-1] == (None, None, None, "z") and len(rows(both)) == 4
+
+
+@pytest.mark.parametrize("kind", ["csv", "tsv", "ltsv", "ndjson", "ncsv"])
+def test_folders_of_parts(spark, tmp_path, kind):
+    n = 20_000
+    df = spark.range(n).select(((n - 1) - F.col("id")).alias("id"), F.concat(F.lit("cell "), F.col("id"), F.when(F.col("id") % 7 == 0, ', "q"').otherwise("")).alias("text"))
+    t = TableFrame.of(df, ["id"])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        t.write_folder(f"{tmp_path}/out", kind)
+        back = read(spark, f"{kind}:{tmp_path}/out")
+        assert back.df.rdd.getNumPartitions() > 4  # more tasks than files
+        assert [tuple(map(str, r)) for r in back.ordered().collect()] == [tuple(map(str, r)) for r in t.ordered().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_standard_input(spark, monkeypatch):
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO("a\tb\n1\t\u00e9\n".encode())))
+    assert rows(read(spark, "tsv:-")) == [("1", "\u00e9")]
+
+
 def test_other_formats(spark, tmp_path):
     assert rows(read(spark, put(tmp_path / "a.tsv", "a\tb\n1\t\n"))) == [("1", "")]
     assert rows(read(spark, put(tmp_path / "a.ndjson", '{"a":1}\n\n{"b":"x"}\n'))) == [(1, None), (None, "x")]
@@ -192,3 +238,31 @@ def test_svn_log(spark, tmp_path):
 def test_yaml(spark):
     t = TableFrame.from_rows(spark, ["a", "b c"], [["1", None], ['q"', "x\ny"]])
     assert "".join(to_yaml(t)) == '---\n- "a": "1"\n  "b c": null\n- "a": "q\\""\n  "b c": "x\\ny"\n'
+
+
+def test_workbook(spark, tmp_path):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = f"""<worksheet {main}><sheetData>
+<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>x</t><t>y</t></is></c></row>
+<row r="3"><c r="A3"><v>1.5</v></c><c t="b"><v>1</v></c><c r="C3"/></row></sheetData><mergeCells><mergeCell ref="A1:B2"/></mergeCells></worksheet>"""
+    parts = {
+        "xl/workbook.xml": f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="One" r:id="a"/><sheet name="Two" r:id="b"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="a" Target="worksheets/s1.xml"/><Relationship Id="b" Target="/xl/worksheets/s2.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f"<sst {main}><si><r><t>he</t></r><r><t>ad</t></r></si></sst>", "xl/worksheets/s1.xml": sheet, "xl/worksheets/s2.xml": f"<worksheet {main}/>",
+    }
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as book:
+        for name, text in parts.items():
+            book.writestr(name, text)
+    got = workbook(spark, f"{tmp_path}/b.xlsx").orderBy("at", "row").collect()
+    assert [(r["sheet"], r["row"], r["cells"]) for r in got] == [("One", 0, ["head", "head", "xy"]), ("One", 1, ["head", "head"]), ("One", 2, ["1.5", "true", None])]
+    assert workbook(spark, f"{tmp_path}/b.xlsx", "topleft").orderBy("row").first()["cells"] == ["head", None, "xy"]
+    with pytest.raises(ValueError):
+        workbook(spark, "x", "other")
+
+
+def test_profile(spark):
+    t = TableFrame.from_rows(spark, ["n", "t", "c", "e"], [["1", "2020-01-02", "a", None], [" 2.5 ", "2020-01-02T03:04:05Z", "1", ""], [None, "2019-12", "a", None]])
+    got = {r["field"]: r for r in profile(t).collect()}
+    assert [got[f]["kind"] for f in "ntce"] == ["numeric", "time", "categorical", ""]
+    assert (got["n"]["low"], got["n"]["high"], got["n"]["filled"]) == ("1.0", "2.5", 2) and (got["t"]["low"], got["t"]["high"]) == ("2019-12", "2020-01-02T03:04:05Z")
+    assert (got["c"]["distinct"], got["c"]["numbers"], got["c"]["low"]) == (2, 1, None)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from rowloom.frame import TableFrame
 from rowloom.functions.natural import number_text
+from rowloom.functions.patterns import jvm_pattern
 from rowloom.operators import columns as C
 from rowloom.operators import groups as G
 from rowloom.operators import joins as J
@@ -84,6 +85,15 @@ def test_cut_rename_newfield_gsub(spark):
         C.rename(t, [("zz", "a")])
 
 
+def test_patterns(spark):
+    def found(pattern, text):
+        return spark.createDataFrame([(text,)], "x string").select(F.col("x").rlike(jvm_pattern(pattern))).first()[0]
+
+    assert found("^$", "") and found("^b", "a\nb") and not found("^b", "ab") and not found("^b", "a\rb")
+    assert found("a$", "a\nb") and found(r"a\Z", "a\n") and not found(r"a\Z", "a\n\n") and found(r"\h", "x7") and not found(r"[\h]", "xyz")
+    assert found("[^a]", "b") and not found("[^a]", "a") and found(r"\^", "^") and found("(?m)a.b", "a\nb") and not found("a.b", "a\nb")
+
+
 def test_melt_unmelt(spark):
     t = table(spark, "k,x,y", ["1", "a", "b"], ["2", "c", None])
     m = R.melt(t, ["k"], recnum="n")
