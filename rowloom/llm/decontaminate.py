@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.native_text import gram_hashes, grams, within, words
-from rowloom.llm.workspace import ROW, Workspace
+from rowloom.llm.workspace import ROW, Workspace, texts, without
 
 #: Size partitions of test items: (most shingles, rows a band, bands). At containment 0.8 an
 #: item is missed with probability (1 - 0.8 ** rows) ** bands, under 1e-5 in each partition.
@@ -99,5 +99,5 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, k: int = 5, thresho
 def decontaminate(documents: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """The documents, all columns, in which no test item is found; each row is decided by its own text, whatever its doc_id."""
     rows = Workspace(documents.sparkSession, "decontaminated").numbered(documents, "rows")
-    found = contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark, k, threshold)
-    return rows.join(found.select(F.col("doc_id").alias(ROW)).distinct(), ROW, "left_anti").drop(ROW)
+    found = contaminated(texts(rows).select(F.col(ROW).alias("doc_id"), "text"), benchmark, k, threshold)
+    return without(rows, found.select(F.col("doc_id").alias(ROW)))

@@ -38,17 +38,19 @@ def described(documents: DataFrame) -> list:
     ]
 
 
-def fitted_cells(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS, budget: float = BUDGET) -> DataFrame:
-    """(source, lang, topic, copies): expected copies of each document of a cell.
+#: Cells that are raked in one task at most (a few dozen bytes each); beyond, each sum is an exchange.
+TASK_CELLS = 100_000
+
+
+def fitted_cells(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS) -> DataFrame:
+    """The cells(source, lang, topic, tokens) with their raked weight w.
 
     Cell weights start as token sums and are raked: in each sweep, for each marginal in turn,
     every weight is multiplied by target / current sum of its category. Targets (category ->
     share) are brought to sum 1 over the categories present; a category without a given
-    target gets 0, one without tokens is left alone. The sum of tokens times copies is ``budget``
-    times all tokens, in the raked proportions.
+    target gets 0, one without tokens is left alone.
     """
     dims = ["source", "lang", "topic"]
-    cells = rows.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
     cells = cells.withColumn("w", F.col("tokens").cast("double"))
     for d in dims:
         over = Window.partitionBy(d)
@@ -83,12 +85,15 @@ def residuals(rows: DataFrame, cells: DataFrame, targets: dict[str, dict[str, fl
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def mixture(ws: Workspace, rows: DataFrame, **how) -> DataFrame:
-    """The cells with their expected copies, as a written table."""
-    budget = how.pop("budget", BUDGET)
-    cells = ws.save(fitted_cells(rows, **how), "cells")
-    sums = cells.agg(F.sum("tokens").alias("all_tokens"), F.sum("w").alias("all_w")).first()
-    scale = budget * (sums["all_tokens"] or 0) / (sums["all_w"] or 1.0)
+def mixture(ws: Workspace, rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
+    """(source, lang, topic, expected_copies): expected copies of each document of a cell, as a
+    written table. The sum of tokens times copies is ``budget`` times all tokens, in the raked proportions."""
+    sums = ws.save(rows.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "sums")
+    if sums.count() <= TASK_CELLS:
+        sums = sums.coalesce(1)  # so no sum needs an exchange
+    cells = ws.save(fitted_cells(sums, targets), "cells")
+    total = cells.agg(F.sum("tokens").alias("all_tokens"), F.sum("w").alias("all_w")).first()
+    scale = budget * (total["all_tokens"] or 0) / (total["all_w"] or 1.0)
     return cells.select("source", "lang", "topic", (F.col("w") * F.lit(scale) / F.col("tokens")).alias("expected_copies"))
 
 
@@ -122,13 +127,13 @@ def mix_rows(documents: DataFrame, targets: dict[str, dict[str, float]] | None =
     repeat a doc_id, and rows without one, draw the same number. An empty table gives an empty result.
     """
     ws = Workspace(documents.sparkSession, "mixing")
-    cells = mixture(ws, documents.select(*described(documents)), targets=targets, budget=budget)
-    named = documents.select("*", F.struct(*described(documents)[:3]).alias("__cell"))
-    e = F.coalesce(F.col("expected_copies"), F.lit(0.0))
-    cells = cells.select(F.struct("source", "lang", "topic").alias("__cell"), F.col("expected_copies").alias("__e"))
-    both = named.join(cells, "__cell", "left").withColumn("__e", F.coalesce("__e", F.lit(0.0)))
-    extra = unit_hash(seed, F.col("doc_id")) < F.col("__e") - F.floor("__e")
-    return both.withColumn("copies", (F.floor("__e") + extra.cast("int")).cast("long")).where("copies > 0").drop("__cell", "__e")
+    cells = mixture(ws, documents.select(*described(documents)), targets, budget)
+    named = documents.select(F.struct("*").alias("doc"), F.struct(*described(documents)[:3]).alias("cell"))
+    both = named.join(cells.select(F.struct("source", "lang", "topic").alias("cell"), F.col("expected_copies").alias("e")), "cell")
+    extra = unit_hash(seed, F.col("doc.doc_id")) < F.col("e") - F.floor("e")
+    copies = (F.floor("e") + extra.cast("int")).cast("long")
+    kept = [F.col("doc").getField(c).alias(c) for c in documents.columns if c != "copies"]
+    return both.select(*kept, copies.alias("copies")).where("copies > 0")
 
 
 def sql(sweeps: int = SWEEPS, budget: float = BUDGET, seed: str = "mix", documents: str = "documents") -> str:

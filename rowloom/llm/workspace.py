@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from rowloom.workspace import let_workers_import, shared_path
 
-#: The column of :meth:`Workspace.numbered`.
-ROW = "__row"
+#: The columns of :meth:`Workspace.numbered`.
+ROW = "row"
+DOC = "doc"
+
 
 class Workspace:
     """Tables of one operator call, written as Parquet under the shared folder.
@@ -29,8 +31,9 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def numbered(self, df: DataFrame, tag: str) -> DataFrame:
-        """df with a number of its own for each row in ``ROW``, written before use so that it holds."""
-        return self.save(df.withColumn(ROW, F.monotonically_increasing_id()), tag)
+        """(row, doc): a number of its own for each row, written before use so that it holds, and the
+        row itself as a struct, so that its columns may have any names."""
+        return self.save(df.select(F.monotonically_increasing_id().alias(ROW), F.struct("*").alias(DOC)), tag)
 
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
@@ -40,3 +43,13 @@ class Workspace:
     def drop(self, *tags: str) -> None:
         for tag in tags:
             self._delete(f"{self.base}/{tag}")
+
+
+def texts(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, text) of numbered rows."""
+    return rows.select(ROW, f"{DOC}.doc_id", f"{DOC}.text")
+
+
+def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The numbered rows, as they were, that are not rejected by their number."""
+    return rows.join(rejected.select(ROW).distinct(), ROW, "left_anti").select(f"{DOC}.*")

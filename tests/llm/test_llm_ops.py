@@ -526,6 +526,19 @@ def test_extra_columns_and_repeated_rows(spark):
     assert licenses.license_scan(frame).count() == 5
     assert ctw.lm_scores(frame).count() == 5
     assert mixing.mix(frame).count() == 5
+    odd = frame.withColumns({c: F.lit(c) for c in ("cell", "e", "doc", "__row", "copies", "expected_copies", "a.b")})
+    mixed = mixing.mix_rows(odd)
+    assert set(mixed.columns) == set(odd.columns) and mixed.schema["copies"].dataType.simpleString() == "bigint"
+    bench = spark.createDataFrame([(1, "a b c d e f", "x")], "item_id long, text string, w string")
+    assert decontaminate.decontaminate(odd, bench).columns == odd.columns and decontaminate.decontaminate(odd, bench).count() == 0
+    marks = spark.createDataFrame([(0, 1, 0, "x"), (1, 1, 1, "y"), (1, 1, 1, "y")], "doc_id long, quality int, toxic int, text string")
+    more = odd.withColumns({c: F.lit(c) for c in ("score", "predicted", "held_out", "grade", "selected")})
+    assert classifiers.toxicity(more, marks).columns == ["doc_id", "held_out", "score", "predicted"] and classifiers.toxicity(more, marks).count() == 5
+    assert classifiers.quality(more, marks).count() == 5
+    pages = spark.createDataFrame([(1, "u", "h", "z", 5, b"p")], "page_id long, url string, html string, row string, digest int, payload binary")
+    assert [tuple(r)[:2] for r in warc.warc_round_trip(pages.unionByName(pages)).collect()] == [(1, 1), (1, 1)]
+    assert warc.warc_round_trip(pages.limit(0)).count() == 0 and ctw.lm_scores(frame.limit(0)).count() == 0
+    assert licenses.license_scan(frame.limit(0)).count() == 0
     assert set(mixing.mix_rows(frame).columns) == {*frame.columns, "copies"}
 
 
@@ -558,6 +571,11 @@ def test_pipeline_stages(spark, tmp_path):
     assert 180 not in kept["near_dedup"] and 5 in kept["near_dedup"]
     assert 181 not in kept["decontaminate"] and kept["mixing"] <= kept["decontaminate"]
     assert set(frame.columns) == {"doc_id", "text", "lang", "source", "n_chars", "copies"}
+    odd = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns({c: F.lit(1) for c in ("row", "doc", "__row")})
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert set(stage(spark, odd, str(tmp_path)).columns) == set(odd.columns)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["mixing"])
 
 
