@@ -14,30 +14,25 @@ from rowloom.llm.classifiers import quality, toxicity
 from rowloom.llm.decontaminate import decontaminate
 from rowloom.llm.mixing import mix_rows
 from rowloom.llm.near_dedup import near_dedup
-from rowloom.llm.workspace import ROW, Workspace
+from rowloom.llm.workspace import DOC, ROW, Workspace, texts, without
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The numbered rows, all columns but the number, that are not rejected."""
-    return rows.join(rejected.select(ROW), ROW, "left_anti").drop(ROW)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier predicts toxic go (a score equal to the threshold is toxic).
     Empty texts get the score of a text without features; equal rows stay or go together."""
     rows = Workspace(spark, "toxicity").numbered(docs, "rows")
-    return _without(rows, toxicity(rows, _table(spark, sf_dir, "labels"), key=ROW).where("predicted = 1"))
+    return without(rows, toxicity(texts(rows), _table(spark, sf_dir, "labels"), key=ROW).where("predicted = 1"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not select go (a probability equal to the
     threshold is selected). Empty texts are graded by their size alone; equal rows stay or go together."""
     rows = Workspace(spark, "quality").numbered(docs, "rows")
-    return _without(rows, quality(rows, _table(spark, sf_dir, "labels"), key=ROW).where("not selected"))
+    return without(rows, quality(texts(rows), _table(spark, sf_dir, "labels"), key=ROW).where("not selected"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +40,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     with the smallest doc_id, one with a null id only where the group has no other. Texts without
     words are no near-duplicates; of those that repeat a doc_id one stays."""
     rows = Workspace(spark, "near-copies").numbered(docs, "rows")
-    found = near_dedup(rows.select(F.col(ROW).alias("doc_id"), "text")).withColumnRenamed("doc_id", ROW)
-    named = found.join(rows.select(ROW, "doc_id"), ROW)
+    found = near_dedup(texts(rows).select(F.col(ROW).alias("doc_id"), "text")).withColumnRenamed("doc_id", ROW)
+    named = found.join(texts(rows).select(ROW, "doc_id"), ROW)
     blank = F.col("n_shingles") == 0
     group = [F.when(blank & F.col("doc_id").isNotNull(), None).otherwise(F.col("component_id")).alias("group"), F.when(blank, F.col("doc_id")).alias("repeated")]
     first = named.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)).alias("first"))
-    return rows.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").drop(ROW)
+    return rows.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").select(f"{DOC}.*")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
