@@ -70,20 +70,8 @@ def _distinct_words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.
         yield at, end, data, starts[one], ends[one], row, word
 
 
-def ngram_scores(texts: pa.Array, weights: np.ndarray, spec: NgramSpec) -> np.ndarray:
-    """Sum of weights over the n-grams of each text's distinct words."""
-    out = np.zeros(len(texts))
-    for at, end, data, starts, ends, row, word in _distinct_words(texts):
-        if len(starts):
-            owner, feature = word_ngrams(data, starts, ends, spec)
-            each = np.bincount(owner, weights=weights[feature], minlength=len(starts))
-            out[at:end] = np.bincount(row, weights=each[word], minlength=end - at)
-    return out
-
-
-def ngram_rows(texts: pa.Array, spec: NgramSpec, keep: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, feature, number of distinct words' places that hold it), a chunk of texts at a
-    time; only features marked in ``keep``."""
+def ngram_rows(texts: pa.Array, spec: NgramSpec, keep: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, feature), distinct and in order, a chunk of texts at a time; only features marked in ``keep``."""
     for at, _, data, starts, ends, row, word in _distinct_words(texts):
         if not len(starts):
             continue
@@ -96,8 +84,8 @@ def ngram_rows(texts: pa.Array, spec: NgramSpec, keep: np.ndarray | None = None)
         first = np.concatenate([[0], np.cumsum(count)])
         reps = count[word]
         slot = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(first[word], reps)
-        r, c, n = _sorted_counts(np.repeat(row, reps), feature[order][slot], 1 << spec.bits)
-        yield (r + at).astype(np.int32), c.astype(np.int32), n.astype(np.int32)
+        r, c, _ = _sorted_counts(np.repeat(row, reps), feature[order][slot], 1 << spec.bits)
+        yield (r + at).astype(np.int32), c.astype(np.int32)
 
 
 # --- a bounded sample of labelled texts -------------------------------------------------------
@@ -133,21 +121,25 @@ def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
 
 @dataclass(frozen=True)
 class Features:
-    """What the driver holds of the sample: a grade a text, and (text, feature, value) triples."""
+    """What the driver holds of the sample: a grade a text, and its features, (text, feature) or
+    (text, feature, value)."""
 
     grades: np.ndarray
     rows: np.ndarray
     cols: np.ndarray
-    values: np.ndarray
+    values: np.ndarray | None = None
 
 
 def _gathered(features: DataFrame) -> Features:
-    """From (doc_id, grade, cols, vals), no more rows than the sample has."""
+    """From (doc_id, grade, cols) and vals, if there are values; no more rows than the sample has."""
     got = features.toArrow().sort_by("doc_id").combine_chunks()
-    cols, vals = (got[c].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("cols", "vals"))
-    sizes = np.diff(cols.offsets.to_numpy()) if got.num_rows else np.empty(0, dtype=np.int64)
-    rows = np.repeat(np.arange(got.num_rows, dtype=np.int32), sizes)
-    return Features(got["grade"].to_numpy().astype(np.int64), rows, cols.flatten().to_numpy(), vals.flatten().to_numpy())
+    if not got.num_rows:
+        none = np.empty(0, dtype=np.int64)
+        return Features(none, none, none, none)
+    cols = got["cols"].combine_chunks()
+    rows = np.repeat(np.arange(got.num_rows, dtype=np.int32), np.diff(cols.offsets.to_numpy()))
+    values = got["vals"].combine_chunks().flatten().to_numpy() if "vals" in got.column_names else None
+    return Features(got["grade"].to_numpy().astype(np.int64), rows, cols.flatten().to_numpy(), values)
 
 
 # --- toxicity ---------------------------------------------------------------------------------
@@ -160,7 +152,11 @@ class ToxicityModel:
     bias: float
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(ngram_scores(texts, self.weights, self.spec) + self.bias, -40, 40)))
+        """As fitted: each weighty n-gram of a text counts once."""
+        total = np.full(len(texts), self.bias)
+        for rows, cols in ngram_rows(texts, self.spec, self.weights != 0.0):
+            total += np.bincount(rows, weights=self.weights[cols], minlength=len(texts))
+        return 1.0 / (1.0 + np.exp(-np.clip(total, -40, 40)))
 
 
 #: A feature counts when so many fitted texts hold it and its log-count ratio is so far from 0;
@@ -178,8 +174,7 @@ def log_count_ratio(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def fit_toxicity(seen: Features, ratio: np.ndarray, spec: NgramSpec = NgramSpec(), steps: int = 100, ridge: float = 1e-2) -> ToxicityModel:
-    """Logistic regression on n-gram features, as often as a text's distinct words hold them,
-    each scaled by its log-count ratio.
+    """Logistic regression on binary n-gram features, each scaled by its log-count ratio.
 
     The ridge acts on the scaled features, so a feature's weight grows with the square of its
     ratio; fitted by accelerated gradient descent. Texts of the rarer class weigh as much
@@ -192,7 +187,7 @@ def fit_toxicity(seen: Features, ratio: np.ndarray, spec: NgramSpec = NgramSpec(
         share = (toxic.sum() + 0.5) / (len(toxic) + 1.0)
         return ToxicityModel(spec, np.zeros(width, dtype=np.float32), float(np.log(share / (1 - share))))
     rows, cols = seen.rows, seen.cols
-    value = ratio[cols] * seen.values
+    value = ratio[cols]
     weigh = np.where(toxic > 0, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean())) / len(toxic)
 
     def times(w):
@@ -223,7 +218,7 @@ def _text_counts(batches: Iterator[pa.RecordBatch], spec: NgramSpec) -> Iterator
     p, q = (np.zeros(1 << spec.bits, dtype=np.int64) for _ in "pq")
     for batch in batches:
         toxic = batch["grade"].to_numpy() > 0
-        for rows, cols, _ in ngram_rows(batch["text"], spec):
+        for rows, cols in ngram_rows(batch["text"], spec):
             p += np.bincount(cols[toxic[rows]], minlength=len(p))
             q += np.bincount(cols[~toxic[rows]], minlength=len(q))
     held = np.flatnonzero(p + q)
@@ -233,11 +228,9 @@ def _text_counts(batches: Iterator[pa.RecordBatch], spec: NgramSpec) -> Iterator
 def _text_ngrams(batches: Iterator[pa.RecordBatch], spec: NgramSpec, keep) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         none = np.empty(0, dtype=np.int32)
-        parts = [(none, none, none), *ngram_rows(batch["text"], spec, keep.value)]
-        rows, cols, counts = (np.concatenate([x[i] for x in parts]) for i in range(3))
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["grade"], _lists(rows, cols, batch.num_rows), _lists(rows, counts, batch.num_rows)], names=["doc_id", "grade", "cols", "vals"]
-        )
+        parts = [(none, none), *ngram_rows(batch["text"], spec, keep.value)]
+        rows, cols = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["grade"], _lists(rows, cols, batch.num_rows)], names=["doc_id", "grade", "cols"])
 
 
 def toxicity_model(sample: DataFrame, spec: NgramSpec = NgramSpec()) -> ToxicityModel:
@@ -247,7 +240,7 @@ def toxicity_model(sample: DataFrame, spec: NgramSpec = NgramSpec()) -> Toxicity
     p, q = (np.bincount(counts["feature"].to_numpy(), weights=counts[c].to_numpy(), minlength=1 << spec.bits) for c in "pq")
     ratio = log_count_ratio(p, q)
     keep = sample.sparkSession.sparkContext.broadcast(ratio != 0.0)
-    seen = _gathered(sample.mapInArrow(partial(_text_ngrams, spec=spec, keep=keep), "doc_id long, grade int, cols array<int>, vals array<int>"))
+    seen = _gathered(sample.mapInArrow(partial(_text_ngrams, spec=spec, keep=keep), "doc_id long, grade int, cols array<int>"))
     keep.destroy()
     return fit_toxicity(seen, ratio, spec)
 

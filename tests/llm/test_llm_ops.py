@@ -410,14 +410,14 @@ def test_toxicity_fit_against_brute_force(spark):
     frame = docs(spark, *texts).select("doc_id", "text", (F.col("doc_id") % 3 == 0).cast("int").alias("grade"))
     spec = classifiers.NgramSpec(bits=12)
     model = classifiers.toxicity_model(frame, spec)
-    held = []  # by text: how many of its distinct words' places hold each feature
+    held = []  # the features of each text
     for t in texts:
         data = np.frombuffer(t.encode(), dtype=np.uint8)
         starts, ends, _ = classifiers.word_spans(data, np.array([0, len(data)]))
         spans = {bytes(data[a:b]): (a, b) for a, b in zip(starts, ends, strict=True)}
         at = np.array(list(spans.values()))
         held.append(Counter(classifiers.word_ngrams(data, at[:, 0], at[:, 1], spec)[1].tolist()))
-    x = np.array([[h.get(f, 0) for f in range(1 << spec.bits)] for h in held], dtype=float)
+    x = np.array([[f in h for f in range(1 << spec.bits)] for h in held], dtype=float)
     toxic = np.arange(90) % 3 == 0
     p, q = ((x[rows] > 0).sum(axis=0) + 1.0 for rows in (toxic, ~toxic))
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
@@ -431,6 +431,17 @@ def test_toxicity_fit_against_brute_force(spark):
     assert np.abs(z.T @ miss + 1e-2 * w).max() < 0.01 and abs(miss.sum()) < 0.01
 
 
+def test_toxicity_of_texts_of_all_lengths(spark):
+    rng = random.Random(16)
+    texts = [words(rng, 10 ** rng.randrange(1, 4) * rng.randrange(1, 9), 4000) for _ in range(300)] + [words(rng, 20_000, 4000)]
+    toxic = [i % 3 == 0 for i in range(len(texts))]
+    for t in (t for t, bad in zip(texts, toxic, strict=True) if bad):
+        t[rng.randrange(len(t))] = "vile" + rng.choice(["ness", "stem", "ly"])
+    marks = spark.createDataFrame([(i, 1, int(bad)) for i, bad in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    got = by_id(classifiers.toxicity(docs(spark, *[" ".join(t) for t in texts]), marks))
+    assert sum(got[i]["predicted"] == toxic[i] for i in range(len(texts))) >= 0.97 * len(texts)
+
+
 def test_quality_fit_against_brute_force(spark):
     rng = random.Random(15)
     texts = [" ".join(w.upper() if rng.random() < (i % 3) / 2 else w for w in words(rng, 30)) for i in range(90)]
