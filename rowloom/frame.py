@@ -21,6 +21,18 @@ ABSENT = "__absent"
 WIDTH = "__width"
 
 
+#: Fields that a table has at most where its header comes from its rows.
+HEADER_FIELDS = 10_000
+
+
+def header(names: DataFrame) -> list:
+    """The one column of a small ordered table, as a header; more names than a plan can hold are an error."""
+    rows = names.limit(HEADER_FIELDS + 1).collect()
+    if len(rows) > HEADER_FIELDS:
+        raise ValueError(f"more than {HEADER_FIELDS} fields")
+    return [r[0] for r in rows]
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
+from functools import cmp_to_key
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowloom.frame import POS, TableFrame, field
 from rowloom.functions.natural import natural_key
 from rowloom.operators.groups import group
 from rowloom.operators.rows import ROW, islands, numbered, with_following
+from rowloom.workspace import let_workers_import, written
 
 
 def sort_keys(table: TableFrame, fields: Sequence[str] | None = None, reverse: bool = False) -> list[Column]:
@@ -30,6 +34,55 @@ def sort_unique(table: TableFrame, fields: Sequence[str], aggs: Sequence[str | t
     return group(table, fields, aggs).ordered()
 
 
+#: Sampled rows for each part of a sort by a comparator.
+SAMPLED = 32
+
+
+def sort_with(table: TableFrame, compare: Callable[[dict, dict], int], parts: int | None = None) -> TableFrame:
+    """Rows in the order of ``compare(a, b)``, below, at or above 0 for rows as dicts of their fields;
+    equal rows keep their order.
+
+    Bounds come from a written sample of rows, each with its number, so that equal rows can be split too; rows
+    are dealt to ``parts`` (by default the shuffle partitions) by looking their place among the bounds up, and each part is
+    sorted in a task of its own. For orders that no key expresses: rows go through Python.
+    """
+    spark = table.df.sparkSession
+    let_workers_import(spark)
+    rows = written(numbered(table).select(ROW, *[field(f) for f in table.fields]), "unsorted")
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def both(a: dict, b: dict) -> int:
+        return compare(a, b) or a[ROW] - b[ROW]
+
+    sample = [r.asDict() for r in rows.orderBy(F.xxhash64(ROW)).limit(SAMPLED * parts).collect()]
+    bounds = sorted(sample, key=cmp_to_key(both))[SAMPLED::SAMPLED]
+
+    def dealt(frames: Iterator) -> Iterator:
+        key = cmp_to_key(both)
+        marks = [key(b) for b in bounds]
+        for frame in frames:
+            frame["__part"] = [bisect_right(marks, key(r)) for r in _dicts(frame)]
+            yield frame
+
+    def ordered(frame):
+        frame = frame.reset_index(drop=True)
+        records = _dicts(frame)
+        key = cmp_to_key(both)
+        order = sorted(range(len(records)), key=lambda i: key(records[i]))
+        out = frame.iloc[order].copy()
+        out["__in"] = range(len(out))
+        return out
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("__part", T.LongType())])
+    placed = rows.mapInPandas(dealt, schema).groupBy("__part").applyInPandas(ordered, T.StructType([*schema.fields, T.StructField("__in", T.LongType())]))
+    return table.having(placed.select(F.struct("__part", "__in").alias(POS), *[field(f) for f in table.fields]))
+
+
+def _dicts(frame) -> list[dict]:
+    """Rows with None for what is missing."""
+    return frame.astype(object).where(frame.notna(), None).to_dict("records")
+
+
 def ranked(table: TableFrame, fields: Sequence[str] | None = None) -> DataFrame:
     """The fields and ``rank``, the row's place (from 1) in natural order."""
     keys = [natural_key(field(f), table.dtype(f)) for f in (fields or table.fields)]

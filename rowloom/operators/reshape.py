@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.frame import ABSENT, POS, WIDTH, TableFrame, field
+from rowloom.frame import ABSENT, POS, WIDTH, TableFrame, field, header
 from rowloom.functions.natural import cell_text, natural_key
 from rowloom.operators.rows import ROW, islands, numbered
 from rowloom.sources.formats import csv_cells
@@ -44,7 +44,7 @@ def unmelt(table: TableFrame, keys: Sequence[str] | None = None, recnum: str | N
     runs = islands(table, F.struct(*[field(k) for k in [*keys, *([recnum] if recnum else [])]], F.lit(0).alias("__any")))
     if names is None:
         found = table.df.groupBy(field(variable).alias("v")).agg(F.min(POS).alias("p")).orderBy("p")
-        names = [r["v"] for r in found.collect() if r["v"] not in keys]  # the header
+        names = [n for n in header(found.select("v")) if n not in keys]
     cells = F.array_sort(F.collect_list(F.struct(F.col(ROW).alias("row"), field(variable).alias("k"), field(value).cast("string").alias("v"))))
     # A greedy scan: the accumulator holds the open record's names and the records so far.
     entry = "array<struct<k:string,v:string>>"
@@ -116,7 +116,7 @@ def unnest(table: TableFrame, name: str, prefix: str = "", outer: bool = False,
         if names is None:
             heads = table.df.select(POS, F.explode(items).alias("m")).select(POS, F.posexplode(F.map_keys("m")).alias("i", "n"))
             found = heads.groupBy("n").agg(F.min(F.struct(POS, "i")).alias("p")).orderBy("p")
-            names = [r["n"] for r in found.collect()]  # the header
+            names = header(found.select("n"))
         pick = lambda n: F.col("__x")[n]
     new = [prefix + n for n in names]
     at = table.fields.index(name)
@@ -182,11 +182,11 @@ def shape(tables: Sequence[tuple[str, TableFrame]]) -> DataFrame:
     for name, t in tables:
         pairs = F.lit(len(t.fields)) - (F.size(ABSENT) if t.ragged else F.lit(0))
         width = F.col(WIDTH) if WIDTH in t.df.columns else F.lit(None).cast("int")
-        header = F.lit(t.header_width).cast("long") if t.header_width is not None else F.lit(None).cast("long")
+        told = F.lit(t.header_width).cast("long")
         parts.append(t.df.agg(
             F.lit(name).alias("filename"), F.count(F.lit(1)).alias("records"), F.min(pairs).cast("long").alias("min_pairs"), F.max(pairs).cast("long").alias("max_pairs"),
             F.min(width).cast("long").alias("min_fields"), F.max(width).cast("long").alias("max_fields"),
-        ).select("filename", "records", "min_pairs", "max_pairs", header.alias("header_fields"), "min_fields", "max_fields"))
+        ).select("filename", "records", "min_pairs", "max_pairs", told.alias("header_fields"), "min_fields", "max_fields"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

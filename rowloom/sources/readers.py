@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.frame import ABSENT, POS, WIDTH, TableFrame
+from rowloom.frame import ABSENT, POS, WIDTH, TableFrame, header
 from rowloom.operators.columns import cat
 from rowloom.operators.rows import ROW, numbered
 from rowloom.sources.formats import LTSV_ESCAPES, csv_cells, pnm_rows, resolve_format
@@ -105,7 +105,7 @@ def positional(g: DataFrame) -> TableFrame:
 def _in_order(df: DataFrame) -> list[str]:
     """Names in (row, keys) in the order they first appear; the header, a name a field."""
     keys = df.select("row", F.posexplode("keys").alias("i", "k")).groupBy("k").agg(F.min(F.struct("row", "i")).alias("p")).orderBy("p")
-    return [r["k"] for r in keys.collect()]
+    return header(keys.select("k"))
 
 
 def _unquoted(text: Column) -> Column:

@@ -189,6 +189,17 @@ def test_outer_join_merge_and_unique_sort(spark):
     assert cells(O.sort_unique(a, ["k"], ["values(x)"])) == [(None, "n"), ("9", "q,r"), ("10", "p")]
 
 
+def test_sort_by_a_comparator(spark):
+    def beats(a, b):
+        return len(b["w"] or "") - len(a["w"] or "")
+
+    words = ["aa", "b", None, "cccc", "dd", "e", "f" * 9] * 40
+    t = table(spark, "w,n", *[[w, str(i)] for i, w in enumerate(words)])
+    want = sorted(range(len(words)), key=lambda i: -len(words[i] or ""))
+    assert [(r["w"], int(r["n"])) for r in O.sort_with(t, beats, parts=4).ordered().collect()] == [(words[i], i) for i in want]
+    assert O.sort_with(t.having(t.df.limit(0)), beats).df.count() == 0
+
+
 def test_unmelt_lacking_cells(spark):
     long = table(spark, "k,variable,value", ["1", "x", "a"], ["2", "y", "b"])
     from rowloom.sources.writers import lines
