@@ -56,9 +56,14 @@ def written(df: DataFrame, tag: str = "table") -> DataFrame:
     return back.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(df.columns)])
 
 
-def release() -> None:
-    """Delete all tables written so far; nothing may read them any more."""
-    while _made:
+def mark() -> int:
+    """A point to which :func:`release` can go back."""
+    return len(_made)
+
+
+def release(since: int = 0) -> None:
+    """Delete the tables written so far, or since a mark; nothing may read them any more."""
+    while len(_made) > since:
         spark, path = _made.pop()
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
