@@ -8,6 +8,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -252,8 +253,15 @@ def _scored(batches: Iterator[pa.RecordBatch], score: Callable, names: list[str]
                                          names=[*(c for c in batch.schema.names if c != "text"), *names])
 
 
-def _keyed(key: str | None) -> str:
-    return f"`{key}` long, " if key else ""
+def _kept(documents: DataFrame, keeps: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The documents, all columns, whose text a model keeps: one pass, no exchange."""
+    rows = documents.select(F.struct("*").alias("doc"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keeps(pc.struct_field(batch["doc"], "text").cast(pa.string()))))
+
+    return rows.mapInArrow(run, rows.schema).select("doc.*")
 
 
 def _shared(spark: SparkSession, model):
@@ -261,30 +269,38 @@ def _shared(spark: SparkSession, model):
     return spark.sparkContext.broadcast(model)
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE_ROWS, key: str | None = None) -> DataFrame:
+def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE_ROWS) -> DataFrame:
     """Score every whole text for toxicity.
 
     The classifier is fitted on a bounded sample (``sample`` labelled rows at most, whose id's crc32
     modulo 4 is not 2, with their whole texts); labels, lang, source and doc_id are no inputs of a score. Result:
-    doc_id, held_out (that remainder is 2), score (0 to 1), predicted (1 if score >= threshold);
-    first of all ``key``, if named: a long column that tells the rows of ``documents`` apart.
+    doc_id, held_out (that remainder is 2), score (0 to 1), predicted (1 if score >= threshold).
 
     Null or empty texts get the score of a text without features; long ones are scored whole. Repeated rows give equal
     rows; a null doc_id counts as not held out and is never learnt from. A score equal to the threshold is toxic. Extra columns are ignored, an empty table
     gives an empty result, and without labels the score is constant.
     """
-    ws = Workspace(documents.sparkSession, "toxicity-fit")
-    model = _shared(documents.sparkSession, toxicity_model(labelled_sample(ws, documents, labels, F.col("toxic"), fold("doc_id", 4) != 2, sample)))
+    model = _toxicity(documents, labels, sample)
 
     def score(texts: pa.Array):
         s = model.value.score(texts)
         return s, (s >= threshold).astype(np.int32)
 
     rows = documents.select(
-        *([key] if key else []), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
-        F.col("text").cast("string").alias("text"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text")
     )
-    return rows.mapInArrow(lambda b: _scored(b, score, ["score", "predicted"]), f"{_keyed(key)}doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lambda b: _scored(b, score, ["score", "predicted"]), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def _toxicity(documents: DataFrame, labels: DataFrame, sample: int):
+    ws = Workspace(documents.sparkSession, "toxicity-fit")
+    return _shared(documents.sparkSession, toxicity_model(labelled_sample(ws, documents, labels, F.col("toxic"), fold("doc_id", 4) != 2, sample)))
+
+
+def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents, all columns, that :func:`toxicity` would not predict toxic, each row by its own text."""
+    model = _toxicity(documents, labels, sample)
+    return _kept(documents, lambda texts: model.value.score(texts) < threshold)
 
 
 # --- quality ----------------------------------------------------------------------------------
@@ -416,25 +432,20 @@ def quality_model(sample: DataFrame, n_grades: int, spec: QualitySpec = QualityS
 
 
 def quality(documents: DataFrame, labels: DataFrame, grade: F.Column | None = None, n_grades: int = 3,
-            threshold: float = 0.5, sample: int = SAMPLE_ROWS, key: str | None = None) -> DataFrame:
+            threshold: float = 0.5, sample: int = SAMPLE_ROWS) -> DataFrame:
     """Grade every whole text by ordinal regression on hashed text features.
 
     ``grade`` is an expression over ``labels`` giving 0 .. n_grades - 1; by default 0 for low
     quality, 1 for good but toxic and 2 for good text. The model is fitted on a bounded sample of
     ``sample`` labelled rows whose id's crc32 modulo 4 is not 2. Result: doc_id, held_out,
     expected_grade, p_good (probability of grade 1 or more), predicted_grade (the likeliest),
-    selected (p_good >= threshold); first of all ``key``, if named: a long column that tells
-    the rows of ``documents`` apart.
+    selected (p_good >= threshold).
 
     Null or empty texts are graded by their size feature alone. Repeated rows give equal
     rows; a null doc_id counts as not held out. Extra columns are ignored, an empty table
     gives an empty result; labels outside the grades, or null, are not learnt from.
     """
-    if grade is None:
-        grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
-    grade = F.when(grade.between(0, n_grades - 1), grade)
-    ws = Workspace(documents.sparkSession, "quality-fit")
-    model = _shared(documents.sparkSession, quality_model(labelled_sample(ws, documents, labels, grade, fold("doc_id", 4) != 2, sample), n_grades))
+    model = _quality(documents, labels, grade, n_grades, sample)
 
     def score(texts: pa.Array):
         tails = model.value.tails(texts)
@@ -442,10 +453,23 @@ def quality(documents: DataFrame, labels: DataFrame, grade: F.Column | None = No
         return tails.sum(axis=1), tails[:, 0].copy(), mass.argmax(axis=1).astype(np.int32), tails[:, 0] >= threshold
 
     rows = documents.select(
-        *([key] if key else []), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
-        F.col("text").cast("string").alias("text"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text")
     )
     return rows.mapInArrow(
         lambda b: _scored(b, score, ["expected_grade", "p_good", "predicted_grade", "selected"]),
-        f"{_keyed(key)}doc_id long, held_out boolean, expected_grade double, p_good double, predicted_grade int, selected boolean",
+        "doc_id long, held_out boolean, expected_grade double, p_good double, predicted_grade int, selected boolean",
     )
+
+
+def _quality(documents: DataFrame, labels: DataFrame, grade: F.Column | None, n_grades: int, sample: int):
+    if grade is None:
+        grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    grade = F.when(grade.between(0, n_grades - 1), grade)
+    ws = Workspace(documents.sparkSession, "quality-fit")
+    return _shared(documents.sparkSession, quality_model(labelled_sample(ws, documents, labels, grade, fold("doc_id", 4) != 2, sample), n_grades))
+
+
+def without_poor(documents: DataFrame, labels: DataFrame, grade: F.Column | None = None, n_grades: int = 3, threshold: float = 0.5, sample: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents, all columns, that :func:`quality` would select, each row by its own text."""
+    model = _quality(documents, labels, grade, n_grades, sample)
+    return _kept(documents, lambda texts: model.value.tails(texts)[:, 0] >= threshold)

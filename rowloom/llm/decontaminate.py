@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.native_text import gram_hashes, grams, within, words
-from rowloom.llm.workspace import ROW, Workspace, texts, without
+from rowloom.llm.workspace import Workspace
 
 #: Size partitions of test items: (most shingles, rows a band, bands). At containment 0.8 an
 #: item is missed with probability (1 - 0.8 ** rows) ** bands, under 1e-5 in each partition.
@@ -45,17 +45,37 @@ def item_minima(shingles: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, minima: DataFrame, spans: list[int]) -> DataFrame:
-    """(doc_id, item) of every document that holds all minima of one band of an item; ``spans``
+    """(key, item) of every document that holds all minima of one band of an item; ``spans``
     are the lengths of the items' shingles.
 
-    docs(doc_id, w) keeps its whole shingle stream, in which the minima are looked up: those of a
+    docs(key, w) keeps its whole shingle stream, in which the minima are looked up: those of a
     ten-shingle item would vanish among the minima of a long document.
     """
     hashes = F.concat(*[gram_hashes(F.col("w"), n) for n in spans]) if spans else F.array().cast("array<bigint>")
-    stream = docs.select("doc_id", F.explode(hashes).alias("h"))
-    held = stream.join(minima, "h").groupBy("doc_id", "item", "rows", "bands").agg(F.bit_or("mask").alias("mask"))
+    stream = docs.select("key", F.explode(hashes).alias("h"))
+    held = stream.join(minima, "h").groupBy("key", "item", "rows", "bands").agg(F.bit_or("mask").alias("mask"))
     full = F.expr("exists(sequence(0, bands - 1), j -> (shiftrightunsigned(mask, j * rows) & (shiftleft(1L, rows) - 1)) = shiftleft(1L, rows) - 1)")
-    return held.where(full).select("doc_id", "item")
+    return held.where(full).select("key", "item")
+
+
+def found_items(texts: DataFrame, benchmark: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(key, item_id, n_shared, n) for every test item found in the texts(key, text); rows of one key are one text."""
+    ws = Workspace(texts.sparkSession, "decontaminate")
+    shingles = item_shingles(ws, benchmark, k)
+    minima = ws.save(item_minima(shingles), "minima")
+    facts = shingles.agg(F.count(F.lit(1)).alias("rows"), F.collect_set("span").alias("spans")).first()
+    spans = sorted(facts["spans"])
+
+    def docs(of: DataFrame) -> DataFrame:
+        return of.select("key", words(F.col("text")).alias("w"))
+
+    tried = ws.save(candidates(docs(texts), within(minima.count(), minima), spans), "candidates")
+    again = docs(texts.join(tried.select("key").distinct(), "key", "left_semi"))
+    found = F.concat(*[grams(F.col("w"), n) for n in spans]) if spans else F.array().cast("array<string>")
+    stream = again.select("key", F.explode(found).alias("found")).withColumn("h", F.xxhash64(F.split("found", " ")))
+    hits = stream.join(within(facts["rows"], shingles), "h").where("found = gram").select("key", "item", "item_id", "n", "h").distinct()
+    pairs = hits.join(tried, ["key", "item"], "left_semi").groupBy("key", "item", "item_id", "n").agg(F.count(F.lit(1)).alias("n_shared"))
+    return pairs.where(100 * F.col("n_shared") >= round(100 * threshold) * F.col("n")).drop("item")
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -74,30 +94,16 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, k: int = 5, thresho
     could name them (:func:`decontaminate` decides rows, whatever their id). Containment equal to
     the threshold counts as found. Extra columns are ignored; empty tables give an empty result.
     """
-    ws = Workspace(documents.sparkSession, "decontaminate")
-    shingles = item_shingles(ws, benchmark, k)
-    minima = ws.save(item_minima(shingles), "minima")
-    facts = shingles.agg(F.count(F.lit(1)).alias("rows"), F.collect_set("span").alias("spans")).first()
-    spans = sorted(facts["spans"])
-
-    def docs(of: DataFrame) -> DataFrame:
-        return of.select("doc_id", words(F.col("text")).alias("w"))
-
-    named = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tried = ws.save(candidates(docs(named), within(minima.count(), minima), spans), "candidates")
-    again = docs(named.join(tried.select("doc_id").distinct(), "doc_id", "left_semi"))
-    found = F.concat(*[grams(F.col("w"), n) for n in spans]) if spans else F.array().cast("array<string>")
-    stream = again.select("doc_id", F.explode(found).alias("found")).withColumn("h", F.xxhash64(F.split("found", " ")))
-    hits = stream.join(within(facts["rows"], shingles), "h").where("found = gram").select("doc_id", "item", "item_id", "n", "h").distinct()
-    pairs = hits.join(tried, ["doc_id", "item"], "left_semi").groupBy("doc_id", "item", "item_id", "n").agg(F.count(F.lit(1)).alias("n_shared"))
-    return (
-        pairs.where(100 * F.col("n_shared") >= round(100 * threshold) * F.col("n"))
-        .select("doc_id", "item_id", "n_shared", F.col("n").cast("long").alias("n_item"), F.round(F.col("n_shared") / F.col("n"), 9).alias("containment"))
+    named = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+    return found_items(named, benchmark, k, threshold).select(
+        F.col("key").alias("doc_id"), "item_id", "n_shared", F.col("n").cast("long").alias("n_item"), F.round(F.col("n_shared") / F.col("n"), 9).alias("containment")
     )
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents, all columns, in which no test item is found; each row is decided by its own text, whatever its doc_id."""
-    rows = Workspace(documents.sparkSession, "decontaminated").numbered(documents, "rows")
-    found = contaminated(texts(rows).select(F.col(ROW).alias("doc_id"), "text"), benchmark, k, threshold)
-    return without(rows, found.select(F.col("doc_id").alias(ROW)))
+    """The documents, all columns, in which no test item is found; each row is decided by its own
+    text, whatever its doc_id. The key of a text is its 128-bit digest, so nothing is numbered."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = documents.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"), F.struct("*").alias("doc"))
+    found = found_items(keyed.select("key", "text"), benchmark, k, threshold)
+    return keyed.drop("text").join(found.select("key").distinct(), "key", "left_anti").select("doc.*")

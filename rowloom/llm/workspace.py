@@ -48,8 +48,3 @@ class Workspace:
 def texts(rows: DataFrame) -> DataFrame:
     """(row, doc_id, text) of numbered rows."""
     return rows.select(ROW, f"{DOC}.doc_id", f"{DOC}.text")
-
-
-def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The numbered rows, as they were, that are not rejected by their number."""
-    return rows.join(rejected.select(ROW).distinct(), ROW, "left_anti").select(f"{DOC}.*")
