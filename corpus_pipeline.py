@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.classifiers import quality, toxicity
+from rowloom.llm.classifiers import without_poor, without_toxic
 from rowloom.llm.decontaminate import decontaminate
 from rowloom.llm.mixing import mix_rows
 from rowloom.llm.near_dedup import near_dedup
-from rowloom.llm.workspace import DOC, ROW, Workspace, texts, without
+from rowloom.llm.workspace import DOC, ROW, Workspace, texts
+from rowloom.workspace import mark, release
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,15 +25,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier predicts toxic go (a score equal to the threshold is toxic).
     Empty texts get the score of a text without features; equal rows stay or go together."""
-    rows = Workspace(spark, "toxicity").numbered(docs, "rows")
-    return without(rows, toxicity(texts(rows), _table(spark, sf_dir, "labels"), key=ROW).where("predicted = 1"))
+    return without_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not select go (a probability equal to the
     threshold is selected). Empty texts are graded by their size alone; equal rows stay or go together."""
-    rows = Workspace(spark, "quality").numbered(docs, "rows")
-    return without(rows, quality(texts(rows), _table(spark, sf_dir, "labels"), key=ROW).where("not selected"))
+    return without_poor(docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +76,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = _table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        before = mark()
         docs = ws.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+        release(before)  # the stage's own tables
         if k:
             ws.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
