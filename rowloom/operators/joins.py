@@ -7,24 +7,63 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowloom.frame import POS, TableFrame, field
 from rowloom.functions.aggregates import in_order
 from rowloom.functions.natural import natural_key
 
+#: A table of at most so many bytes is dealt out before a join; a larger one comes in parts of its own.
+DEAL_MOST = 256 << 20
+#: It is dealt out where its bytes times the other table's are this many at least, and the other's are OTHER_LEAST.
+DEAL_PAIRS, OTHER_LEAST = 1 << 36, 16 << 10
+#: Tasks that a table is dealt to at least.
+DEAL_PARTS = 64
+#: Key types with room for a null beside them in a long.
+_NARROW = (T.ByteType, T.ShortType, T.IntegerType)
 
-def natjoin(a: TableFrame, b: TableFrame, left: bool = False, right: bool = False, missing=None) -> TableFrame:
+
+def _bytes(df: DataFrame) -> int:
+    """Spark's estimate, that of a join being the product of its sides."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _dealt(df: DataFrame, size: int, other: int) -> DataFrame:
+    """A small table can be one task's whatever a join makes of it, so rows that may meet many partners are
+    dealt out evenly first."""
+    if size > DEAL_MOST or other < OTHER_LEAST or size * other < DEAL_PAIRS:
+        return df
+    return df.repartition(max(DEAL_PARTS, 4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
+def _equal(a: TableFrame, b: TableFrame, f: str):
+    """Plain equality, null to null; narrow integers as one long each, which Spark's hash tables hold by itself."""
+    x, y = field(f"a.{f}"), field(f"b.{f}")
+    if isinstance(a.dtype(f), _NARROW) and isinstance(b.dtype(f), _NARROW):
+        return F.coalesce(x.cast("long"), F.lit(1 << 40)) == F.coalesce(y.cast("long"), F.lit(1 << 40))
+    return x.eqNullSafe(y)
+
+
+def natjoin(a: TableFrame, b: TableFrame, left: bool = False, right: bool = False, missing=None, later: int = 0) -> TableFrame:
     """Join on every shared field, by plain equality (null equals null); ``left`` and ``right`` keep rows
     without a partner, whose other fields get ``missing``. Without shared fields: every pair of rows.
+    ``later`` is the size in bytes of tables that the result is joined with.
 
-    Spark picks broadcast or sort-merge by size, and splits skewed keys at run time.
+    Spark picks broadcast or sort-merge by size, and splits skewed keys at run time. The side whose rows
+    it streams, the larger one unless the other's rows are kept, is dealt out evenly if it is small.
     """
     common = [f for f in a.fields if f in b.fields]
     fields = [*a.fields, *[f for f in b.fields if f not in a.fields]]
     x = a.df.select(F.col(POS).alias("__pa"), F.lit(True).alias("__ha"), *[field(f).alias(f"a.{f}") for f in a.fields])
     y = b.df.select(F.col(POS).alias("__pb"), F.lit(True).alias("__hb"), *[field(f).alias(f"b.{f}") for f in b.fields])
+    if not (left and right):
+        size_a, size_b = _bytes(a.df), _bytes(b.df)
+        if left or not right and size_a >= size_b:
+            x = _dealt(x, size_a, max(size_b, later))
+        else:
+            y = _dealt(y, size_b, max(size_a, later))
     if common:
-        on = reduce(lambda p, q: p & q, [field(f"a.{f}").eqNullSafe(field(f"b.{f}")) for f in common])
+        on = reduce(lambda p, q: p & q, [_equal(a, b, f) for f in common])
         how = {(False, False): "inner", (True, False): "left", (False, True): "right", (True, True): "full"}[(left, right)]
         both = x.join(y, on, how)
     else:
@@ -48,7 +87,11 @@ def join(tables: Sequence[TableFrame], left: bool = False, right: bool = False,
     """Fold from the left; a ``missing`` value alone means a full outer join."""
     if missing is not None and not (left or right):
         left = right = True
-    return reduce(lambda p, q: natjoin(p, q, left, right, missing), tables)
+    sizes = [_bytes(t.df) for t in tables[2:]]
+    out = tables[0]
+    for i, t in enumerate(tables[1:]):
+        out = natjoin(out, t, left, right, missing, max(sizes[i:], default=0))
+    return out
 
 
 def natjoin_outer(a: TableFrame, b: TableFrame, left: bool = True, right: bool = True, missing=None) -> TableFrame:

@@ -76,6 +76,34 @@ def test_join_keeps_null_cells(spark):
     assert len(cells(J.natjoin(C.cut(a, ["b"]), C.cut(b, ["c"])))) == 4
 
 
+def test_rows_that_meet_many_are_dealt_out(spark):
+    def parted(rows, name):
+        return TableFrame.of(spark.range(0, rows, 1, 1).select((F.col("id") % 1000).cast("int").alias("k"), F.col("id").alias(name)))
+
+    a, b, c = parted(100_000, "x"), parted(20_000, "y"), parted(1_000, "z")
+    for out in (J.natjoin(a, b), J.natjoin(b, a), J.natjoin(a, b, left=True), J.natjoin(b, a, right=True), J.join([a, c, b]), J.join([c, a, b])):
+        rows = out.result().groupBy(F.spark_partition_id()).agg(F.count("*"), F.sum(F.col("x") * 20_000 + F.col("y"))).collect()
+        assert sum(r[1] for r in rows) == 2_000_000
+        assert sum(r[2] for r in rows) == 20_000 * 20 * sum(range(100_000)) + 100 * sum(range(20_000))
+        assert max(r[1] for r in rows) < 200_000
+
+
+def test_join_integer_keys(spark):
+    from pyspark.sql import types as T
+
+    def keyed(kind, name, *keys):
+        return TableFrame.of(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], T.StructType([T.StructField("k", kind), T.StructField(name, T.LongType())])))
+
+    low, high = -(1 << 31), (1 << 31) - 1
+    a = keyed(T.IntegerType(), "x", None, low, -1, 0, high, None)
+    for kind, b in ((T.IntegerType(), (high, None, 0, low)), (T.ShortType(), (None, 0, -1)), (T.LongType(), (1 << 40, None, high, 0))):
+        b = keyed(kind, "y", *b)
+        pairs = [(p.k, p.x, q.y) for p in a.df.collect() for q in b.df.collect() if p.k == q.k]
+        assert sorted(cells(J.natjoin(a, b).result()), key=str) == sorted(pairs, key=str)
+        assert len(cells(J.natjoin(a, b, left=True).result())) == len(pairs) + 6 - len({x for _, x, _ in pairs})
+        assert len(cells(J.natjoin(a, b, right=True).result())) == len(pairs) + b.df.count() - len({y for _, _, y in pairs})
+
+
 def test_cut_rename_newfield_gsub(spark):
     t = table(spark, "a,b", ["x1", None])
     assert cells(C.rename(t, [("a", "b"), ("b", "a")])) == [("x1", None)]
